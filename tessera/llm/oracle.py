@@ -52,6 +52,41 @@ from lined
 """
 
 
+OP8 = r"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), grams as (
+  select doc_id, i, hash(list_slice(words, i, i + 7)) as gram
+  from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from docs)
+), repeated as (
+  select doc_id, i from grams qualify count(*) over (partition by doc_id, gram) > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from repeated, range(0, 8) t(k) group by doc_id
+), base as (
+  select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) as bigint) as word_chars,
+         cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+  from docs left join covered c using (doc_id)
+), lines as (
+  select doc_id, source, text, len(string_split(norm, ' ')) as n, norm from (
+    select doc_id, source, text, trim(regexp_replace(regexp_replace(lower(unnest(lines)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from docs)
+  where len(string_split(norm, ' ')) >= 3
+), above as (
+  select source, norm, arg_min(text, doc_id) as first_text from lines l
+  group by source, norm having count(distinct text) > greatest(20, 0.02 * (select count(*) from documents d where d.source is not distinct from l.source))
+), lost as (
+  select l.doc_id, sum(l.n) as lost from lines l join above a on l.norm = a.norm and l.source is not distinct from a.source
+  where l.text <> a.first_text group by l.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(lost, 0) <= 0.5 * n_words as kept
+from base left join lost using (doc_id)
+"""
+
+
 def op1() -> str:
     from tessera.llm.hilbert_shards import curve_table
 
@@ -93,4 +128,4 @@ from ranked
 
 
 def sql() -> dict[str, str]:
-    return {"op1_hilbert_shards": op1(), "op7_source_mix": OP7}
+    return {"op1_hilbert_shards": op1(), "op7_source_mix": OP7, "op8_line_quality": OP8}

@@ -28,10 +28,19 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
         "op7_source_mix": op7_source_mix,
+        "op8_line_quality": op8_line_quality,
     }
 
 
