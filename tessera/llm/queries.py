@@ -22,6 +22,12 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.shingle_join import link
+
+    return link(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.source_mix import mix
 
@@ -39,6 +45,7 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
+        "op6_shingle_join": op6_shingle_join,
         "op7_source_mix": op7_source_mix,
         "op8_line_quality": op8_line_quality,
     }
