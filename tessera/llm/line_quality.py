@@ -20,14 +20,16 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, word_count
+from tessera.llm.common import durable
 from tessera.llm.textcore import SPACE, Prefix, chunks, grams, lut, words
 
 SYMBOLS = "#*$%&|<>"
@@ -35,7 +37,10 @@ WINDOW = 8
 #: Rows of (line hash) up to which the lines in question are broadcast: 16 bytes each.
 BROADCAST_LINES = 1_000_000
 
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = (
+    "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+    " lines array<long>, line_words array<int>"
+)
 
 
 def _covered(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -61,66 +66,72 @@ def _covered(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    symbol, spaces = lut(SYMBOLS.encode()), b" \t\n\x0b\x0c\r"
-    for batch in batches:
-        for t in chunks(batch.column("text")):
-            w = words(t)
-            n = np.diff(w.first)
-            starts_char = (t.data & 0xC0) != 0x80
-            per_doc = lambda flag, t=t: np.diff(np.concatenate(([0], np.cumsum(flag)))[t.bounds])
-            repeat = _covered(Prefix(t.data).hashes(w.start, w.end), w.first)
-            repeats = np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first])
-            dups = np.empty(len(t), np.int64)
-            for i in range(len(t)):
-                lines = [x for x in t.raw(i).split(b"\n") if x.strip(spaces)]
-                dups[i] = len(lines) - len(set(lines))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(t.first, len(t)),
-                    *map(pa.array, (n, per_doc(starts_char & ~SPACE[t.data]), per_doc(symbol[t.data]), dups, repeats)),
-                ],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
-            )
-
-
-def document_stats(docs: DataFrame) -> DataFrame:
-    """Counts of each document, from its whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_stats, STATS)
-
-
-def host_lines(docs: DataFrame, min_words: int = 3) -> DataFrame:
-    """(line, host, doc_id, text_hash, words) of every line with ``min_words`` words or more.
-
-    ``line`` is a hash of host and normalised line: lower case, runs of digits
-    as 0, white space as single spaces, trimmed.
+def line_hash(host: str | None, norm: bytes) -> int:
+    """Signed 64-bit hash of a host and a normalised line."""
+    seed = xxhash.xxh64_intdigest(b"h" + host.encode() if host is not None else b"n")
+    return xxhash.xxh64_intdigest(norm, seed) - (1 << 63)
+
+
+def _stats(min_words: int):
+    symbol, spaces, digits = lut(SYMBOLS.encode()), b" \t\n\x0b\x0c\r", re.compile(rb"[0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            for t in chunks(batch.column("text")):
+                w = words(t)
+                starts_char = (t.data & 0xC0) != 0x80
+                per_doc = lambda flag, t=t: np.diff(np.concatenate(([0], np.cumsum(flag)))[t.bounds])
+                repeat = _covered(Prefix(t.data).hashes(w.start, w.end), w.first)
+                repeats = np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first])
+                dups, texts, ends, lines, sizes = [], [], [0], [], []
+                for i in range(len(t)):
+                    raw = t.raw(i)
+                    found = [x for x in raw.split(b"\n") if x.strip(spaces)]
+                    dups.append(len(found) - len(set(found)))
+                    texts.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
+                    for x in found:
+                        parts = digits.sub(b"0", x.lower()).split()
+                        if len(parts) >= min_words:
+                            lines.append(line_hash(hosts[t.first + i], b" ".join(parts)))
+                            sizes.append(len(parts))
+                    ends.append(len(lines))
+                ends = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(t.first, len(t)),
+                        batch.column("host").slice(t.first, len(t)),
+                        pa.array(texts, pa.int64()),
+                        *map(pa.array, (np.diff(w.first), per_doc(starts_char & ~SPACE[t.data]), per_doc(symbol[t.data]))),
+                        pa.array(dups, pa.int64()),
+                        pa.array(repeats),
+                        pa.ListArray.from_arrays(ends, pa.array(lines, pa.int64())),
+                        pa.ListArray.from_arrays(ends, pa.array(sizes, pa.int32())),
+                    ],
+                    names=[x.split()[0] for x in STATS.split(",")],
+                )
+
+    return run
+
+
+def document_stats(docs: DataFrame, min_words: int = 3) -> DataFrame:
+    """Counts of each document from its whole text, and its lines of ``min_words`` words or more.
+
+    A line is kept as a hash of its host and its normal form: ASCII letters in
+    lower case, runs of digits as 0, white space as single spaces, trimmed.
     """
-    norm = F.regexp_replace(F.lower("raw"), r"[0-9]+", "0")
-    norm = F.trim(F.regexp_replace(norm, r"[\x20\x09-\x0D]+", " "))
-    lines = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").alias("host"),
-        F.xxhash64("text").alias("text_hash"),
-        F.explode(F.split("text", "\n")).alias("raw"),
-    )
-    lines = lines.select("host", "doc_id", "text_hash", norm.alias("norm"))
-    words_in = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.translate("norm", " ", "")) + 1)
-    return lines.where(words_in >= min_words).select(
-        F.xxhash64(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")), "norm").alias("line"),
-        "host",
-        "doc_id",
-        "text_hash",
-        words_in.alias("words"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").alias("host"), "text")
+    return rows.mapInArrow(_stats(min_words), STATS)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.02, min_words: int = 3) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(stats: DataFrame, min_docs: int = 20, share: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Occurrences of lines that can be above the limit, and the (line, first_text) that are."""
-    lines = host_lines(docs, min_words)
+    lines = stats.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+    lines = lines.select("doc_id", "host", "text_hash", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     likely = durable(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("line"), "likely-lines")
     few = likely.count() <= BROADCAST_LINES
     found = durable(lines.join(F.broadcast(likely) if few else likely, "line", "left_semi"), "line-hits")
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_docs"))
+    hosts = stats.groupBy("host").agg(F.count("*").alias("host_docs"))
     spread = (
         found.groupBy("line", "host", "text_hash")
         .agg(F.min("doc_id").alias("doc_id"))
@@ -135,14 +146,15 @@ def frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.02, min
 
 def judge(docs: DataFrame, depleted: float = 0.5, **limits) -> DataFrame:
     """The counts of every document, base_failed, lost_words and kept."""
-    found, above = frequent_lines(docs, **limits)
+    stats = durable(document_stats(docs), "line-stats")
+    found, above = frequent_lines(stats, **limits)
     lost = (
         found.join(above, "line")
         .where(F.col("text_hash") != F.col("first_text"))
         .groupBy("doc_id")
         .agg(F.sum("words").alias("lost_words"))
     )
-    rows = document_stats(docs).join(lost, "doc_id", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
+    rows = stats.drop("host", "text_hash", "lines", "line_words").join(lost, "doc_id", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", ~failed & (F.col("lost_words") <= F.col("n_words") * depleted))
@@ -153,5 +165,3 @@ def clean_documents(docs: DataFrame, **limits) -> DataFrame:
     kept = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
 
-
-__all__ = ["clean_documents", "document_stats", "frequent_lines", "host_lines", "judge", "word_count"]

@@ -71,7 +71,7 @@ with docs as (
   from docs left join covered c using (doc_id)
 ), lines as (
   select doc_id, source, text, len(string_split(norm, ' ')) as n, norm from (
-    select doc_id, source, text, trim(regexp_replace(regexp_replace(lower(unnest(lines)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from docs)
+    select doc_id, source, text, trim(regexp_replace(regexp_replace(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from docs)
   where len(string_split(norm, ' ')) >= 3
 ), above as (
   select source, norm, arg_min(text, doc_id) as first_text from lines l

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 U64 = np.uint64
 _SPACES = b" \t\n\x0b\x0c\r"
 
