@@ -4,9 +4,11 @@ Two documents link when ``100 * |A & B| >= 90 * |A | B|`` for their sets of
 distinct 3-word shingles (production setting of op6). All documents order
 shingles by the same total order, rarest first, so linked documents share a
 shingle among the first ``n - ceil(0.9 n) + 1`` of each. The order's rarity
-comes from a table of ``SKETCH`` counters over all shingles of all documents,
-of fixed size however large the corpus is; shingles with equal counts are
-ordered by hash. Any total order gives the same result, rarity only the speed.
+comes from two tables of counters over all documents, of fixed size however
+large the corpus is: ``SKETCH`` counters of shingles tell the clearly frequent
+ones, ``WORDS`` counters of words tell how often a shingle of such words is to
+be expected. Shingles equal in both are ordered by hash. Any total order gives
+the same result, rarity only the speed.
 
 Documents with equal sets form a class, and only its first document is
 compared. Candidates come in two rounds, so that a large group of near copies
@@ -44,8 +46,8 @@ from tessera.llm.common import durable, partitions
 from tessera.llm.components import components
 from tessera.llm.textcore import LOWER, U64, Prefix, Texts, chunks, grams, mix64, words
 
-#: Counters of the rarity table, and how many travel in one row.
-SKETCH, SLICE = 1 << 20, 1 << 12
+#: Counters of shingles and of words in the rarity tables, and how many travel in one row.
+SKETCH, WORDS, SLICE = 1 << 20, 1 << 18, 1 << 12
 #: Parts of a set for the suffix filter.
 PARTS = 16
 #: Documents up to which the list of those to fetch is broadcast: 16 bytes each.
@@ -74,47 +76,64 @@ class Rule:
         return f"({self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b}))"
 
 
-def shingle_sets(t: Texts, n: int) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, ascending."""
+def shingle_sets(t: Texts, n: int, word_levels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingle hashes of each text, ascending, and the sum of their words' levels."""
     w = words(t)
     hashes = Prefix(t.data, LOWER).hashes(w.start, w.end)
-    gram, whole = grams(hashes, w.first, n)
+    gram, _ = grams(hashes, w.first, n)
+    level = np.zeros(len(hashes), U64)
+    if word_levels is not None and len(hashes) >= n:
+        single = word_levels[_word_slot(hashes)].astype(U64)
+        span = len(hashes) - n + 1
+        for k in range(n):
+            level[:span] += single[k : k + span]
     for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
         if hi - lo >= n:
-            yield np.unique(gram[lo : hi - n + 1])
+            found, at = np.unique(gram[lo : hi - n + 1], return_index=True)
+            yield found, level[lo + at]
         elif hi > lo:
             short, _ = grams(hashes[lo:hi], np.array([0, hi - lo]), int(hi - lo))
-            yield short[:1]
+            yield short[:1], level[lo : lo + 1]
         else:
-            yield np.zeros(0, U64)
+            yield hashes[:0], level[:0]
+
+
+def _shingle_slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(44)).astype(np.int64)
+
+
+def _word_slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(46)).astype(np.int64)
 
 
 def _profile(n: int):
     schema = "doc_id long, n long, h1 long, h2 long, parts array<int>, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, empty = np.zeros(SKETCH, np.int64), True
+        counts, empty = np.zeros(SKETCH + WORDS, np.int64), True
         names = ["doc_id", "n", "h1", "h2", "parts", "slice", "counts"]
         for batch in batches:
             for t in chunks(batch.column("text")):
                 empty = False
                 size, h1, h2 = (np.zeros(len(t), np.int64) for _ in range(3))
                 parts = np.zeros((len(t), PARTS), np.int32)
-                sets = list(shingle_sets(t, n))
+                sets = [s for s, _ in shingle_sets(t, n)]
                 for i, s in enumerate(sets):
                     size[i] = len(s)
                     if len(s):
                         h1[i] = mix64(s).sum(dtype=U64).astype(np.int64)
                         h2[i] = np.bitwise_xor.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))).astype(np.int64)
                         parts[i] = np.bincount((s >> U64(60)).astype(np.int64), minlength=PARTS)
-                counts += np.bincount((np.concatenate(sets) >> U64(44)).astype(np.int64), minlength=SKETCH)
+                w = words(t)
+                np.add.at(counts, _shingle_slot(np.concatenate(sets)), 1)
+                np.add.at(counts, SKETCH + _word_slot(Prefix(t.data, LOWER).hashes(w.start, w.end)), 1)
                 lists = pa.ListArray.from_arrays(np.arange(0, (len(t) + 1) * PARTS, PARTS, dtype=np.int32), pa.array(parts.ravel()))
                 none = [pa.nulls(len(t), pa.int32()), pa.nulls(len(t), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(t.first, len(t)), pa.array(size), pa.array(h1), pa.array(h2), lists, *none], names=names
                 )
         if not empty:
-            blobs = [counts[i : i + SLICE].astype(np.int64).tobytes() for i in range(0, SKETCH, SLICE)]
+            blobs = [counts[i : i + SLICE].tobytes() for i in range(0, len(counts), SLICE)]
             m = len(blobs)
             longs = [pa.nulls(m, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays(
@@ -136,31 +155,34 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def rarity(profile: DataFrame) -> np.ndarray:
-    """A level of 0 to 255 for each counter, higher for more frequent shingles.
+def rarity(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A level for each shingle counter and each word counter, higher for more frequent ones.
 
-    The counters are added up on the executors, where a task holds only the
-    slices dealt to it; the driver gets SKETCH counters, whatever the input.
+    Counters up to twice their mean say no more than chance and have level 0.
+    They are added up on the executors, where a task holds only the slices dealt
+    to it; the driver gets SKETCH + WORDS counters, whatever the input.
     """
     slices = profile.where("slice is not null").select("slice", "counts")
-    added = slices.repartition(min(partitions(profile), SKETCH // SLICE), "slice").mapInArrow(_add_slices, "slice int, counts binary")
-    counts = np.zeros(SKETCH, np.int64)
+    added = slices.repartition(partitions(profile), "slice").mapInArrow(_add_slices, "slice int, counts binary")
+    counts = np.zeros(SKETCH + WORDS, np.int64)
     for row in added.collect():
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(np.log2(counts + 1.0) * 6, 255).astype(np.uint8)
+    shingles, single = counts[:SKETCH], counts[SKETCH:]
+    above = np.log2(np.maximum(shingles / (2 * max(shingles.mean(), 0.5)), 1.0)) * 4
+    return np.minimum(above, 255).astype(np.uint8), np.minimum(np.log2(single + 1.0) * 2, 80).astype(np.uint8)
 
 
 def _prefixes(rule: Rule, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        frequent, word_levels = levels.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for t in chunks(batch.column("text")):
                 out, docs, pos = [], [], []
-                for i, s in enumerate(shingle_sets(t, rule.n)):
+                for i, (s, expected) in enumerate(shingle_sets(t, rule.n, word_levels)):
                     if len(s) == 0 or rule.alone(len(s)):
                         continue
-                    order = (level[(s >> U64(44)).astype(np.int64)].astype(U64) << U64(56)) | (s >> U64(8))
+                    order = (frequent[_shingle_slot(s)].astype(U64) << U64(56)) | (expected << U64(48)) | (s >> U64(16))
                     k = rule.prefix(len(s))
                     out.append(np.sort(np.partition(order, k - 1)[:k] if k < len(order) else order))
                     docs.append(np.full(k, ids[t.first + i], np.int64))
@@ -178,7 +200,7 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in chunks(batch.column("text")):
-                sets = [s.view(np.int64) for s in shingle_sets(t, n)]
+                sets = [s.view(np.int64) for s, _ in shingle_sets(t, n)]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +215,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "to-verify")
     few = wanted.count() <= BROADCAST_DOCS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = durable(texts.mapInArrow(_sets(rule.n), "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = durable(texts.mapInArrow(_sets(rule.n), "doc_id long, set array<long>"), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
