@@ -4,6 +4,23 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP2 = r"""
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from documents
+), normal as (
+  select doc_id, source, raw, pos, lower(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) as line from lines
+), bad as (
+  select line from normal where length(line) >= 20 group by line having count(distinct coalesce('s' || source, 'n')) >= 5
+), kept as (
+  select doc_id, count(*) as n_lines, count(*) filter (where line in (select line from bad)) as n_removed,
+         coalesce(string_agg(raw, chr(10) order by pos) filter (where line not in (select line from bad)), '') as text
+  from normal group by doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, cast(length(coalesce(k.text, '')) as bigint) as kept_chars,
+       md5(coalesce(k.text, '')) as kept_md5
+from documents left join kept k using (doc_id)
+"""
+
 OP7 = r"""
 with sized as (
   select doc_id, source, md5('mix:' || doc_id) as key,
@@ -128,4 +145,4 @@ from ranked
 
 
 def sql() -> dict[str, str]:
-    return {"op1_hilbert_shards": op1(), "op7_source_mix": OP7, "op8_line_quality": OP8}
+    return {"op1_hilbert_shards": op1(), "op2_line_spread": OP2, "op7_source_mix": OP7, "op8_line_quality": OP8}

@@ -22,6 +22,28 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.line_spread import remove_boilerplate
+
+    rows = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.md5(kept).alias("kept_md5"))
+
+
+def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.piece_counts import count_pieces
+
+    return count_pieces(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import predict
+
+    return predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.shingle_join import link
 
@@ -45,6 +67,9 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
+        "op2_line_spread": op2_line_spread,
+        "op3_piece_counts": op3_piece_counts,
+        "op4_language_id": op4_language_id,
         "op6_shingle_join": op6_shingle_join,
         "op7_source_mix": op7_source_mix,
         "op8_line_quality": op8_line_quality,
