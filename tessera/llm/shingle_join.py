@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, partitions
@@ -49,7 +49,9 @@ from tessera.llm.textcore import LOWER, U64, Prefix, Texts, chunks, grams, mix64
 #: Counters of shingles and of words in the rarity tables, and how many travel in one row.
 SKETCH, WORDS, SLICE = 1 << 20, 1 << 18, 1 << 12
 #: Parts of a set for the suffix filter.
-PARTS = 16
+PARTS = 128
+#: How many of a document's preceding tokens an entry of round 2 carries.
+BACK = 4
 #: Documents up to which the list of those to fetch is broadcast: 16 bytes each.
 BROADCAST_DOCS = 1_000_000
 
@@ -107,7 +109,7 @@ def _word_slot(h: np.ndarray) -> np.ndarray:
 
 
 def _profile(n: int):
-    schema = "doc_id long, n long, h1 long, h2 long, parts array<int>, slice int, counts binary"
+    schema = "doc_id long, n long, h1 long, h2 long, parts array<smallint>, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, empty = np.zeros(SKETCH + WORDS, np.int64), True
@@ -116,14 +118,14 @@ def _profile(n: int):
             for t in chunks(batch.column("text")):
                 empty = False
                 size, h1, h2 = (np.zeros(len(t), np.int64) for _ in range(3))
-                parts = np.zeros((len(t), PARTS), np.int32)
+                parts = np.zeros((len(t), PARTS), np.int16)
                 sets = [s for s, _ in shingle_sets(t, n)]
                 for i, s in enumerate(sets):
                     size[i] = len(s)
                     if len(s):
                         h1[i] = mix64(s).sum(dtype=U64).astype(np.int64)
                         h2[i] = np.bitwise_xor.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))).astype(np.int64)
-                        parts[i] = np.bincount((s >> U64(60)).astype(np.int64), minlength=PARTS)
+                        parts[i] = np.minimum(np.bincount((s >> U64(57)).astype(np.int64), minlength=PARTS), 32767)
                 w = words(t)
                 np.add.at(counts, _shingle_slot(np.concatenate(sets)), 1)
                 np.add.at(counts, SKETCH + _word_slot(Prefix(t.data, LOWER).hashes(w.start, w.end)), 1)
@@ -137,7 +139,7 @@ def _profile(n: int):
             m = len(blobs)
             longs = [pa.nulls(m, pa.int64())] * 4
             yield pa.RecordBatch.from_arrays(
-                [*longs, pa.nulls(m, pa.list_(pa.int32())), pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], names=names
+                [*longs, pa.nulls(m, pa.list_(pa.int16())), pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], names=names
             )
 
     return run, schema
@@ -156,7 +158,7 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A level for each shingle counter and each word counter, higher for more frequent ones.
+    """A level of at most 127 for each shingle counter and each word counter, higher for more frequent ones.
 
     Counters up to twice their mean say no more than chance and have level 0.
     They are added up on the executors, where a task holds only the slices dealt
@@ -169,7 +171,7 @@ def rarity(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.int64)
     shingles, single = counts[:SKETCH], counts[SKETCH:]
     above = np.log2(np.maximum(shingles / (2 * max(shingles.mean(), 0.5)), 1.0)) * 4
-    return np.minimum(above, 255).astype(np.uint8), np.minimum(np.log2(single + 1.0) * 2, 80).astype(np.uint8)
+    return np.minimum(above, 127).astype(np.uint8), np.minimum(np.log2(single + 1.0) * 2, 80).astype(np.uint8)
 
 
 def _prefixes(rule: Rule, levels):
@@ -227,7 +229,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, na, nb), a < b, of the distinct pairs that pass the length and suffix filters."""
     side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
     rows = pairs.join(side("a"), "a").where("na is not null").join(side("b"), "b").where(rule.lengths("na", "nb"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     return rows.where(apart <= F.expr(f"na + nb - 2 * {rule.overlap('na', 'nb')}")).select("a", "b", "na", "nb")
 
 
@@ -270,10 +272,14 @@ def link(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFram
     spots = durable(spots, "spots")
     open_tokens = spots.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     spots = spots.join(open_tokens, "token", "left_semi")
-    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "pos", "n", "component")]) for s in "xy")
+    earlier = Window.partitionBy("node").orderBy("pos").rowsBetween(-BACK, -1)
+    spots = spots.withColumn("back", F.collect_list("token").over(earlier))
+    x, y = (spots.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "pos", "n", "component", "back")]) for s in "xy")
     across = x.join(y, "token").where(
         f"component_x < component_y and {rule.lengths('n_x', 'n_y')}"
         f" and least(n_x - pos_x, n_y - pos_y) >= {rule.overlap('n_x', 'n_y')}"
+        # a common token just before this one has proposed the pair already
+        " and not arrays_overlap(back_x, back_y)"
     )
     across = across.select(*ordered("node_x", "node_y")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     across = durable(_filtered(across, nodes, rule), "across")
