@@ -6,8 +6,9 @@ node that is reached after popping the longest pieces off its string, and the
 number of pieces popped. A word is read once, symbol by symbol, and only the
 numbers are added up: no piece is built.
 
-The vocabulary is one of bytes with word ends (every byte is a piece, inside and
-at the end of a word), so every word has a count. Its path is a parameter; the
+The vocabulary is one of bytes with word ends. Every byte is a piece, and where
+the greedy cut leaves the bare end of a word, that end costs no token, so every
+word has a count. The vocabulary's path is a parameter; the
 driver reads it and the automaton is broadcast, whose size is that of the
 vocabulary. Words repeat, so counts are kept in a cache of bounded size.
 
@@ -58,6 +59,7 @@ class Automaton:
 
     def __init__(self, pieces: list[tuple[int, ...]]):
         self.child: dict[int, int] = {}
+        pieces = [*pieces, (END,)]
         token, edges = {0: False}, {0: []}
         for piece in pieces:
             node = 0
@@ -80,7 +82,7 @@ class Automaton:
                 for s, v in edges[u]:
                     deeper.append(v)
                     if token[v]:
-                        self.fail[v], self.popped[v] = 0, 1
+                        self.fail[v], self.popped[v] = 0, int(u > 0 or s != END)
                         continue
                     count, z = self.popped[u], self.fail[u]
                     while z >= 0 and (z << 9 | s) not in self.child:
