@@ -64,6 +64,18 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.latent_decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.weak_quality import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -73,6 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_shingle_join": op6_shingle_join,
         "op7_source_mix": op7_source_mix,
         "op8_line_quality": op8_line_quality,
+        "op9_latent_decontamination": op9_latent_decontamination,
+        "op10_weak_quality": op10_weak_quality,
     }
 
 
