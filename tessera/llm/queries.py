@@ -44,6 +44,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.shingle_join import link
 
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_spread": op2_line_spread,
         "op3_piece_counts": op3_piece_counts,
         "op4_language_id": op4_language_id,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_shingle_join": op6_shingle_join,
         "op7_source_mix": op7_source_mix,
         "op8_line_quality": op8_line_quality,
