@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable
-from tessera.llm.textcore import U64, Prefix, Texts, chunks
+from tessera.llm.textcore import U64, Prefix, Texts, chunks, mix64
 
 SPAN, KMER, SHALLOW = 50, 24, 16
 FILTER = 27
@@ -70,7 +70,8 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none.astype(U64), none, none
     a = at[inside]
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (inside[1:] != inside[:-1] + 1))))
-    return full[a[new]], inside[new], inside[np.concatenate((new[1:], [len(inside)])) - 1]
+    # anchors have small hashes: mixed again, they deal evenly
+    return mix64(full[a[new]] ^ U64(0x2545F4914F6CDD1D)), inside[new], inside[np.concatenate((new[1:], [len(inside)])) - 1]
 
 
 def _anchor_blobs(bits: int):
