@@ -7,6 +7,7 @@ session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,17 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     Read from the session; a local temporary folder stands in only where the
     setting is absent, which is the case in single-machine tests.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
