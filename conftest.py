@@ -10,11 +10,10 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     import oracle
 
     spark = oracle.session()
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark
 

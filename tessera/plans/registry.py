@@ -85,7 +85,7 @@ def tab_keep_first(t):
     return tables.keep_first(t("events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("with s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as k from supplier), n as (select n_name, row_number() over (order by n_nationkey) - 1 as k from nation) select s_suppkey, n_name from s join n on s.k % (select count(*) from n) = n.k")
+@query("with s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as k from supplier), n as (select n_name, row_number() over (order by n_nationkey) - 1 as k from nation) select s_suppkey, n_name from range((select greatest((select count(*) from s), (select count(*) from n)))) r(i) join s on r.i % (select count(*) from s) = s.k join n on r.i % (select count(*) from n) = n.k")
 def tab_abut(t):
     both = tables.bind_columns(t("supplier").select("s_suppkey"), t("nation").select("n_nationkey", "n_name"), "s_suppkey", "n_nationkey")
     return both.select("s_suppkey", "n_name")
