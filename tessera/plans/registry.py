@@ -5,36 +5,15 @@ Floating results are rounded on both sides, since sums differ in their order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import intervals, statistics
 from tessera.operators import evaluation, graphs, sets, tables, text, vectors
+from tessera.plans import corpus_queries, statistics_queries
+from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
+from tessera.plans.register import QUERIES, SQL, query, rounded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of a table reader under its name."""
-
-    def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[make.__name__] = run
-        if sql:
-            SQL[make.__name__] = sql
-        return make
-
-    return add
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else c for c, t in df.dtypes])
-
+__all__ = ["QUERIES", "SQL", "corpus_queries", "statistics_queries"]
 
 # tables ------------------------------------------------------------------------------------------
 
@@ -179,70 +158,64 @@ def stat_kruskal(t):
 
 # text --------------------------------------------------------------------------------------------
 
-_SENT = "select doc_id, sent, cast(b as int) as begin, cast(b + length(s) as int) as end, s as text from (select doc_id, sent, s, coalesce(sum(length(s) + 1) over (partition by doc_id order by sent rows between unbounded preceding and 1 preceding), 0) as b from (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as sent from documents)) where s <> ''"
-_TOK = f"select doc_id, sent, unnest(p) as token, unnest(range(len(p))) as idx from (select doc_id, sent, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]') as p from ({_SENT}))"
-_CAPS = f"select doc_id, sent, min(idx) as first, max(idx) as last from (select *, idx - row_number() over (partition by doc_id, sent order by idx) as run from ({_TOK}) where idx > 0 and regexp_matches(token, '^[A-Z]')) group by doc_id, sent, run"
-_PAIRS = f"select a.doc_id, a.sent, a.first as first_a, b.first as first_b, b.first - a.last as distance from ({_CAPS}) a join ({_CAPS}) b on a.doc_id = b.doc_id and a.sent = b.sent and a.first < b.first"
-
-
 def _tokens(t):
     return text.tokens(text.sentences(t("documents")))
 
 
-@query(f"select doc_id, sent, begin, \"end\", md5(text) as digest from ({_SENT})")
+@query(f"select doc_id, sent, begin, \"end\", md5(text) as digest from ({SENT})")
 def text_sentences(t):
     return text.sentences(t("documents")).select("doc_id", "sent", "begin", "end", F.md5("text").alias("digest"))
 
 
-@query(f"select doc_id, sent, count(*) as tokens, string_agg(token, ' ' order by idx) as joined from ({_TOK}) group by 1, 2")
+@query(f"select doc_id, sent, count(*) as tokens, string_agg(token, ' ' order by idx) as joined from ({TOK}) group by 1, 2")
 def text_tokens(t):
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]), " ")
     return _tokens(t).groupBy("doc_id", "sent").agg(F.count("*").alias("tokens"), joined.alias("joined"))
 
 
-@query(f"select doc_id, lower(token) as word, count(*) as n from ({_TOK}) group by 1, 2")
+@query(f"select doc_id, lower(token) as word, count(*) as n from ({TOK}) group by 1, 2")
 def text_bow(t):
     return text.bag_of_words(_tokens(t), ["doc_id"])
 
 
-@query(f"select gram, count(*) as n from (select lag(token, 2) over w || ' ' || lag(token, 1) over w || ' ' || token as gram, idx from ({_TOK}) window w as (partition by doc_id, sent order by idx)) where idx >= 2 group by 1")
+@query(f"select gram, count(*) as n from (select lag(token, 2) over w || ' ' || lag(token, 1) over w || ' ' || token as gram, idx from ({TOK}) window w as (partition by doc_id, sent order by idx)) where idx >= 2 group by 1")
 def text_ngrams(t):
     return text.ngrams(_tokens(t), 3).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query(f"with t as ({_TOK}) select cast(b.idx - a.idx as int) as shift, b.token, count(*) as n from t a join t b on a.doc_id = b.doc_id and a.sent = b.sent and b.idx between a.idx - 3 and a.idx + 3 and b.idx <> a.idx and b.idx > 0 group by 1, 2")
+@query(f"with t as ({TOK}) select cast(b.idx - a.idx as int) as shift, b.token, count(*) as n from t a join t b on a.doc_id = b.doc_id and a.sent = b.sent and b.idx between a.idx - 3 and a.idx + 3 and b.idx <> a.idx and b.idx > 0 group by 1, 2")
 def text_context(t):
     return text.context(_tokens(t)).groupBy("shift", "token").agg(F.count("*").alias("n"))
 
 
-@query(f"select token, regexp_matches(token, '^[A-Z]') as upper_start, regexp_matches(token, '^.+[A-Z]') as upper_inside, regexp_matches(token, '[0-9]') as has_digit, lower(regexp_replace(token, '[-/,\\\\ ]', '', 'g')) as normal, case when length(token) >= 2 then list_aggregate(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)), 'string_agg', ' ') end as bigrams, case when length(token) >= 3 then list_aggregate(list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3)), 'string_agg', ' ') end as trigrams from (select distinct token from ({_TOK}))")
+@query(f"select token, regexp_matches(token, '^[A-Z]') as upper_start, regexp_matches(token, '^.+[A-Z]') as upper_inside, regexp_matches(token, '[0-9]') as has_digit, lower(regexp_replace(token, '[-/,\\\\ ]', '', 'g')) as normal, case when length(token) >= 2 then list_aggregate(list_transform(range(1, length(token)), lambda i: substr(token, i, 2)), 'string_agg', ' ') end as bigrams, case when length(token) >= 3 then list_aggregate(list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3)), 'string_agg', ' ') end as trigrams from (select distinct token from ({TOK}))")
 def text_token_shape(t):
     return _tokens(t).select("token").distinct().select("token", *text.shapes())
 
 
-@query(_CAPS)
+@query(CAPS)
 def span_entities(t):
     return text.capitalised(_tokens(t))
 
 
-@query(_PAIRS)
+@query(PAIRS)
 def pairs_self_join(t):
     return text.pairs(text.capitalised(_tokens(t)))
 
 
-@query(f"select distance, count(*) as n from ({_PAIRS}) group by 1")
+@query(f"select distance, count(*) as n from ({PAIRS}) group by 1")
 def pair_distance_hist(t):
     return text.pairs(text.capitalised(_tokens(t))).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query(f"with s as ({_SENT}) select s.doc_id, s.sent, w.k as chunk from s join (select doc_id, k, k * 100 as b, k * 100 + 50 as e from (select doc_id, unnest(range(n_chars // 100 + 1)) as k from documents)) w on s.doc_id = w.doc_id and s.begin < w.e and w.b < s.\"end\"")
+@query(f"with s as ({SENT}) select s.doc_id, s.sent, w.k as chunk from s join (select doc_id, k, k * 100 as b, k * 100 + 50 as e from (select doc_id, unnest(range(n_chars // 100 + 1)) as k from documents)) w on s.doc_id = w.doc_id and s.begin < w.e and w.b < s.\"end\"")
 def span_overlap_join(t):
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n_chars div 100")))
     chunks = t("documents").select("doc_id", k.alias("chunk")).withColumn("begin", F.col("chunk") * 100).withColumn("end", F.col("begin") + 50)
     return text.overlaps(text.sentences(t("documents")), chunks, ["doc_id"]).select("doc_id", "sent", "chunk")
 
 
-@query(f"select doc_id, sent, idx, token from ({_TOK}) qualify row_number() over (partition by doc_id, sent order by length(token) desc, idx desc) = 1")
+@query(f"select doc_id, sent, idx, token from ({TOK}) qualify row_number() over (partition by doc_id, sent order by length(token) desc, idx desc) = 1")
 def head_token_top1(t):
     rows = _tokens(t).withColumn("score", F.length("token"))
     return text.best(rows, ["doc_id", "sent"], "score", "idx").select("doc_id", "sent", "idx", "token")
@@ -319,7 +292,7 @@ def set_folds(t):
     return sets.folds(t("documents"), "doc_id", 10).select("doc_id", "fold")
 
 
-@query(f"with t as ({_TOK}), a as (select distinct token from t join documents using (doc_id) where lang = 'en'), b as (select distinct token from t join documents using (doc_id) where lang <> 'en') select coalesce(a.token, b.token) as value, case when b.token is null then 'left' when a.token is null then 'right' else 'both' end as side from a full join b on a.token = b.token")
+@query(f"with t as ({TOK}), a as (select distinct token from t join documents using (doc_id) where lang = 'en'), b as (select distinct token from t join documents using (doc_id) where lang <> 'en') select coalesce(a.token, b.token) as value, case when b.token is null then 'left' when a.token is null then 'right' else 'both' end as side from a full join b on a.token = b.token")
 def feature_set_diff(t):
     toks = _tokens(t).join(t("documents").select("doc_id", "lang"), "doc_id")
     return sets.feature_difference(toks.where("lang = 'en'"), toks.where("lang <> 'en'"), "token")
