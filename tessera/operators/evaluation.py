@@ -86,3 +86,84 @@ def ensemble(a: DataFrame, b: DataFrame, keys: list[str], score: str, mode: str
     both = scaled(a, "_a").join(scaled(b, "_b"), keys, "full_outer" if mode == "or" else "inner")
     winner = F.when(F.coalesce("_a", F.lit(-1.0)) >= F.coalesce("_b", F.lit(-1.0)), "a").otherwise("b")
     return both.select(*keys, winner.alias("winner"), F.greatest("_a", "_b").alias("score"))
+
+
+def macro(matrix: DataFrame, negative: object) -> DataFrame:
+    """(precision, recall, fscore): unweighted means over the classes but the negative one."""
+    s = per_class(matrix).where(F.col("class") != F.lit(negative))
+    return s.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "fscore")])
+
+
+def untyped(matrix: DataFrame, negative: object) -> DataFrame:
+    """Counts of positive against negative: a wrong positive class for a positive row is true."""
+    n, t, p = F.col("n"), F.col("truth") != F.lit(negative), F.col("predicted") != F.lit(negative)
+    total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
+    s = matrix.agg(total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"), total(~t & ~p).alias("tn"))
+    return s.select("tp", "fp", "fn", "tn", *scores(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def binary(matrix: DataFrame, negative: object) -> DataFrame:
+    """``untyped`` with ``auc`` of the hard labels, the mean of both classes' recalls."""
+    s = untyped(matrix, negative)
+    return s.withColumn("auc", (F.col("recall") + ratio(F.col("tn"), F.col("tn") + F.col("fp"))) / 2)
+
+
+def boosted(score: Column, boost: Column | float) -> Column:
+    """A score scaled by a boost; a negative one moves by as much as its absolute value would."""
+    return F.when(score >= 0, score * boost).otherwise(score * (2 - F.lit(boost)))
+
+
+def best_class(scores_: str, negative: object, boost: float = 1.0, threshold: float | None = None) -> Column:
+    """The key of a score map with the highest score, the least key on ties.
+
+    ``boost`` scales the negative class first. With a threshold the class is
+    negative above it, and the best of the others elsewhere.
+    """
+    m, neg = F.col(scores_), F.lit(negative)
+    moved = F.transform_values(m, lambda k, v: F.when(k == neg, boosted(v, boost)).otherwise(v))
+    entries = F.map_entries(moved)
+    if threshold is not None:
+        entries = F.filter(entries, lambda e: e["key"] != neg)
+    top = F.array_max(F.transform(entries, lambda e: e["value"]))
+    best = F.array_min(F.transform(F.filter(entries, lambda e: e["value"] == top), lambda e: e["key"]))
+    return best if threshold is None else F.when(F.element_at(moved, neg) > threshold, neg).otherwise(best)
+
+
+def score_ranges(df: DataFrame, scores_: str) -> DataFrame:
+    """(class, least, most) of the scores of each class."""
+    rows = df.select(F.explode(scores_).alias("class", "score"))
+    return rows.groupBy("class").agg(F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def boost_search(df: DataFrame, scores_: str, truth: str, negative: object, boosts: list[float]) -> DataFrame:
+    """(boost, fscore) of the boost with the best micro F-score, the first of equals; one pass for all boosts."""
+    settings = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(b).alias("boost")) for i, b in enumerate(boosts)]))
+    rows = df.select(F.col(truth).alias("truth"), F.col(scores_).alias("m"), settings.alias("x")).select("truth", "m", "x.*")
+    neg = F.lit(negative)
+    moved = F.transform_values("m", lambda k, v: F.when(k == neg, F.when(v >= 0, v * F.col("boost")).otherwise(v * (2 - F.col("boost")))).otherwise(v))
+    entries = F.map_entries(moved)
+    top = F.array_max(F.transform(entries, lambda e: e["value"]))
+    p = F.array_min(F.transform(F.filter(entries, lambda e: e["value"] == top), lambda e: e["key"]))
+    rows = rows.select("place", "boost", "truth", p.alias("p"))
+    n = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    t, q = F.col("truth"), F.col("p")
+    s = rows.groupBy("place", "boost").agg(n((t == q) & (t != neg)).alias("tp"), n((t != q) & (q != neg)).alias("fp"), n((t != q) & (t != neg)).alias("fn"))
+    s = s.withColumn("fscore", scores(F.col("tp"), F.col("fp"), F.col("fn"))[2])
+    return s.orderBy(F.desc("fscore"), "place").limit(1).select("boost", "fscore")
+
+
+def correct_events(arguments: DataFrame, event: list[str], right: str) -> DataFrame:
+    """(event, correct): whether all arguments of an event are right."""
+    return arguments.groupBy(*event).agg(F.bool_and(right).alias("correct"))
+
+
+def compared(a: DataFrame, b: DataFrame, category: str) -> DataFrame:
+    """(category, n_a, n_b, ratio): counts in two sets, 0 where missing; the ratio is null where n_b is 0."""
+    x, y = (df.groupBy(category).agg(F.count("*").alias(n)) for df, n in ((a, "n_a"), (b, "n_b")))
+    both = x.join(y, category, "full_outer").fillna(0, ["n_a", "n_b"])
+    return both.withColumn("ratio", F.col("n_a") / F.nullif("n_b", F.lit(0)))
+
+
+def all_correct(df: DataFrame, truth: str, out: str = "predicted") -> DataFrame:
+    """The baseline that returns the truth."""
+    return df.withColumn(out, F.col(truth))

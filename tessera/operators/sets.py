@@ -48,3 +48,59 @@ def schema_ranges(instances: DataFrame, owner: str, kind: str, argument: str) ->
     s = n.groupBy(kind, argument).agg(F.min("n").alias("lo"), F.max("n").alias("most"), F.count("*").alias("have"))
     least = F.when(F.col("have") < F.col("owners"), 0).otherwise(F.col("lo"))
     return s.join(kinds, kind).select(kind, argument, least.cast("long").alias("least"), "most")
+
+
+def sample_exact(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """int(share * n) rows, the first in the order of a hash of the unique integer key."""
+    from tessera.operators.tables import running
+
+    hashed = F.pmod((F.col(key) + seed * 104_729) * 7919, F.lit(1_000_003)) * 1_000_000_007 + F.col(key)
+    rows = running(df.withColumn("_h", hashed).withColumn("_one", F.lit(1).cast("long")), "_h", "_one", "_k")
+    return rows.where(F.col("_k") < int(share * df.count())).drop("_h", "_one", "_k")
+
+
+def moved(df: DataFrame, keys: DataFrame, key: str, source: str, target: str) -> DataFrame:
+    """Column ``set``: listed rows of one set in another one."""
+    rows = df.join(keys.select(key).distinct().withColumn("_m", F.lit(True)), key, "left")
+    return rows.withColumn("set", F.when(F.col("_m") & (F.col("set") == source), target).otherwise(F.col("set"))).drop("_m")
+
+
+def divide(df: DataFrame, path: str, merged: dict[str, list[str]] | None = None) -> int:
+    """One folder a set, and one for each merged set such as train-and-devel; returns the rows without a set."""
+    rows = df.where(F.col("set").isNotNull())
+    for name, parts in (merged or {}).items():
+        rows = rows.unionByName(df.where(F.col("set").isin(parts)).withColumn("set", F.lit(name)))
+    rows.write.mode("overwrite").partitionBy("set").parquet(path)
+    return df.where(F.col("set").isNull()).count()
+
+
+def stratified(df: DataFrame, key: str, stratum: str, cutoffs: list[tuple[str, float]]) -> DataFrame:
+    """Column ``set``: the shares of every stratum's rows as near the cutoffs' as whole rows allow.
+
+    Rows are placed inside their stratum by a hash of the key; the place of a
+    row among its stratum's, centred, falls below a cutoff. A large stratum is
+    cut into 64 hash ranges first, so that no task sorts all of it.
+    """
+    hashed = F.pmod(F.col(key) * 7919, F.lit(1_000_003)) * 1_000_000_007 + F.col(key)
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.floor(F.pmod(F.col(key) * 7919, F.lit(1_000_003)) / 1_000_003 * 64))
+    sizes = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_m"))
+    by = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_m").over(by), F.lit(0))).withColumn("_n", F.sum("_m").over(Window.partitionBy(stratum))).drop("_m")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h")))
+    rows = rows.alias("r").join(sizes.alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}")) & (F.col("r._b") == F.col("s._b")))
+    at, out = (F.col("s._start") + F.col("r._k") - 0.5) / F.col("s._n"), None
+    for name, cut in cutoffs:
+        out = (F if out is None else out).when(at < cut, name)
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], out.alias("set"))
+
+
+def unseen(df: DataFrame, others: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows of these columns that the other table hasn't."""
+    return df.select(*columns).exceptAll(others.select(*columns)).distinct()
+
+
+def grid(**values: list) -> list[dict]:
+    """Every setting of named parameters, the last name fastest."""
+    from itertools import product
+
+    return [dict(zip(values, v, strict=True)) for v in product(*values.values())]

@@ -89,3 +89,9 @@ def best(rows: DataFrame, keys: list[str], score: str, index: str) -> DataFrame:
     """One row for each key: the highest score, the last index on ties."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), F.desc(index))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def merged(sents: DataFrame) -> DataFrame:
+    """(doc_id, text, stop): a document's sentences joined by line breaks, and the end of the last one."""
+    rows = F.array_sort(F.collect_list(F.struct("sent", "text")))
+    return sents.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"), F.max("end").alias("stop"))

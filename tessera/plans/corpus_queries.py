@@ -1 +1,228 @@
-"""Queries of the corpus operators: features, examples, write-back, schema, sets."""
+"""Queries of the corpus operators: features, examples, write-back, rules, evaluation, sets, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import evaluation, features, sets, structure, text
+from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
+from tessera.plans.register import query, rounded
+
+# fixed rules of the derived annotation: triggers by word ending and beginning, near names related
+_TYPES = f"select doc_id, sent, idx, 'Proc' as type from ({TOK}) where regexp_matches(token, 'e$') union all select doc_id, sent, idx, 'Rel' from ({TOK}) where regexp_matches(token, '^re')"
+_NAMES = f"select doc_id, sent, unnest(range(first, last + 1)) as idx from ({CAPS})"
+_EXAMPLES = f"select t.doc_id, t.sent, t.idx, t.token, coalesce(class, 'neg') as class from ({TOK}) t semi join ({CAPS}) c on t.doc_id = c.doc_id and t.sent = c.sent anti join ({_NAMES}) n on t.doc_id = n.doc_id and t.sent = n.sent and t.idx = n.idx left join (select doc_id, sent, idx, string_agg(type, '---' order by type) as class from ({_TYPES}) group by all) k on t.doc_id = k.doc_id and t.sent = k.sent and t.idx = k.idx"
+
+
+def _tokens(t):
+    return text.tokens(text.sentences(t("documents")))
+
+
+def _targets(toks):
+    of = lambda pattern, kind: toks.where(F.col("token").rlike(pattern)).select("doc_id", "sent", "idx", F.lit(kind).alias("type"))
+    return of("e$", "Proc").unionByName(of("^re", "Rel"))
+
+
+def _examples(t):
+    toks = _tokens(t)
+    return features.trigger_examples(toks, text.capitalised(toks), _targets(toks))
+
+
+@query(f"select doc_id, sent, class, count(*) as n, cast(sum(idx) as bigint) as places from ({_EXAMPLES}) group by 1, 2, 3")
+def example_triggers(t):
+    return _examples(t).groupBy("doc_id", "sent", "class").agg(F.count("*").alias("n"), F.sum("idx").alias("places"))
+
+
+@query(f"with t as ({TOK}), l as (select idx, token, unnest([-3, -2, -1, 1, 2, 3]) as k, unnest([lag(token, 3) over w, lag(token, 2) over w, lag(token, 1) over w, lead(token, 1) over w, lead(token, 2) over w, lead(token, 3) over w]) as near from t window w as (partition by doc_id, sent order by idx)) select case when k > 0 then 'linear_+' else 'linear_' end || k || '_txt_' || near as feature, count(*) as n from l where near is not null and idx + k > 0 group by 1 union all select case when idx > 0 and regexp_matches(token, '^[A-Z]') then 'upper_case_start' end as feature, count(*) from t group by 1 having feature is not null union all select 'upper_case_middle', count(*) from t where regexp_matches(token, '^.+[A-Z]') having count(*) > 0 union all select 'has_digits', count(*) from t where regexp_matches(token, '[0-9]') having count(*) > 0")
+def feature_linear(t):
+    rows = features.token_features(_tokens(t)).select(F.explode("names").alias("feature"))
+    return rows.where("feature like 'linear%' or feature in ('upper_case_start', 'upper_case_middle', 'has_digits')").groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query(f"with t as (select token from ({TOK})), g as (select token, unnest(list_distinct(list_transform(range(1, length(token)), lambda i: 'dt_' || lower(substr(token, i, 2))))) as feature from t where length(token) >= 2 union all select token, unnest(list_distinct(list_transform(range(1, length(token) - 1), lambda i: 'tt_' || lower(substr(token, i, 3))))) from t where length(token) >= 3) select feature, count(*) as n from g group by 1")
+def feature_char_grams(t):
+    rows = features.token_features(_tokens(t)).select(F.explode("names").alias("feature"))
+    return rows.where("feature like 'dt!_%' escape '!' or feature like 'tt!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query(f"with b as (select doc_id, lower(token) as w, count(*) as n from ({TOK}) group by 1, 2) select doc_id, w as word, round(n / sum(n) over (partition by doc_id), 8) as weight from b")
+def feature_l1(t):
+    bow = text.bag_of_words(_tokens(t), ["doc_id"])
+    maps = bow.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n").cast("double")))).alias("m"))
+    return rounded(maps.select("doc_id", F.explode(features.l1(F.col("m"))).alias("word", "weight")), 8)
+
+
+_EDGES = f"select doc_id, sent, first_a as a, first_b as b from ({PAIRS})"
+
+
+@query(f"with p as ({PAIRS}), x as (select doc_id, sent, first_a as a, first_b as b, distance <= 3 as near from p union all select doc_id, sent, first_b, first_a, false from p) select doc_id, sent, a, b, case when near then 'Near' else 'neg' end as class from x")
+def example_edges(t):
+    caps = text.capitalised(_tokens(t))
+    gold = text.pairs(caps).where("distance <= 3").select("doc_id", "sent", F.col("first_a").alias("a"), F.col("first_b").alias("b"), F.lit("Near").alias("type"))
+    return features.edge_examples(caps.select("doc_id", "sent", F.col("first").alias("id")), gold)
+
+
+@query("select doc_id, case when toxic = 1 and quality = 0 then 'negation---speculation' when toxic = 1 then 'negation' when quality = 0 then 'speculation' else 'neg' end as class from labels")
+def example_modifiers(t):
+    rows = t("labels").select("doc_id", (F.col("toxic") == 1).alias("negation"), (F.col("quality") == 0).alias("speculation"))
+    return features.modifier_examples(rows).select("doc_id", "class")
+
+
+@query(f"select t.token, count(*) as n from ({_EDGES}) e join ({TOK}) t on e.doc_id = t.doc_id and e.sent = t.sent and t.idx > e.a and t.idx < e.b group by 1")
+def feature_between(t):
+    toks = _tokens(t)
+    pairs = text.pairs(text.capitalised(toks))
+    return features.between(toks, pairs, "first_a", "first_b").groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"select region, token, count(*) as n from (select unnest(case when t.idx < e.a then ['fore'] when t.idx > e.b then ['after'] else ['fore', 'between', 'after'] end) as region, t.token from ({_EDGES} where distance <= 3) e join ({TOK}) t on e.doc_id = t.doc_id and e.sent = t.sent and t.idx <> e.a and t.idx <> e.b) group by 1, 2")
+def feature_regions(t):
+    toks = _tokens(t)
+    near = text.pairs(text.capitalised(toks)).where("distance <= 3")  # the related pairs
+    rows = features.regions(toks, near, "first_a", "first_b")
+    return rows.groupBy("region", "token").agg(F.sum("n").alias("n"))
+
+
+def _deps(toks):
+    return toks.where("idx > 0").select("doc_id", "sent", (F.col("idx") - 1).alias("gov"), F.col("idx").alias("dep"), F.when(F.col("idx") % 2 == 0, "even").otherwise("odd").alias("type"))
+
+
+@query(f"with t as ({TOK}), d as (select doc_id, sent, idx - 1 as gov, idx as dep, case when idx % 2 = 0 then 'even' else 'odd' end as type from t where idx > 0), x as (select d.doc_id, d.sent, dep as idx, 'In' as tag, type, token from d join t on d.doc_id = t.doc_id and d.sent = t.sent and t.idx = gov union all select d.doc_id, d.sent, gov, 'Out', type, token from d join t on d.doc_id = t.doc_id and d.sent = t.sent and t.idx = dep) select 't1H' || tag || '_' || f as feature, count(*) as n from (select distinct doc_id, sent, idx, tag, unnest([type, token, type || '_' || token]) as f from x) group by 1")
+def feature_attached(t):
+    toks = _tokens(t)
+    return features.attached(_deps(toks), toks).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@query("with t as (select doc_id, unnest(range(1, 9)) as idx from documents), p as (select way, k, idx, case when way = 'frw_' then idx + k else idx - k end as stop, list_aggregate(list_transform(range(0, k), lambda i: way || case when (case when way = 'frw_' then idx + i + 1 else idx - i end) % 2 = 0 then 'even' else 'odd' end), 'string_agg', ' ') as steps from t, (values ('frw_'), ('rev_')) w(way), (values (1), (2), (3)) s(k)) select steps, count(*) as n from p where stop between 1 and 8 group by 1")
+def feature_chains(t):
+    toks = t("documents").select("doc_id", F.lit(0).alias("sent"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("idx"))
+    deps = _deps(toks).where("gov > 0")
+    return features.chains(deps).select(F.array_join("steps", " ").alias("steps")).groupBy("steps").agg(F.count("*").alias("n"))
+
+
+@query(f"with t as ({TOK}), l as (select doc_id, sent, idx, lower(token) as a, lower(lead(token) over w) as b from t window w as (partition by doc_id, sent order by idx)), p as (select distinct split_part(lower(n_name), ' ', 1) as x from nation), h as (select doc_id, sent, idx, 1 as n from l where a in ('the', 'de', 'der') union all select doc_id, sent, idx, 2 from l where a || ' ' || b in ('of the', 'de la')) select doc_id, sent, idx from (select distinct doc_id, sent, unnest(range(idx, idx + n)) as idx from h)")
+def feature_gazetteer(t):
+    listed = t("region").sparkSession.createDataFrame([(p,) for p in ("the", "de", "der", "of the", "de la")], "phrase string")
+    return features.gazetteer(_tokens(t), listed, [1, 2])
+
+
+@query("select quality, count(*) as n, round((select count(*) from labels) / ((select count(distinct quality) from labels) * count(*)), 6) as balanced, round(count(*) / (select min(c) from (select count(*) as c from labels group by quality)), 6) as proportional from labels group by 1")
+def label_weights(t):
+    return rounded(features.weights(t("labels"), "quality"))
+
+
+@query(f"select doc_id, 'e' || (row_number() over (partition by doc_id order by sent, idx, p) - 1) as id, sent, idx, type from (select doc_id, sent, idx, unnest(string_split(class, '---')) as type, unnest(range(len(string_split(class, '---')))) as p from ({_EXAMPLES}) where class <> 'neg')")
+def write_triggers(t):
+    rows = structure.split_predictions(_examples(t).drop("token"), ["doc_id", "sent", "idx"])
+    return rows.select("doc_id", "id", "sent", "idx", "type")
+
+
+_ENT = "select n_regionkey as doc_id, 'e' || n_nationkey as id, case when n_nationkey % 3 = 0 then 'Gene' when n_nationkey % 3 = 1 then 'Site' else 'Event' end as type from nation"
+_REL = "select a.n_regionkey as doc_id, 'r' || a.n_nationkey || '-' || b.n_nationkey as id, case when (a.n_nationkey + b.n_nationkey) % 2 = 0 then 'Theme' else 'Cause' end as type, 'e' || a.n_nationkey as a, 'e' || b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey"
+
+
+def _annotation(t):
+    n = t("nation")
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "Gene").when(F.col("n_nationkey") % 3 == 1, "Site").otherwise("Event")
+    ents = n.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("id"), kind.alias("type"), (F.col("n_nationkey") % 3 == 0).alias("given"))
+    x, y = (n.select("n_regionkey", F.col("n_nationkey").alias(k)) for k in "xy")
+    end = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
+    rels = x.join(y, "n_regionkey").where("x <> y").select(
+        F.col("n_regionkey").alias("doc_id"),
+        F.concat(F.lit("r"), F.col("x").cast("string"), F.lit("-"), F.col("y").cast("string")).alias("id"),
+        F.when((F.col("x") + F.col("y")) % 2 == 0, "Theme").otherwise("Cause").alias("type"),
+        end("x").alias("a"),
+        end("y").alias("b"),
+    )
+    return ents, rels
+
+
+@query(f"with e as ({_ENT}), r as ({_REL}) select r.type, x.type as type_a, y.type as type_b, count(*) as n from r join e x on r.doc_id = x.doc_id and r.a = x.id join e y on r.doc_id = y.doc_id and r.b = y.id group by all")
+def schema_relations(t):
+    return structure.typed(*_annotation(t)).groupBy("type", "type_a", "type_b").agg(F.count("*").alias("n"))
+
+
+@query(f"with e as ({_ENT}), r as ({_REL}) select r.doc_id, r.id, case when r.type = 'Theme' and x.type = 'Event' and y.type in ('Gene', 'Event') then r.type else 'neg' end as type from r join e x on r.doc_id = x.doc_id and r.a = x.id join e y on r.doc_id = y.doc_id and r.b = y.id")
+def write_edges(t):
+    ents, rels = _annotation(t)
+    schema = t("region").sparkSession.createDataFrame([("Theme", "Event", "Gene"), ("Theme", "Event", "Event")], "type string, type_a string, type_b string")
+    return structure.valid_relations(ents, rels, schema, keep_neg=True).select("doc_id", "id", "type")
+
+
+@query("with p as (select doc_id, n_chars, case when n_chars > 2500 then 2 when n_chars > 1500 then 1 else 0 end as p, quality + toxic as t from labels join documents using (doc_id)), c as (select k, count(*) filter (where t = k and p = k) as tp, count(*) filter (where t <> k and p = k) as fp, count(*) filter (where t = k and p <> k) as fn from p, (values (1), (2)) c(k) where k in (select t from p union select p from p) group by 1), s as (select case when tp + fp = 0 then 0 else tp / (tp + fp) end as pr, case when tp + fn = 0 then 0 else tp / (tp + fn) end as re, case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end as f from c) select round(avg(pr), 6) as precision, round(avg(re), 6) as recall, round(avg(f), 6) as fscore from s")
+def eval_macro(t):
+    return rounded(evaluation.macro(evaluation.confusion(_classes(t), "truth", "predicted"), 0))
+
+
+def _classes(t):
+    rows = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id")
+    p = F.when(F.col("n_chars") > 2500, 2).when(F.col("n_chars") > 1500, 1).otherwise(0)
+    return rows.select("doc_id", (F.col("quality") + F.col("toxic")).alias("truth"), p.alias("predicted"))
+
+
+@query("with p as (select case when n_chars > 2500 then 2 when n_chars > 1500 then 1 else 0 end as p, quality + toxic as t from labels join documents using (doc_id)), c as (select count(*) filter (where t > 0 and p > 0) as tp, count(*) filter (where t = 0 and p > 0) as fp, count(*) filter (where t > 0 and p = 0) as fn, count(*) filter (where t = 0 and p = 0) as tn from p) select *, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as fscore, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) as auc from c")
+def eval_binary(t):
+    return rounded(evaluation.binary(evaluation.confusion(_classes(t), "truth", "predicted"), 0))
+
+
+_SCORES = "select event_id, value / 100 as a, 0.6 - value / 200 as b, (event_id % 10) / 10.0 - 0.3 as neg from events"
+
+
+def _scored(t):
+    e = t("events")
+    m = F.create_map(F.lit("a"), F.col("value") / 100, F.lit("b"), 0.6 - F.col("value") / 200, F.lit("neg"), (F.col("event_id") % 10) / 10.0 - 0.3)
+    return e.select("event_id", F.when(F.col("event_type") == "click", "a").otherwise("neg").alias("truth"), m.alias("scores"))
+
+
+@query(f"select event_id, case when a >= b and a >= n then 'a' when b >= n then 'b' else 'neg' end as best, case when neg > 0.35 then 'neg' when a >= b then 'a' else 'b' end as cut from (select *, case when neg >= 0 then neg * 0.8 else neg * 1.2 end as n from ({_SCORES}))")
+def eval_recall_adjust(t):
+    best = evaluation.best_class("scores", "neg", 0.8)
+    cut = evaluation.best_class("scores", "neg", threshold=0.35)
+    return _scored(t).select("event_id", best.alias("best"), cut.alias("cut"))
+
+
+@query(f"with s as ({_SCORES}) select 'a' as class, round(min(a), 8) as least, round(max(a), 8) as most from s union all select 'b', round(min(b), 8), round(max(b), 8) from s union all select 'neg', round(min(neg), 8), round(max(neg), 8) from s")
+def eval_score_ranges(t):
+    return rounded(evaluation.score_ranges(_scored(t), "scores"), 8)
+
+
+@query("select l_orderkey, bool_and(l_returnflag <> 'R') as correct from lineitem group by 1")
+def eval_events(t):
+    return evaluation.correct_events(t("lineitem").withColumn("ok", F.col("l_returnflag") != "R"), ["l_orderkey"], "ok")
+
+
+@query("with a as (select lang, count(*) as n from documents where n_chars > 1500 group by 1), b as (select lang, count(*) as n from documents where n_chars <= 1500 group by 1) select coalesce(a.lang, b.lang) as lang, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b, round(coalesce(a.n, 0) / nullif(coalesce(b.n, 0), 0), 6) as ratio from a full join b on a.lang = b.lang")
+def eval_compare_sets(t):
+    d = t("documents")
+    return rounded(evaluation.compared(d.where("n_chars > 1500"), d.where("n_chars <= 1500"), "lang"))
+
+
+@query("select doc_id from documents qualify row_number() over (order by ((doc_id + 104729) * 7919) % 1000003 * 1000000007 + doc_id) <= cast(floor(0.25 * count(*) over ()) as bigint)")
+def set_subset(t):
+    return sets.sample_exact(t("documents").select("doc_id"), "doc_id", 0.25, seed=1)
+
+
+@query("select doc_id, source, case when p < 0.6 then 'train' when p < 0.8 then 'devel' else 'test' end as set from (select doc_id, source, (row_number() over (partition by source order by (doc_id * 7919) % 1000003 * 1000000007 + doc_id) - 0.5) / count(*) over (partition by source) as p from documents)")
+def set_stratified(t):
+    rows = t("documents").select("doc_id", "source")
+    return sets.stratified(rows, "doc_id", "source", [("train", 0.6), ("devel", 0.8), ("test", 1.0)])
+
+
+@query("select event_id, case when user_id in (select o_orderkey from orders where o_orderstatus = 'F') and event_id % 3 = 0 then 'test' when event_id % 3 = 0 then 'train' else 'devel' end as set from events")
+def set_mix(t):
+    rows = t("events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, "train").otherwise("devel").alias("set"))
+    keys = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("user_id"))
+    return sets.moved(rows, keys, "user_id", "train", "test").select("event_id", "set")
+
+
+@query(f"select doc_id, md5(string_agg(text, chr(10) order by sent)) as digest, cast(max(\"end\") as int) as stop from ({SENT}) group by 1")
+def text_merge_sentences(t):
+    return text.merged(text.sentences(t("documents"))).select("doc_id", F.md5("text").alias("digest"), F.col("stop"))
+
+
+@query("select conv_id, turn, role, count(*) over (partition by conv_id order by turn rows between unbounded preceding and current row) as seen, lag(role) over (partition by conv_id order by turn) as before from conversations")
+def window_previous(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t("conversations").select("conv_id", "turn", "role", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seen"), F.lag("role").over(w).alias("before"))
