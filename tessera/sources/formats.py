@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,140 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus_xml(spark: SparkSession, path: str, element: str = "document") -> DataFrame:
     """Elements of a hierarchical corpus file as nested rows, by the built-in XML reader."""
     return spark.read.format("xml").option("rowTag", element).option("attributePrefix", "").load(path)
+
+
+def read_predictions(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
+    """(file, predicted, scores map) of lines ``class score score ...``, one score a class in order."""
+    p = F.split("value", r"\s+")
+    scores = F.map_from_arrays(F.array(*map(F.lit, classes)), F.slice(p, 2, len(classes)).cast("array<double>"))
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.get(F.array(*map(F.lit, classes)), p[0].cast("int") - 1).alias("predicted"), scores.alias("scores"))
+
+
+def read_dependencies(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sent, type, gov, dep) of lines ``type(word-i, word-j)``, places from 0; blank lines end a sentence."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\n\s*\n")).alias("sent", "block"))
+    rows = whole.select("file", "sent", F.explode(F.split("block", "\n")).alias("line"))
+    pattern = r"^([^(]+)\(.+-(\d+)'*, .+-(\d+)'*\)\s*$"
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    return rows.where(F.col("line").rlike(pattern)).select("file", "sent", part(1).alias("type"), (part(2).cast("int") - 1).alias("gov"), (part(3).cast("int") - 1).alias("dep"))
+
+
+def phrases_of(tree: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Tokens of a bracketed tree, and its phrases (type, first token, last token), inner before outer."""
+    import re
+
+    words, found, open_ = [], [], []
+    for part in re.findall(r"\(\s*[^\s()]*|\)|[^\s()]+", tree):
+        if part[0] == "(" and len(part) > 1:
+            open_.append((part[1:].strip(), len(words), False))
+        elif part == "(":
+            open_.append(("", len(words), False))
+        elif part == ")":
+            if not open_:
+                continue
+            kind, first, leaf = open_.pop()
+            if not leaf and kind and len(words) > first:
+                found.append((kind, first, len(words) - 1))
+        else:
+            words.append(part)
+            if open_:
+                kind, first, _ = open_.pop()
+                open_.append((kind, first, True))
+    return words, found
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sent, tokens, phrases) of files with one bracketed tree a line."""
+    def run(lines: pd.Series) -> pd.DataFrame:
+        rows = [phrases_of(x) for x in lines]
+        return pd.DataFrame({"tokens": [r[0] for r in rows], "phrases": [[{"type": k, "first": a, "last": b} for k, a, b in r[1]] for r in rows]})
+
+    parse = F.pandas_udf(run, "tokens array<string>, phrases array<struct<type:string,first:int,last:int>>")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("sent", "line"))
+    return whole.where(F.trim("line") != "").withColumn("_p", parse("line")).select("file", "sent", "_p.tokens", "_p.phrases")
+
+
+def read_vectors(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(rank, word, vector) of a binary word-vector file: a header ``count size``, then word, space, float32s.
+
+    A file is one row of the binary source, so it must be smaller than 2 GB;
+    larger ones are split first. ``most`` keeps the first words.
+    """
+    def run(batches):
+        import numpy as np
+
+        for frame in batches:
+            for blob in frame["content"]:
+                head, at = blob.split(b"\n", 1)[0], blob.index(b"\n") + 1
+                n, size = map(int, head.split())
+                rows = []
+                for rank in range(n if most is None else min(n, most)):
+                    stop = blob.index(b" ", at)
+                    word = blob[at:stop].strip().decode("utf-8", "replace")
+                    at = stop + 1 + 4 * size
+                    rows.append((rank, word, np.frombuffer(blob, "<f4", size, stop + 1).tolist()))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["rank", "word", "vector"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["rank", "word", "vector"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "rank long, word string, vector array<float>")
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, synonyms, parents) of the term stanzas of an ontology text file."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("b")).where(F.col("b").rlike(r"^\s*\[Term\]"))
+    every = lambda pattern: F.regexp_extract_all("b", F.lit(pattern))
+    return whole.select(
+        F.regexp_extract("b", r"(?m)^id: (\S+)", 1).alias("id"),
+        F.regexp_extract("b", r"(?m)^name: (.+)$", 1).alias("name"),
+        every(r'(?m)^synonym: "([^"]*)"').alias("synonyms"),
+        every(r"(?m)^is_a: (\S+)").alias("parents"),
+    )
+
+
+def standoff_lines(df: DataFrame) -> DataFrame:
+    """(file, value): the inverse of ``read_standoff`` for text-bound, event, relation and modifier rows."""
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["b"].cast("string"), F.lit(" "), s["e"].cast("string"))), ";")
+    pairs = F.array_join(F.transform("arguments", lambda a: F.concat(a["role"], F.lit(":"), a["target"])), " ")
+    value = (
+        F.when(F.col("kind") == "T", F.concat_ws("\t", "id", F.concat_ws(" ", "type", spans), "text"))
+        .when(F.col("kind") == "E", F.concat_ws("\t", "id", F.concat_ws(" ", F.concat_ws(":", "type", F.nullif("trigger", F.lit(""))), F.nullif(pairs, F.lit("")))))
+        .otherwise(F.concat_ws("\t", "id", F.concat_ws(" ", "type", F.nullif(pairs, F.lit("")))))
+    )
+    return df.select("file", value.alias("value"))
+
+
+def conllu_lines(df: DataFrame) -> DataFrame:
+    """(file, sent, value): the inverse of ``read_conllu``, a block a sentence."""
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    line = F.concat_ws("\t", F.col("idx").cast("string"), dash("token"), dash("lemma"), dash("pos"), F.lit("_"), F.lit("_"), dash("head"), dash("relation"), F.lit("_"), F.lit("_"))
+    rows = df.groupBy("file", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("r"))
+    return rows.select("file", "sent", F.concat(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One JSON text a row."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def latex_table(df: DataFrame, caption: str = "") -> str:
+    """A small result as a LaTeX table; rows come to the driver, as only a table for print should."""
+    clean = lambda v: "" if v is None else "".join(f"\\{c}" if c in "&%$#_{}" else c for c in str(v))
+    rows = [" & ".join(map(clean, r)) + r" \\" for r in df.collect()]
+    head = " & ".join(map(clean, df.columns)) + r" \\"
+    return "\n".join([r"\begin{table}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", head, r"\hline", *rows, r"\end{tabular}", *([rf"\caption{{{clean(caption)}}}"] if caption else []), r"\end{table}"])
+
+
+def submission_lines(relations: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): tab-separated lines of the predicted relations, neg left out."""
+    return relations.where("type <> 'neg'").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
+
+
+def load(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """One entry for all readers, by the name of the format."""
+    readers = {"standoff": read_standoff, "examples": read_examples, "conllu": read_conllu, "xml": read_corpus_xml, "predictions": read_predictions, "dependencies": read_dependencies, "trees": read_trees, "vectors": read_vectors, "ontology": read_ontology}
+    if kind in readers:
+        return readers[kind](spark, path, **options)
+    return spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **options).load(path)
