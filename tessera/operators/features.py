@@ -129,10 +129,12 @@ def attached(deps: DataFrame, toks: DataFrame) -> DataFrame:
 
     def side(own: str, other: str, tag: str) -> DataFrame:
         rows = deps.select(*SENTENCE, F.col(own).alias("idx"), F.col(other).alias("_i"), "type").join(word, [*SENTENCE, "_i"])
-        names = F.array(F.concat(F.lit(f"t1H{tag}_"), "type"), F.concat(F.lit(f"t1H{tag}_"), "_w"), F.concat(F.lit(f"t1H{tag}_"), "type", F.lit("_"), "_w"))
-        return rows.select(*SENTENCE, "idx", F.explode(names).alias("feature"))
+        return rows.select(*SENTENCE, "idx", F.struct(F.lit(f"t1H{tag}_").alias("t"), "type", F.col("_w").alias("w")).alias("x"))
 
-    return side("dep", "gov", "In").unionByName(side("gov", "dep", "Out")).distinct()
+    # one short row an arc end is shuffled to its token, and names are written out there
+    ends = side("dep", "gov", "In").unionByName(side("gov", "dep", "Out")).groupBy(*SENTENCE, "idx").agg(F.collect_set("x").alias("x"))
+    names = F.flatten(F.transform("x", lambda x: F.array(F.concat(x["t"], x["type"]), F.concat(x["t"], x["w"]), F.concat(x["t"], x["type"], F.lit("_"), x["w"]))))
+    return ends.select(*SENTENCE, "idx", F.explode(F.array_distinct(names)).alias("feature"))
 
 
 def chains(deps: DataFrame, depth: int = 3) -> DataFrame:
