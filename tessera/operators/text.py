@@ -95,3 +95,25 @@ def merged(sents: DataFrame) -> DataFrame:
     """(doc_id, text, stop): a document's sentences joined by line breaks, and the end of the last one."""
     rows = F.array_sort(F.collect_list(F.struct("sent", "text")))
     return sents.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"), F.max("end").alias("stop"))
+
+
+def into_sentences(entities: DataFrame, sents: DataFrame) -> DataFrame:
+    """Document-level entities (doc_id, id, begin, end) with the first sentence they overlap and their offsets in it.
+
+    Offsets are cut to the sentence; entities that overlap none are left out.
+    """
+    both = overlaps(entities.select("doc_id", "id", "begin", "end"), sents.select("doc_id", "sent", "begin", "end"), ["doc_id"])
+    first = both.groupBy("doc_id", "id").agg(F.min(F.struct("sent", "begin_a", "end_a", "begin_b", "end_b")).alias("x")).select("doc_id", "id", "x.*")
+    begin = F.greatest(F.col("begin_a") - F.col("begin_b"), F.lit(0))
+    return first.select("doc_id", "id", "sent", begin.alias("begin"), (F.least("end_a", "end_b") - F.col("begin_b")).alias("end"))
+
+
+def matched_phrases(phrases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, phrase, entity): the entity around a phrase whose ends differ least, the least id of equals.
+
+    ``phrases`` has (doc_id, phrase, begin, end), ``entities`` (doc_id, id, begin, end, given); given ones are left out.
+    """
+    a = phrases.select("doc_id", "phrase", F.col("begin").alias("_b"), F.col("end").alias("_e"))
+    both = a.join(entities.where("not given").select("doc_id", "id", "begin", "end"), "doc_id").where("begin <= _b and _e <= end")
+    off = F.abs(F.col("begin") - F.col("_b")) + F.abs(F.col("end") - F.col("_e"))
+    return both.groupBy("doc_id", "phrase").agg(F.min(F.struct(off.alias("o"), "id")).alias("x")).select("doc_id", "phrase", F.col("x.id").alias("entity"))

@@ -226,3 +226,10 @@ def window_previous(t):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     return t("conversations").select("conv_id", "turn", "role", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seen"), F.lag("role").over(w).alias("before"))
+
+
+@query(f"with e as (select doc_id, k as id, k * 100 as b, k * 100 + 50 as e from (select doc_id, unnest(range(n_chars // 100 + 1)) as k from documents)), o as (select e.doc_id, e.id, s.sent, greatest(e.b - s.begin, 0) as begin, least(e.e, s.\"end\") - s.begin as stop from e join ({SENT}) s on e.doc_id = s.doc_id and s.begin < e.e and e.b < s.\"end\") select doc_id, id, sent, cast(begin as bigint) as begin, cast(stop as bigint) as \"end\" from o qualify row_number() over (partition by doc_id, id order by sent) = 1")
+def span_into_sentences(t):
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n_chars div 100")))
+    ents = t("documents").select("doc_id", k.alias("id")).withColumn("begin", F.col("id") * 100).withColumn("end", F.col("begin") + 50)
+    return text.into_sentences(ents, text.sentences(t("documents")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, features, sets, structure
+from tessera.operators import evaluation, features, sets, structure, text
 
 ENT = "doc_id int, id string, type string, given boolean"
 REL = "doc_id int, id string, type string, a string, b string"
@@ -94,3 +94,9 @@ def test_divide_and_grid(spark, tmp_path):
     got = sorted((r.k, r.set) for r in spark.read.parquet(str(tmp_path / "d")).collect())
     assert got == [(1, "train"), (1, "train-and-devel"), (2, "devel"), (2, "train-and-devel"), (4, "test")]
     assert sets.grid(c=[1, 2], d=["x"]) == [{"c": 1, "d": "x"}, {"c": 2, "d": "x"}]
+
+
+def test_matched_phrases(spark):
+    phrases = spark.createDataFrame([(1, "p", 3, 6), (1, "q", 40, 41)], "doc_id int, phrase string, begin int, end int")
+    ents = spark.createDataFrame([(1, "e1", 0, 9, False), (1, "e3", 3, 7, False), (1, "e2", 2, 6, False), (1, "g", 3, 6, True)], "doc_id int, id string, begin int, end int, given boolean")
+    assert [tuple(r) for r in text.matched_phrases(phrases, ents).collect()] == [(1, "p", "e2")]
