@@ -320,3 +320,16 @@ def test_pipeline_stages(spark, sf, documents):
             assert all(n <= 2 * size[d] for d, n in mixed.items())
     out = p.STAGES[4][1](spark, docs, sf).collect()
     assert len(out) == docs.count()
+
+
+def test_pipeline_joins_on_five_words(spark, sf, documents, texts):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    # about 0.87 of the shingles are shared: below 0.9, above 0.8
+    rows = [(10**6, " ".join(base)), (10**6 + 1, " ".join(base + [f"tail{i}" for i in range(30)])), (10**6 + 2, " ".join(base[:60]))]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {d for d, (_, c) in brute_components(texts | dict(rows), 5, 4, 5).items() if d == c}
+    assert 10**6 + 1 not in want and 10**6 + 2 in want
+    assert {r.doc_id for r in p.STAGES[1][1](spark, docs, sf).collect()} == want
