@@ -5,17 +5,21 @@ limit if more distinct documents of the host than ``max(min_docs, share of the
 host's documents)`` contain it; exact copies of a text count as one document.
 Such lines are removed from all documents but the first that has them, and a
 document that loses more than ``depleted`` of its words is rejected, as is one
-that fails the base rules.
+that fails the base rules. ``judge`` gives the counts and the verdict,
+``clean_documents`` the kept documents with those lines cut from their text.
 
 Scale: texts are never shuffled. A first count by line hash, combined before the
 shuffle, leaves only lines that can be above the limit; distinct documents are
 counted for those alone, in two steps by (line, text) and by line, so that a
-line of all documents is dealt over all tasks and then combined.
+line of all documents is dealt over all tasks and then combined. Lines are cut
+in one pass over the documents, with the table of lines above the limit
+broadcast; only beyond ``BROADCAST_LINES`` of them is each text joined to its own.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; rows with the same doc_id are judged by their
-own counts and share the words removed under that doc_id; extra columns are
-ignored.
+null host is a host of its own; in ``judge`` rows with the same doc_id are judged
+by their own counts and share the words removed under that doc_id, and rows
+without doc_id lose none; ``clean_documents`` decides each row by its own text,
+whatever its doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import durable
-from tessera.llm.textcore import SPACE, Prefix, chunks, grams, lut, words
+from tessera.llm.textcore import SPACE, Prefix, Texts, Words, chunks, grams, lut, words
 
+_SPACES, _DIGITS = b" \t\n\x0b\x0c\r", re.compile(rb"[0-9]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows of (line hash) up to which the lines in question are broadcast: 16 bytes each.
@@ -72,8 +78,28 @@ def line_hash(host: str | None, norm: bytes) -> int:
     return xxhash.xxh64_intdigest(norm, seed) - (1 << 63)
 
 
+def _normal(line: bytes) -> list[bytes]:
+    """The words of a line's normal form."""
+    return _DIGITS.sub(b"0", line.lower()).split()
+
+
+def _text_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+
+
+def _repeats(t: Texts, w: Words) -> np.ndarray:
+    """Words of each text that lie in a repeated window."""
+    repeat = _covered(Prefix(t.data).hashes(w.start, w.end), w.first)
+    return np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first])
+
+
+def _base_failed(n_words, n_repeat_words):
+    """Of columns or arrays."""
+    return (n_words < 20) | (n_repeat_words * 100 > n_words * 30)
+
+
 def _stats(min_words: int):
-    symbol, spaces, digits = lut(SYMBOLS.encode()), b" \t\n\x0b\x0c\r", re.compile(rb"[0-9]+")
+    symbol = lut(SYMBOLS.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,16 +108,15 @@ def _stats(min_words: int):
                 w = words(t)
                 starts_char = (t.data & 0xC0) != 0x80
                 per_doc = lambda flag, t=t: np.diff(np.concatenate(([0], np.cumsum(flag)))[t.bounds])
-                repeat = _covered(Prefix(t.data).hashes(w.start, w.end), w.first)
-                repeats = np.diff(np.concatenate(([0], np.cumsum(repeat)))[w.first])
+                repeats = _repeats(t, w)
                 dups, texts, ends, lines, sizes = [], [], [0], [], []
                 for i in range(len(t)):
                     raw = t.raw(i)
-                    found = [x for x in raw.split(b"\n") if x.strip(spaces)]
+                    found = [x for x in raw.split(b"\n") if x.strip(_SPACES)]
                     dups.append(len(found) - len(set(found)))
-                    texts.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
+                    texts.append(_text_hash(raw))
                     for x in found:
-                        parts = digits.sub(b"0", x.lower()).split()
+                        parts = _normal(x)
                         if len(parts) >= min_words:
                             lines.append(line_hash(hosts[t.first + i], b" ".join(parts)))
                             sizes.append(len(parts))
@@ -155,13 +180,83 @@ def judge(docs: DataFrame, depleted: float = 0.5, **limits) -> DataFrame:
         .agg(F.sum("words").alias("lost_words"))
     )
     rows = stats.drop("host", "text_hash", "lines", "line_words").join(lost, "doc_id", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", ~failed & (F.col("lost_words") <= F.col("n_words") * depleted))
 
 
-def clean_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged."""
-    kept = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``_text``, the hash of their text."""
+    for batch in batches:
+        found = [_text_hash(t.raw(i)) for t in chunks(batch.column("text")) for i in range(len(t))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_text"])
+
 
+def _cleaned(shared, columns: list[str], min_words: int, depleted: float):
+    """The rows kept, without their lines above the limit: those of ``shared``, or else of the column ``_cut``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, first_text = shared.value if shared else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            hosts = batch.column("source").to_pylist()
+            at, texts, sizes = [], {}, {}
+            for t in chunks(batch.column("text")):
+                w = words(t)
+                n_words = np.diff(w.first)
+                fine = np.flatnonzero(~_base_failed(n_words, _repeats(t, w)))
+                lines, size, owner, place, hashes = [], [], [], [], np.zeros(len(t), np.int64)
+                pieces = {i: t.raw(i).split(b"\n") for i in fine.tolist()}
+                for i, found in pieces.items():
+                    hashes[i] = _text_hash(t.raw(i))
+                    for k, x in enumerate(found):
+                        parts = _normal(x)
+                        if len(parts) >= min_words:
+                            lines.append(line_hash(hosts[t.first + i], b" ".join(parts)))
+                            size.append(len(parts))
+                            owner.append(i)
+                            place.append(k)
+                lines, size, owner = np.array(lines, np.int64), np.array(size, np.int64), np.array(owner, np.int64)
+                if shared:
+                    spot = np.minimum(np.searchsorted(above, lines), max(len(above) - 1, 0))
+                    cut = (above[spot] == lines) & (first_text[spot] != hashes[owner]) if len(above) else np.zeros(len(lines), bool)
+                else:
+                    own = {i: set(batch.column("_cut")[t.first + i].as_py() or ()) for i in pieces}
+                    cut = np.array([x in own[i] for i, x in zip(owner.tolist(), lines.tolist(), strict=True)], bool)
+                lost = np.zeros(len(t), np.int64)
+                np.add.at(lost, owner[cut], size[cut])
+                gone = {}
+                for j in np.flatnonzero(cut).tolist():
+                    gone.setdefault(int(owner[j]), set()).add(place[j])
+                for i, found in pieces.items():
+                    if lost[i] <= n_words[i] * depleted:
+                        at.append(t.first + i)
+                        if i in gone:
+                            text = b"\n".join(x for k, x in enumerate(found) if k not in gone[i]).decode()
+                            texts[at[-1]], sizes[at[-1]] = text, len(text)
+            out = []
+            for name in columns:
+                column, new = batch.column(name).take(pa.array(at, pa.int64())), {"text": texts, "n_chars": sizes}.get(name)
+                if new:
+                    column = pa.array([new.get(i, x) for i, x in zip(at, column.to_pylist(), strict=True)], column.type)
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return run
+
+
+def clean_documents(docs: DataFrame, depleted: float = 0.5, min_words: int = 3, **limits) -> DataFrame:
+    """The rows of ``docs`` that are kept, their text without the lines above the limit, ``n_chars`` that of a cut text.
+
+    The first document of such a line has it still, as have exact copies of that document.
+    """
+    stats = durable(document_stats(docs, min_words), "line-stats")
+    found, above = frequent_lines(stats, **limits)
+    above = durable(above, "lines-above")
+    schema, run = docs.schema, lambda shared: _cleaned(shared, docs.columns, min_words, depleted)
+    if above.count() <= BROADCAST_LINES:
+        rows = above.orderBy("line").toArrow()
+        lines = [rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("line", "first_text")]
+        return docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(lines)), schema)
+    cuts = found.join(above, "line").where("text_hash <> first_text").groupBy(F.col("text_hash").alias("_text"))
+    texts = docs.mapInArrow(_hashed, StructType([*docs.schema.fields, StructField("_text", LongType())]))
+    return texts.join(cuts.agg(F.collect_set("line").alias("_cut")), "_text", "left").mapInArrow(run(None), schema)

@@ -333,3 +333,45 @@ def test_pipeline_joins_on_five_words(spark, sf, documents, texts):
     want = {d for d, (_, c) in brute_components(texts | dict(rows), 5, 4, 5).items() if d == c}
     assert 10**6 + 1 not in want and 10**6 + 2 in want
     assert {r.doc_id for r in p.STAGES[1][1](spark, docs, sf).collect()} == want
+
+
+def brute_clean(rows, min_docs, share):
+    """(doc_id, text) of the rows kept, lines above the limit cut; ``rows`` has (doc_id, text, source)."""
+    normal = lambda x: " ".join(re.findall(WORD, re.sub("[0-9]+", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x))))
+    hosts, having = Counter(h for _, _, h in rows), defaultdict(set)
+    for d, t, h in rows:
+        for x in t.split("\n"):
+            if len(normal(x).split(" ")) >= 3:
+                having[h, normal(x)].add((d, t))
+    first = {k: min(v)[1] for k, v in having.items() if len({t for _, t in v}) > max(min_docs, share * hosts[k[0]])}
+    out = []
+    for d, t, h in rows:
+        w = re.findall(WORD, t)
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        n = Counter(grams)
+        repeated = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(8)}
+        bad = [first.get((h, normal(x)), t) != t for x in t.split("\n")]
+        lost = sum(len(normal(x).split(" ")) for x, b in zip(t.split("\n"), bad, strict=True) if b)
+        if len(w) >= 20 and 100 * len(repeated) <= 30 * len(w) and lost <= 0.5 * len(w):
+            out.append((d, "\n".join(x for x, b in zip(t.split("\n"), bad, strict=True) if not b)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bound", [10**6, -1])
+def test_clean_documents_cut_lines_of_a_host(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_quality, "BROADCAST_LINES", bound)
+    rng = random.Random(6)
+    own = lambda n: " ".join("".join(rng.choices("abcdéfgh", k=6)) for _ in range(n))
+    shared = [own(12), "Page 7 of the site", own(25)]
+    rows = []
+    for i in range(60):
+        lines = [own(40), own(12), "", "a b"] + [x.replace("7", str(i)) for x in shared if rng.random() < 0.8]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice("xy")))
+    rows += [(100 + i, *rows[3][1:]) for i in range(3)] + [(200, shared[2] + "\n" + own(3), "x")]
+    want = brute_clean(rows, 5, 0.02)
+    assert 40 < len(want) < len(rows) and sum(len(t) for _, t in want) < 0.9 * sum(len(t) for d, t, _ in rows if d in dict(want))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    got = line_quality.clean_documents(df, min_docs=5).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want
+    assert all(r.n_chars == len(r.text) for r in got)
