@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Queries that travel with the plan at once.
+BLOCK = 1024
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -16,15 +21,21 @@ def unit(vector: str) -> Column:
     return F.when(norm > 0, F.transform(F.col(vector), lambda x: x / norm)).otherwise(F.col(vector).cast("array<double>"))
 
 
-def nearest(base: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, similarity): the k nearest rows of each query by cosine, itself excluded.
 
-    The queries are a stated, short list and travel with the plan; each task
-    keeps its k best of each query, so that only those are shuffled.
+    ``queries`` has (query_id, q). They are dealt by hash into blocks of about
+    ``BLOCK`` rows, each broadcast against all rows; each task keeps its k best of
+    each query, so that only those are shuffled.
     """
-    spark = base.sparkSession
-    asked = F.broadcast(spark.createDataFrame(queries, "query_id long, q array<double>").withColumn("q", unit("q")))
-    rows = base.select("vec_id", unit("embedding").alias("e")).join(asked, F.col("vec_id") != F.col("query_id"))
+    blocks = max(-(-queries.count() // BLOCK), 1)
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("q").alias("q"))
+    found = [_nearest(base, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    rows = base.select("vec_id", unit("embedding").alias("e")).join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
     rows = rows.select("query_id", "vec_id", dot("q", "e").alias("similarity"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col("vec_id")).alias("v"))), asc=False), 1, k)
     first = rows.withColumn("part", F.spark_partition_id()).groupBy("query_id", "part").agg(best.alias("b"))

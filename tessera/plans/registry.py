@@ -320,7 +320,7 @@ def corpus_stats_rollup(t):
 @query("with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select vec_id as query_id, e as q from u where vec_id in (0, 1, 2, 3, 4)) select query_id, vec_id, round(similarity, 5) as similarity from (select query_id, vec_id, list_cosine_similarity(q, e) as similarity from u, q where vec_id <> query_id) qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 10")
 def vec_nearest(t):
     base = t("embeddings")
-    asked = [(r.vec_id, [float(x) for x in r.embedding]) for r in base.where("vec_id < 5").select("vec_id", "embedding").collect()]
+    asked = base.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return rounded(vectors.nearest(base, asked), 5)
 
 

@@ -73,3 +73,22 @@ def test_follow_takes_each_file_once(spark, tmp_path):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(source)
         follow(spark, source, "id long", lambda d: d.where("id % 2 = 0"), target, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(target).count() == 10
+
+
+def test_nearest_of_every_fiftieth_row(spark, sf, monkeypatch):
+    import numpy as np
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    base = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = base.orderBy("vec_id").collect()
+    ids, e = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
+    got = {}
+    for r in vectors.nearest(base, asked, 4).collect():
+        got.setdefault(r.query_id, []).append(round(r.similarity, 6))
+    assert sorted(got) == [i for i in ids if i % 50 == 0] and len(got) == 10
+    for q, found in got.items():
+        best = np.sort(np.delete(e @ e[ids.index(q)], ids.index(q)))[::-1][:4]
+        assert np.allclose(sorted(found, reverse=True), best, atol=2e-6)
