@@ -49,6 +49,24 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, a key of their own in the order of doc_id, null last.
+
+    It is the doc_id itself where each row has its own; otherwise the rows are
+    sorted, numbered and written, so that the number stays.
+    """
+    rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    twice = rows.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1 or _row is null")
+    if twice.isEmpty():
+        return rows
+    return durable(rows.orderBy(F.col("_row").asc_nulls_last()).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """``keyed`` rows with their key for a doc_id."""
+    return rows.withColumn("doc_id", F.col("_row"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

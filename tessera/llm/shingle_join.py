@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, partitions
+from tessera.llm.common import by_row, durable, keyed, partitions
 from tessera.llm.components import components
 from tessera.llm.textcore import LOWER, U64, Prefix, Texts, chunks, grams, mix64, words
 
@@ -292,7 +292,13 @@ def link(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFram
 
 
 def unique_documents(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` without those of a component whose first document is another."""
-    out, _ = link(docs, rule)
-    rest = out.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rest, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    """The rows of ``docs`` without those of a component whose first document is another.
+
+    Rows are compared as rows, whatever their doc_id: of repeated rows one stays,
+    different texts under one doc_id are two documents, and rows without doc_id
+    come after all others.
+    """
+    rows = keyed(docs)
+    out, _ = link(by_row(rows), rule)
+    rest = out.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(rest, "_row", "left_anti").select(*docs.columns)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, durable, word_count
+from tessera.llm.common import WORD, durable, keyed, word_count
 
 #: Slices of a source's seeded order: the first two hexadecimal digits of the order key.
 SUBS = 256
@@ -108,8 +108,8 @@ def apportion(goals: DataFrame, block: int, shards: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block: int = 32, shards: int = 8, seed: str = "mix") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, quotas, taken, pieces.
+def mix(docs: DataFrame, block: int = 32, shards: int = 8, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, quotas, taken, pieces, and the columns ``also``.
 
     ``pieces`` lists what the mix takes of the document as (first_word, words,
     copies, shard), where shard is the output shard of the piece's first block.
@@ -121,6 +121,7 @@ def mix(docs: DataFrame, block: int = 32, shards: int = 8, seed: str = "mix") ->
         _source_key(F.col("source")).alias("src"),
         word_count(F.col("text")).alias("size"),
         key.alias("key"),
+        *also,
     ).withColumn("sub", F.conv(F.substring("key", 1, 2), 16, 10).cast("int"))
     # word counts are needed for the statistics and for the rows: counted once, kept without the text
     rows = durable(rows, "mix-sizes")
@@ -166,20 +167,22 @@ def mix(docs: DataFrame, block: int = 32, shards: int = 8, seed: str = "mix") ->
     )
     placed = placed.withColumn("pieces", F.filter(pieces, lambda p: (p["words"] > 0) & (p["copies"] > 0)))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["words"] * p["copies"])
-    return placed.select("doc_id", "source", "size", "source_size", "target", "quotas", taken.alias("taken"), "pieces")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "quotas", taken.alias("taken"), "pieces", *also)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows with the columns of ``docs``, one for each copy of each piece.
 
     A piece that is its whole document keeps the text as it stands; a cut piece
-    has its words joined by single spaces.
+    has its words joined by single spaces. Pieces belong to rows, so rows without
+    doc_id and repeated ones have just their own.
     """
-    pieces = mix(docs, **options).select("doc_id", F.col("size").alias("_size"), F.explode("pieces").alias("_p"))
+    keys = keyed(docs)
+    pieces = mix(keys, also=("_row",), **options).select("_row", F.col("size").alias("_size"), F.explode("pieces").alias("_p"))
     pieces = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_p.copies"))))
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"))
     part = F.array_join(F.slice(words, (F.col("_p.first_word") + 1).cast("int"), F.col("_p.words").cast("int")), " ")
-    rows = docs.join(pieces, "doc_id")
+    rows = keys.join(pieces, "_row")
     text = F.when(F.col("_p.words") == F.col("_size"), F.col("text")).otherwise(part)
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -375,3 +375,18 @@ def test_clean_documents_cut_lines_of_a_host(spark, monkeypatch, bound):
     got = line_quality.clean_documents(df, min_docs=5).collect()
     assert sorted((r.doc_id, r.text) for r in got) == want
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_odd_tables_in_stages(spark, odd, empty):
+    base = odd_rows()[7][1]
+    bench = spark.createDataFrame([(1, base[:200])], "item_id long, text string")
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    kept = {r.doc_id for r in line_quality.judge(odd).where("kept").collect()}
+    assert ids(line_quality.clean_documents(odd)) == Counter(r[0] for r in odd_rows() if r[0] is None or r[0] in kept)
+    assert ids(shingle_join.unique_documents(odd)) == Counter({r[0] for r in odd_rows()} - {None, 6, 8})
+    assert ids(latent_decontamination.clean_documents(odd, bench)) == Counter(r[0] for r in odd_rows() if r[0] not in (None, 7, 8))
+    taken = source_mix.mix(odd).agg(F.sum("taken")).first()[0]
+    mixed = source_mix.mixed_documents(odd).collect()
+    assert sum(len(re.findall(WORD, r.text)) for r in mixed) == taken and None in {r.doc_id for r in mixed}
+    for stage in (line_quality.clean_documents, shingle_join.unique_documents, source_mix.mixed_documents):
+        assert stage(empty).count() == 0 and stage(empty).columns == empty.columns
