@@ -3,8 +3,8 @@
 Heuristic labellers vote good, bad or nothing on every document. Expectation
 maximisation over the counts of vote patterns (at most 3 ^ labellers, whatever
 the corpus) estimates each labeller's accuracy in each class and a posterior for
-each pattern. The posteriors of a bounded sample of about ``FIT`` documents, by
-hash, train a linear scorer on hashed words, word shapes and characters, which
+each pattern. The posteriors of a bounded sample of about ``FIT`` documents at
+most, distinct texts drawn by hash with their numbers of copies as weights, train a linear scorer on hashed words, word shapes and characters, which
 then scores every document over its whole text. A document is kept if its
 score is ``KEEP`` or more.
 
@@ -131,31 +131,39 @@ def _voted(share: float):
     limit = U64(min(int(share * 2**63), 2**63 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for t in chunks(batch.column("text")):
                 whole = Prefix(t.data).hashes(t.bounds[:-1], t.bounds[1:])
                 drawn = whole >> U64(1) <= limit
+                # a task writes the features of a drawn text once
+                new = np.zeros(len(t), bool)
+                for i in np.flatnonzero(drawn).tolist():
+                    new[i] = (h := int(whole[i])) not in seen
+                    seen.add(h)
                 row, slot, value = (
-                    features(t) if drawn.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                    features(t) if new.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 )
-                use = drawn[row]
+                use = new[row]
                 order = np.argsort(row[use], kind="stable")
                 ends = np.searchsorted(row[use][order], np.arange(len(t) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x[use][order].astype(k))) for x, k in ((slot, np.int32), (value, np.float32))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pattern(votes(t))), pa.array(drawn), *lists], names=["pattern", "drawn", "slots", "share"]
+                    [pa.array(pattern(votes(t))), pa.array(np.where(drawn, whole.view(np.int64), 0), mask=~drawn), *lists],
+                    names=["pattern", "drawn", "slots", "share"],
                 )
 
     return run
 
 
-def train(lists: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer by full gradient steps with momentum on soft labels."""
+def train(lists: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, copies: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer by full gradient steps with momentum on soft labels, each as often as it has copies."""
     row = np.repeat(np.arange(len(lists)), [len(s) for s, _ in lists])
     slot = np.concatenate([s for s, _ in lists]).astype(np.int64)
     value = np.concatenate([v for _, v in lists]).astype(float)
     # both classes weigh the same
-    weight = np.where(soft >= 0.5, 0.5 / max((soft >= 0.5).sum(), 1), 0.5 / max((soft < 0.5).sum(), 1))
+    good = copies[soft >= 0.5].sum()
+    weight = copies * np.where(soft >= 0.5, 0.5 / max(good, 1), 0.5 / max(copies.sum() - good, 1))
     w, b, vw, vb = np.zeros(DIMS), 0.0, np.zeros(DIMS), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[slot], minlength=len(lists)) + b, -30, 30)))
@@ -187,15 +195,17 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, weak, score, kept) of every row; ``weak`` is the posterior of the votes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = rows.count()
-    voted = rows.select("text").mapInArrow(_voted(FIT / max(n, 1)), "pattern long, drawn boolean, slots array<int>, share array<float>")
+    voted = rows.select("text").mapInArrow(_voted(FIT / max(n, 1)), "pattern long, drawn long, slots array<int>, share array<float>")
     voted = durable(voted, "votes")
     counts = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, w, b = {}, np.zeros(DIMS), 0.0
     if counts:
         posterior, _ = estimate(counts)
-        sample = voted.where("drawn and size(slots) > 0").select("pattern", "slots", "share").toArrow()
+        # copies become one row before they reach the driver
+        sample = voted.where("drawn is not null").groupBy("drawn").agg(F.max(F.struct("pattern", "slots", "share")).alias("x"), F.count("*").alias("n"))
+        sample = sample.where("size(x.slots) > 0").orderBy("drawn").select("x.*", "n").toArrow()
         lists = [(np.asarray(s.values), np.asarray(v.values)) for s, v in zip(sample["slots"], sample["share"], strict=True)]
         if lists:
-            w, b = train(lists, np.array([posterior[k] for k in sample["pattern"].to_pylist()]))
+            w, b = train(lists, np.array([posterior[k] for k in sample["pattern"].to_pylist()]), np.array(sample["n"].to_pylist(), float))
     shared = docs.sparkSession.sparkContext.broadcast((posterior, w, b))
     return rows.mapInArrow(_scored(shared), "doc_id long, weak double, score double, kept boolean")

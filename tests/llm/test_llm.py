@@ -390,3 +390,18 @@ def test_odd_tables_in_stages(spark, odd, empty):
     assert sum(len(re.findall(WORD, r.text)) for r in mixed) == taken and None in {r.doc_id for r in mixed}
     for stage in (line_quality.clean_documents, shingle_join.unique_documents, source_mix.mixed_documents):
         assert stage(empty).count() == 0 and stage(empty).columns == empty.columns
+
+
+def test_weak_quality_sample_is_bounded_in_copies(spark, monkeypatch):
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30))
+    import pyarrow as pa
+
+    drawn = lambda x: next(weak_quality._voted(0.1)([pa.record_batch({"text": [x]})])).column("drawn")[0].as_py()
+    hot = next(x for x in iter(own, None) if drawn(x))
+    docs = spark.createDataFrame([(i, hot if i % 3 == 0 else own()) for i in range(1500)], "doc_id long, text string")
+    sizes, train = [], weak_quality.train
+    monkeypatch.setattr(weak_quality, "FIT", 150)
+    monkeypatch.setattr(weak_quality, "train", lambda lists, soft, *a: sizes.append((len(lists), *(x.sum() for x in a))) or train(lists, soft, *a))
+    assert weak_quality.score(docs).count() == 1500
+    assert 50 < sizes[0][0] < 200 and sizes[0][1] == sizes[0][0] - 1 + 500
