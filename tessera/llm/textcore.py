@@ -8,6 +8,7 @@ longest single text. Texts are never truncated.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,6 +142,58 @@ def words(t: Texts, separator: np.ndarray = SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, t.bounds))
 
 
+#: Blocks of scripts that don't put spaces between words; a character of theirs is a word.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF)]
+
+
+_known_kinds: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """For each code point below 65536: 0 separates words, 1 is part of one, 2 is one."""
+    if not _known_kinds:
+        kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(1 << 16)), np.uint8, 1 << 16)
+        for low, high in UNSPACED:
+            kinds[low : high + 1] *= 2
+        _known_kinds.append(kinds)
+    return _known_kinds[0]
+
+
+def _kind_of_bytes(data: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte belongs to; ``head`` marks first bytes."""
+    at = np.flatnonzero(head)
+    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+    first = padded[at]
+    tail = [padded[at + k] & 0x3F for k in (1, 2, 3)]
+    code = np.where(first < 0x80, first, (first & 0x1F) << 6 | tail[0])
+    code = np.where(first >= 0xE0, (first & 0x0F) << 12 | tail[0] << 6 | tail[1], code)
+    code = np.where(first >= 0xF0, (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], code)
+    kind = _kinds()[np.minimum(code, 0xFFFF)]
+    # beyond the first plane: ideographs from 0x20000 on, pictures in 0x1Fxxx, else old scripts
+    far = code > 0xFFFF
+    kind[far] = np.where(code[far] >= 0x20000, 2, np.where(code[far] >> 12 == 0x1F, 0, 1))
+    return np.repeat(kind, np.diff(np.append(at, len(data))))
+
+
+def units(t: Texts) -> Words:
+    """Runs of letters, digits and marks inside each text; in scripts without spaces every character is one."""
+    if not len(t.data) or not (t.data >= 128).any():
+        return words(t, NON_ALNUM)
+    head = (t.data & 0xC0) != 0x80
+    head[t.bounds[:-1][t.bounds[:-1] < len(t.data)]] = True
+    kind = _kind_of_bytes(t.data, head)
+    before = np.concatenate(([0], kind[:-1]))
+    opens = (kind > 0) & ((before == 0) | (head & ((kind == 2) | (before == 2))))
+    bounds = t.bounds[:-1][t.bounds[:-1] < len(t.data)]
+    opens[bounds] = kind[bounds] > 0
+    closes = np.append((kind[1:] == 0) | opens[1:], True) & (kind > 0)
+    edge = t.bounds[1:-1]
+    edge = edge[edge > 0] - 1
+    closes[edge] |= kind[edge] > 0
+    start = np.flatnonzero(opens)
+    return Words(start, np.flatnonzero(closes) + 1, np.searchsorted(start, t.bounds))
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n-gram that begins at each word, and whether it ends in the same text.
 
