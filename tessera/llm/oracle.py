@@ -87,15 +87,14 @@ with docs as (
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
   from docs left join covered c using (doc_id)
 ), lines as (
-  select doc_id, source, text, len(string_split(norm, ' ')) as n, norm from (
-    select doc_id, source, text, trim(regexp_replace(regexp_replace(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from docs)
+  select doc_id, source, len(string_split(norm, ' ')) as n, norm from (
+    select doc_id, source, trim(regexp_replace(regexp_replace(translate(unnest(lines), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from docs)
   where len(string_split(norm, ' ')) >= 3
 ), above as (
-  select source, norm, arg_min(text, doc_id) as first_text from lines l
-  group by source, norm having count(distinct text) > greatest(20, 0.02 * (select count(*) from documents d where d.source is not distinct from l.source))
+  select source, norm from lines l
+  group by source, norm having count(distinct doc_id) > greatest(20, 0.02 * (select count(*) from documents d where d.source is not distinct from l.source))
 ), lost as (
-  select l.doc_id, sum(l.n) as lost from lines l join above a on l.norm = a.norm and l.source is not distinct from a.source
-  where l.text <> a.first_text group by l.doc_id
+  select l.doc_id, sum(l.n) as lost from lines l join above a on l.norm = a.norm and l.source is not distinct from a.source group by l.doc_id
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
