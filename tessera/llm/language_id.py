@@ -5,18 +5,22 @@ language knows falls back to character n-grams: at each of its characters the
 longest known n-gram that begins there, from 4 characters down to 1, scores by
 its log frequency, weighed by 1 / n so that a character counts about once.
 
-The model is fitted on at most ``PER_LANGUAGE`` labelled documents of each
-language, taken by hash of doc_id, and keeps the ``WORDS`` most frequent words
-and ``GRAMS`` n-grams of each length of each language. These are documented
-bounds of the classifier; every document is scored over its whole text.
-
-Defined results: ``und`` with score 0 for a text that is null or has no letter,
-and for all texts if nothing can be learned; ties go to the language first by
-code point; repeated rows give repeated rows; extra columns are ignored.
+A word is a run of letters and their combining marks, in lower case; fitting and
+scoring cut words by the same test. The model is fitted on at most about
+``PER_LANGUAGE`` labelled documents of each language, taken by hash of doc_id:
+the documented bound of the classifier. Of these it keeps every word and every
+n-gram; every document is scored over its whole text.
+
+Defined results: ``und`` with score 0 for a text that is null, empty or has no
+letter, and for all texts if nothing can be learned; a very long text is scored
+whole; ties go to the language first by code point; a row without doc_id, text or
+lang is no example, but is predicted and not held out; repeated rows give
+repeated rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.textcore import U64, Texts, _power_tables, chunks, mix64
 
-PER_LANGUAGE, WORDS, GRAMS, LONGEST = 3000, 20_000, 4_000, 4
-_WORD = r"[^\W\d_]+"
+PER_LANGUAGE, LONGEST = 3000, 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,10 +42,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """Whether each code point is a letter."""
+def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter or a combining mark, and whether it is a letter."""
     known, at = np.unique(codes, return_inverse=True)
-    return np.fromiter((chr(c).isalpha() for c in known), bool, len(known))[at]
+    kinds = [unicodedata.category(chr(c))[0] for c in known]
+    return np.array([k in "LM" for k in kinds], bool)[at], np.array([k == "L" for k in kinds], bool)[at]
+
+
+def _spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: the runs of marked places, cut at the bounds of texts."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[bounds] = True
+    start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
+    return start, np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1
 
 
 class CodePoints:
@@ -101,16 +114,13 @@ class Model:
         return at, keys[at] == hashes
 
     def scores(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) summed logs, and the number of words of each text."""
+        """(texts x languages) summed logs, and the number of words of each text; 0 without a letter."""
         codes, bounds = _codes([t.raw(i).decode("utf-8", "replace").lower() for i in range(len(t))])
         total = np.zeros((len(t), len(self.languages)))
         if not len(codes):
             return total, np.zeros(len(t), np.int64)
-        inside = _letters(codes)
-        edge = np.zeros(len(codes) + 1, bool)
-        edge[bounds] = True
-        start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
-        end = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1
+        inside, letter = _letters(codes)
+        start, end = _spans(inside, bounds)
         owner = np.searchsorted(bounds, start, "right") - 1
         text = CodePoints(codes)
 
@@ -131,26 +141,35 @@ class Model:
             left = np.ones(len(pos), bool)
             left[fits[hit]] = False
             pos, stop, who = pos[left], stop[left], who[left]
-        return total, np.bincount(owner, minlength=len(t))
-
+        some = np.diff(np.concatenate(([0], np.cumsum(letter)))[bounds]) > 0
+        return total, np.where(some, np.bincount(owner, minlength=len(t)), 0)
 
-def _count_units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import regex
 
-    find = regex.compile(_WORD).findall
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = defaultdict(Counter)
-    for frame in frames:
-        for lang, text in zip(frame["lang"], frame["text"], strict=True):
-            counts[lang].update(find(text.lower()))
+    for batch in batches:
+        langs = batch.column("lang").to_pylist()
+        for t in chunks(batch.column("text")):
+            texts = [t.raw(i).decode("utf-8", "replace").lower() for i in range(len(t))]
+            codes, bounds = _codes(texts)
+            if not len(codes):
+                continue
+            whole, (start, end) = "".join(texts), _spans(_letters(codes)[0], bounds)
+            first = np.searchsorted(start, bounds).tolist()
+            spans = list(zip(start.tolist(), end.tolist(), strict=True))
+            for i in range(len(t)):
+                counts[langs[t.first + i]].update(whole[a:b] for a, b in spans[first[i] : first[i + 1]])
     for lang, words in counts.items():
         grams: dict[tuple[int, str], int] = defaultdict(int)
         for word, n in words.items():
             for length in range(1, LONGEST + 1):
                 for i in range(len(word) - length + 1):
                     grams[length, word[i : i + length]] += n
-        rows = [(lang, 0, w, n) for w, n in words.items()] + [(lang, k, g, n) for (k, g), n in grams.items()]
+        rows = [(0, w, n) for w, n in words.items()] + [(k, g, n) for (k, g), n in grams.items()]
         for i in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[i : i + 50_000], columns=["lang", "length", "unit", "n"])
+            length, unit, n = zip(*rows[i : i + 50_000], strict=True)
+            columns = [pa.array([lang] * len(unit)), pa.array(length, pa.int32()), pa.array(unit), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "length", "unit", "n"])
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -160,18 +179,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    counts = sample.select("lang", "text").mapInPandas(_count_units, "lang string, length int, unit string, n long")
-    counts = counts.groupBy("lang", "length", "unit").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "unit")
-    limit = F.when(F.col("length") == 0, WORDS).otherwise(GRAMS)
-    rows = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).drop("r").collect()
-    counts = pd.DataFrame([tuple(r) for r in rows], columns=["lang", "length", "unit", "n"])
-    return Model.of(counts) if len(counts) else None
+    counts = sample.select("lang", "text").mapInArrow(_count_units, "lang string, length int, unit string, n long")
+    counts = counts.groupBy("lang", "length", "unit").agg(F.sum("n").alias("n")).toArrow()
+    return Model.of(counts.to_pandas()) if len(counts) else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from doc_id and text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
