@@ -6,15 +6,18 @@ curve order and the order is cut into runs of equal row counts. Rows of a run
 are close in all dimensions at once, so the min/max statistics of its files
 prune on any of them.
 
-No task ever sorts a whole cell: a cell is split into ``SUBS`` slices by a hash
-of the row's identifier, positions inside a slice come from a window over that
-slice, and the start of each slice from prefix sums over the (bounded) table of
-slice counts. Only identifiers, sizes and codes are shuffled, never texts.
-
-Defined results: a null dimension takes code 0; a null text has size 16 and
-checksum 0; ties and repeated rows are ordered by identifier, size and
-checksum, and rows equal in all three are interchangeable; an empty table
-gives an empty result; extra columns are ignored.
+No task ever sorts a whole cell: a cell is split into slices by a hash of the
+row's identifier, as many as keep a slice below ``SLICE_ROWS`` rows if one cell
+had all rows; positions inside a slice come from a window over that slice, and
+the start of each slice from prefix sums over the table of slice counts, by cell
+(4096 cells at most). Only identifiers, sizes and codes are shuffled, never
+texts.
+
+Defined results: a null dimension takes code 0; a null or empty text has size 16
+and checksum 0; a very long text is only measured; ties and repeated rows are
+ordered by identifier, size and checksum, rows without doc_id before others,
+dealt to slices by a hash of the text; rows equal in all three are
+interchangeable; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of a cell. With 4096 cells this bounds the slice table at 2^18 rows.
-SUBS = 64
+#: Slices of a cell at least, and rows of a slice at most, about.
+SUBS, SLICE_ROWS = 64, 1 << 20
 #: Bytes of a string, after the prefix common to all values, that form its code.
 PREFIX_BYTES = 6
 
@@ -125,8 +128,13 @@ def assign(docs: DataFrame, dims: list[str] = ("source", "lang", "n_chars"), sha
     quantised = codes(docs, dims, bits)
     cell = reduce(lambda acc, c: acc * (1 << bits) + c, quantised[1:], quantised[0])
     curve = F.split(F.lit(",".join(map(str, curve_table(len(dims), bits)))), ",").cast("array<int>")
-    sub = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("int") % SUBS
-    sub = F.coalesce(sub, F.lit(0))
+    name = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5("text"), F.lit("00"))
+    sub = F.conv(F.substring(name, 1, 2), 16, 10).cast("int") % SUBS
+    total, more = docs.count(), 0
+    while total > SLICE_ROWS * SUBS * 16**more and more < 6:
+        more += 1
+    if more:  # further digits of the hash cut the slices
+        sub = sub * 16**more + F.conv(F.substring(name, 3, more), 16, 10).cast("int")
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select(
         "doc_id",

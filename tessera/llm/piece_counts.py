@@ -6,14 +6,15 @@ node that is reached after popping the longest pieces off its string, and the
 number of pieces popped. A word is read once, symbol by symbol, and only the
 numbers are added up: no piece is built.
 
-The vocabulary is one of bytes with word ends. Every byte is a piece, and where
-the greedy cut leaves the bare end of a word, that end costs no token, so every
-word has a count. The vocabulary's path is a parameter; the
+The vocabulary is one of bytes with word ends. Every byte must be a piece (else
+reading it is an error), and where the greedy cut leaves the bare end of a word,
+that end costs no token, so every word has a count. The vocabulary's path is a parameter; the
 driver reads it and the automaton is broadcast, whose size is that of the
 vocabulary. Words repeat, so counts are kept in a cache of bounded size.
 
-Defined results: a null or empty text has 0 words and 0 tokens; repeated rows
-give repeated rows; extra columns are ignored.
+Defined results: a null or empty text has 0 words and 0 tokens; a very long text
+is counted whole; a null doc_id stays null, repeated rows give repeated rows; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 #: Fixed pattern of the vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = 256
@@ -51,6 +54,9 @@ def read_vocabulary(path: str) -> list[tuple[int, ...]]:
         if piece not in special:
             close = piece.endswith(end) and piece != end
             pieces.append(tuple(of[c] for c in (piece.removesuffix(end) if close else piece)) + ((END,) if close else ()))
+    missing = set(range(256)) - {p[0] for p in pieces if len(p) == 1}
+    if missing:
+        raise ValueError(f"{path}: {len(missing)} bytes are no pieces, so some words can't be cut")
     return pieces
 
 
@@ -130,7 +136,7 @@ def normal_words(text: str) -> list[str]:
 
 def count_pieces(docs: DataFrame, vocabulary: str = "/opt/tokenizers/word_bpe_49k.json") -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(Automaton(read_vocabulary(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(shared.value)

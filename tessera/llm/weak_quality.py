@@ -3,14 +3,18 @@
 Heuristic labellers vote good, bad or nothing on every document. Expectation
 maximisation over the counts of vote patterns (at most 3 ^ labellers, whatever
 the corpus) estimates each labeller's accuracy in each class and a posterior for
-each pattern. The posteriors of a bounded sample of about ``FIT`` documents at
-most, distinct texts drawn by hash with their numbers of copies as weights, train a linear scorer on hashed words, word shapes and characters, which
-then scores every document over its whole text. A document is kept if its
-score is ``KEEP`` or more.
+each pattern. The posteriors of a bounded sample train a linear scorer on hashed
+words, word shapes and characters, which then scores every document over its
+whole text. A document is kept if its score is ``KEEP`` or more.
+
+The sample is drawn by a hash of the text: about ``FIT`` distinct texts, each
+with its number of copies for a weight, and fewer where they would have more than
+``FEATURES`` features in all (the documented bounds of the classifier).
 
 Defined results: a null or empty text has no features, gets the posterior of its
-votes as score and is judged by it; an empty table gives an empty result;
-repeated rows give repeated rows; extra columns are ignored.
+votes as score and is judged by it; a very long text is scored whole; a null
+doc_id stays null, repeated rows give repeated rows; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable
 from tessera.llm.textcore import LOWER, SAME, SPACE, U64, Prefix, Texts, chunks, lut, words
 
-DIMS, FIT, KEEP = 1 << 14, 8_000, 0.5
+DIMS, FIT, FEATURES, KEEP = 1 << 14, 8_000, 8_000_000, 0.5
 _UPPER, _DIGIT = lut(bytes(range(65, 91))), lut(bytes(range(48, 58)))
 _LETTER = _UPPER | lut(bytes(range(97, 123))) | (np.arange(256) >= 128)
 _SYMBOL, _BANG, _PIPE, _STOP = lut(b"#*$%&|<>{}=_~^\\"), lut(b"!"), lut(b"|"), lut(b".?!:;\"'")
@@ -203,7 +207,10 @@ def score(docs: DataFrame) -> DataFrame:
         posterior, _ = estimate(counts)
         # copies become one row before they reach the driver
         sample = voted.where("drawn is not null").groupBy("drawn").agg(F.max(F.struct("pattern", "slots", "share")).alias("x"), F.count("*").alias("n"))
-        sample = sample.where("size(x.slots) > 0").orderBy("drawn").select("x.*", "n").toArrow()
+        sample = durable(sample.where("size(x.slots) > 0").select("drawn", "x.*", "n"), "sample")
+        size = sample.agg(F.sum(F.size("slots"))).first()[0] or 0
+        part = F.pmod(F.xxhash64("drawn"), F.lit(1 << 30)) < min(1.0, FEATURES / max(size, 1)) * (1 << 30)
+        sample = sample.where(part).orderBy("drawn").toArrow()
         lists = [(np.asarray(s.values), np.asarray(v.values)) for s, v in zip(sample["slots"], sample["share"], strict=True)]
         if lists:
             w, b = train(lists, np.array([posterior[k] for k in sample["pattern"].to_pylist()]), np.array(sample["n"].to_pylist(), float))
