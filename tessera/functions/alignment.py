@@ -78,35 +78,34 @@ def offsets(text: str, tokens: str) -> Column:
     return F.pandas_udf(run, "array<struct<b:int,e:int>>")(F.col(text), F.col(tokens))
 
 
-# Dependency types that decide heads, and token texts that are never one.
-HEAD_TYPES = ["prep", "nn", "det", "hyphen", "num", "amod", "nmod", "appos", "measure", "dep", "partmod"]
+# Token texts that are hardly ever a head.
 NEVER_HEAD = ["\\", "/", "-"]
 
 
 def head_scores(tokens: Sequence[str], deps: Sequence[tuple[int, int, str]], rounds: int = 21) -> list[int]:
-    """A score a token, higher nearer the root: governors of the listed types end above their dependents.
+    """A score a token, higher nearer the root: every governor ends above its dependents.
 
     Tokens in any dependency start at 1, others at 0, split marks at -1; cycles
-    are cut off after ``rounds``.
+    are cut off after ``rounds``. Dependencies count in the given order.
     """
     score = [0] * len(tokens)
     for g, d, _ in deps:
         score[g] = score[d] = 1
     score = [-1 if t in NEVER_HEAD else s for t, s in zip(tokens, score, strict=True)]
-    deciding = sorted({(g, d) for g, d, kind in deps if kind in HEAD_TYPES and g != d})
     for _ in range(rounds):
-        low = [(g, d) for g, d in deciding if score[g] <= score[d]]
-        if not low:
+        changed = False
+        for g, d, _kind in deps:
+            if score[g] <= score[d]:
+                score[g], changed = score[d] + 1, True
+        if not changed:
             break
-        for g, d in low:
-            score[g] = max(score[g], score[d] + 1)
     return score
 
 
 def heads(entities: DataFrame, toks: DataFrame, deps: DataFrame) -> DataFrame:
     """(doc_id, sent, first, last, head): the token of an entity with the highest head score, the last of equals."""
     words = toks.groupBy("doc_id", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("_words"))
-    links = deps.groupBy("doc_id", "sent").agg(F.collect_list(F.struct("gov", "dep", "type")).alias("_deps"))
+    links = deps.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("gov", "dep", "type"))).alias("_deps"))
 
     def run(ws: pd.Series, ds: pd.Series) -> pd.Series:
         return pd.Series([head_scores(list(w), [] if d is None else [(x["gov"], x["dep"], x["type"]) for x in d]) for w, d in zip(ws, ds, strict=True)])
@@ -124,12 +123,13 @@ def split_at(token_begin: Column, token_end: Column, cuts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.struct(F.get(edges, i).alias("b"), F.get(edges, i + 1).alias("e")))
 
 
-# The suffix rules of Porter (1980), as "suffix:replacement", by step.
-STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-_RULES = [[tuple(r.split(":")) for r in s.split()] for s in (STEP2, STEP3)]
-_ENDINGS = STEP4.split()
+# The suffix rules of Porter (1980): (suffix, replacement) of steps 2 and 3, suffixes of step 4.
+STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(word: str) -> str:
@@ -173,11 +173,11 @@ def stem(word: str) -> str:
             word = word[:-1]
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for rules in _RULES:
+    for rules in (STEP2, STEP3):
         e = _longest(word, [r[0] for r in rules])
         if e and _measure(word[: -len(e)]):
             word = word[: -len(e)] + dict(rules)[e]
-    e = _longest(word, _ENDINGS)
+    e = _longest(word, STEP4)
     if e and _measure(word[: -len(e)]) > 1 and (e != "ion" or word[: -len(e)].endswith(("s", "t"))):
         word = word[: -len(e)]
     if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short(word[:-1]))):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import tables
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -63,9 +67,12 @@ def threshold_sweep(df: DataFrame, score: str, positive: str) -> DataFrame:
     Running counts are over the distinct scores, aggregated first.
     """
     s = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    up = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("n").over(up) - F.col("tp"))
-    s = s.crossJoin(df.agg(F.sum(F.col(positive).cast("long")).alias("all"))).withColumn("fn", F.col("all") - F.col("tp"))
+    total = s.agg(F.sum("p")).first()[0] or 0
+    # sums over the higher scores, by ranges of the scores: no task holds them all
+    s = tables.running(s.withColumn("_by", -F.col("threshold")), "_by", "p", "_p")
+    s = tables.running(s, "_by", "n", "_n")
+    s = s.withColumn("tp", F.col("_p") + F.col("p")).withColumn("fp", F.col("_n") + F.col("n") - F.col("tp"))
+    s = s.withColumn("fn", F.lit(total) - F.col("tp"))
     s = s.select("threshold", "tp", "fp", "fn", scores(F.col("tp"), F.col("fp"), F.col("fn"))[2])
     return s.orderBy(F.desc("fscore"), F.desc("threshold")).limit(1)
 
@@ -103,9 +110,10 @@ def untyped(matrix: DataFrame, negative: object) -> DataFrame:
 
 
 def binary(matrix: DataFrame, negative: object) -> DataFrame:
-    """``untyped`` with ``auc`` of the hard labels, the mean of both classes' recalls."""
+    """``untyped`` with ``auc`` of the hard labels, the mean of both classes' recalls; 0 where a class is absent."""
     s = untyped(matrix, negative)
-    return s.withColumn("auc", (F.col("recall") + ratio(F.col("tn"), F.col("tn") + F.col("fp"))) / 2)
+    some = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
+    return s.withColumn("auc", F.when(some, (F.col("recall") + ratio(F.col("tn"), F.col("tn") + F.col("fp"))) / 2).otherwise(0.0))
 
 
 def boosted(score: Column, boost: Column | float) -> Column:
@@ -167,3 +175,78 @@ def compared(a: DataFrame, b: DataFrame, category: str) -> DataFrame:
 def all_correct(df: DataFrame, truth: str, out: str = "predicted") -> DataFrame:
     """The baseline that returns the truth."""
     return df.withColumn(out, F.col(truth))
+
+
+def all_true(df: DataFrame, positive: object = "True", out: str = "predicted") -> DataFrame:
+    """The baseline that calls every row positive."""
+    return df.withColumn(out, F.lit(positive))
+
+
+def mapped_entities(predicted: DataFrame, gold: DataFrame, keys: list[str], how: str = "head", tokens: DataFrame | None = None) -> DataFrame:
+    """(keys, p, g): predicted and gold entities that match, many to many; a row with a null side for each that matches none.
+
+    Both have (keys, id, type, begin, end, head_begin, head_end, given). ``head``: equal type and
+    head; ``strict``: equal type and span; ``relaxed``: the predicted span lies within the gold one
+    widened by a token on both sides, for which ``tokens`` has (keys, idx, begin, end).
+    """
+    names = ["id", "type", "begin", "end", "head_begin", "head_end"]
+    side = lambda df, x: df.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in names])
+    p, g = side(predicted, "p"), side(gold, "g")
+    if how == "relaxed":
+        near = Window.partitionBy(*keys).orderBy("idx")
+        t = tokens.select(*keys, "begin", "end", F.coalesce(F.lag("begin").over(near), "begin").alias("lo"), F.coalesce(F.lead("end").over(near), "end").alias("hi"))
+        wide = g.join(t, keys).where("begin < end_g and begin_g < end").groupBy(*keys, "id_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        g = g.join(wide, [*keys, "id_g"], "left")
+    test = {
+        "head": "type_p = type_g and head_begin_p = head_begin_g and head_end_p = head_end_g",
+        "strict": "type_p = type_g and begin_p = begin_g and end_p = end_g",
+        "relaxed": "type_p = type_g and begin_p >= lo and end_p <= hi",
+    }[how]
+    on = reduce(Column.__and__, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]) & F.expr(test)
+    both = p.alias("x").join(g.alias("y"), on, "full_outer")
+    return both.select(*[F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in keys], F.col("id_p").alias("p"), F.col("id_g").alias("g"), F.col("type_p"), F.col("type_g"))
+
+
+def interaction_outcomes(predicted: DataFrame, gold: DataFrame, mapping: DataFrame, keys: list[str], negative: str = "neg") -> DataFrame:
+    """(keys, truth, predicted) of predicted and gold interactions over mapped entities.
+
+    A predicted interaction gives a row for each gold one between entities that its ends map to, or one
+    against ``negative``; a gold one that none maps to is predicted ``negative``.
+    """
+    pairs = mapping.where("p is not null and g is not null").select(*keys, "p", "g")
+    end = lambda e, c: pairs.select(*keys, F.col("p").alias(e), F.col("g").alias(c))
+    mapped = predicted.select(*keys, "id", "e1", "e2", "type").join(end("e1", "g1"), [*keys, "e1"], "left").join(end("e2", "g2"), [*keys, "e2"], "left")
+    g = gold.select(*keys, F.col("id").alias("gold"), F.col("e1").alias("g1"), F.col("e2").alias("g2"), F.col("type").alias("truth"))
+    hits = mapped.join(g, [*keys, "g1", "g2"]).select(*keys, "id", "gold", "type", "truth").distinct()
+    right = hits.select(*keys, "truth", F.col("type").alias("predicted"))
+    wrong = predicted.join(hits.select(*keys, "id").distinct(), [*keys, "id"], "left_anti").select(*keys, F.lit(negative).alias("truth"), F.col("type").alias("predicted"))
+    missed = g.join(hits.select(*keys, "gold").distinct(), [*keys, "gold"], "left_anti").select(*keys, "truth", F.lit(negative).alias("predicted"))
+    return right.unionByName(wrong).unionByName(missed)
+
+
+def over_folds(matrices: DataFrame, fold: str, negative: object) -> DataFrame:
+    """(how, precision, recall, fscore): ``average`` over folds, weighed by their rows, and ``pool`` of all folds' counts.
+
+    ``matrices`` is a confusion matrix with a column for the fold.
+    """
+    n, t, p = F.col("n"), F.col("truth"), F.col("predicted")
+    total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
+    counts = [total((t == p) & (t != negative)).alias("tp"), total((t != p) & (p != negative)).alias("fp"), total((t != p) & (t != negative)).alias("fn"), F.sum("n").alias("rows")]
+    names = ["precision", "recall", "fscore"]
+    each = matrices.groupBy(fold).agg(*counts).select("rows", *scores(F.col("tp"), F.col("fp"), F.col("fn")))
+    average = each.agg(*[(F.sum(F.col(c) * F.col("rows")) / F.sum("rows")).alias(c) for c in names]).select(F.lit("average").alias("how"), *names)
+    pool = matrices.agg(*counts).select(F.lit("pool").alias("how"), *scores(F.col("tp"), F.col("fp"), F.col("fn")))
+    return average.unionByName(pool)
+
+
+def filter_counts(examples: DataFrame, kind: str, filters: dict[str, str]) -> DataFrame:
+    """(class, filter, n): examples of a class by the first named filter (an SQL test) that drops them, ``kept`` where none does."""
+    first = F.coalesce(*[F.when(F.expr(test), F.lit(name)) for name, test in filters.items()], F.lit("kept"))
+    return examples.groupBy(F.col(kind).alias("class"), first.alias("filter")).agg(F.count("*").alias("n"))
+
+
+def paired_directions(rows: DataFrame, keys: list[str], number: str, truth: str, predicted: str, negative: object = "neg") -> DataFrame:
+    """(keys, pair, truth, predicted): examples 2k and 2k + 1 as one without direction, positive if either is."""
+    pair = F.floor(F.col(number) / 2).alias("pair")
+    some = lambda c: F.bool_or(F.col(c) != F.lit(negative)).alias(c)
+    return rows.groupBy(*keys, pair).agg(some(truth), some(predicted))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 SENTENCE = ["doc_id", "sent"]
 
 # Names of token features.
-UPPER_START, UPPER_MIDDLE, DIGITS, HYPHEN, SLASH, BACKSLASH = "upper_case_start", "upper_case_middle", "has_digits", "has_hyphen", "has_fslash", "has_bslash"
+UPPER_START, UPPER_MIDDLE, DIGITS = "upper_case_start", "upper_case_middle", "has_digits"
+HYPHENATED_DIGIT, HYPHEN, SLASH, BACKSLASH = "has_hyphenated_digit", "has_hyphen", "has_fslash", "has_bslash"
 
 
 def as_map(names: Column) -> Column:
@@ -29,22 +30,44 @@ def l1(features: Column) -> Column:
     return F.transform_values(features, lambda _, v: v / F.when(total == 0, 1.0).otherwise(total))
 
 
-def content(token: Column, index: Column) -> Column:
-    """Names of a token's own features: text, normalised text, shape flags, character 2- and 3-grams."""
-    normal = F.lower(F.regexp_replace(token, r"[-/,\\ ]", ""))
+def normal_form(token: Column) -> Column:
+    """Lower case without hyphens, slashes, commas and spaces; ``bound`` counts as ``bind``."""
+    low = F.lower(F.regexp_replace(token, r"[-/,\\ ]", ""))
+    return F.when(low == "bound", F.lit("bind")).otherwise(low)
+
+
+def char_grams(token: Column) -> Column:
+    """Names of a token's character 2- and 3-grams, in lower case."""
+    low = F.lower(token)
     grams = lambda n, tag: F.when(
-        F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.concat(F.lit(tag), F.lower(F.substring(token, i, F.lit(n)))))
+        F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.concat(F.lit(tag), F.substring(low, i, F.lit(n))))
     ).otherwise(F.array().cast("array<string>"))
-    flags = [
-        F.when((index > 0) & token.rlike("^[A-Z]"), UPPER_START),
-        F.when(token.rlike("^.+[A-Z]"), UPPER_MIDDLE),
-        F.when(token.rlike("[0-9]"), DIGITS),
+    return F.concat(grams(2, "dt_"), grams(3, "tt_"))
+
+
+def flags(token: Column, index: Column) -> Column:
+    """Names of a token's shape: upper case, digits and marks, in any script; the first token of a sentence has no ``upper_case_start``."""
+    tests = [
+        F.when((index > 0) & token.rlike(r"^\p{Lu}"), UPPER_START),
+        F.when(token.rlike(r"^.+\p{Lu}"), UPPER_MIDDLE),
+        F.when(token.rlike(r"\p{Nd}"), DIGITS),
+        F.when(token.rlike(r"-\p{Nd}"), HYPHENATED_DIGIT),
         F.when(F.contains(token, F.lit("-")), HYPHEN),
         F.when(F.contains(token, F.lit("/")), SLASH),
         F.when(F.contains(token, F.lit("\\")), BACKSLASH),
     ]
-    own = F.array(F.concat(F.lit("txt_"), token), F.concat(F.lit("txt_"), normal), *flags)
-    return F.concat(F.filter(own, lambda x: x.isNotNull()), grams(2, "dt_"), grams(3, "tt_"))
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def content(token: Column, index: Column, pos: Column | None = None, stem: Column | None = None) -> Column:
+    """Names of a token's own features: text, normalised text, tag, stem and rest, hyphen parts, shape flags, character 2- and 3-grams."""
+    own = [F.concat(F.lit("txt_"), token), F.concat(F.lit("txt_"), normal_form(token))]
+    if pos is not None:
+        own.append(F.concat(F.lit("POS_"), pos))
+    if stem is not None:
+        own += [F.concat(F.lit("stem_"), stem), F.concat(F.lit("nonstem_"), F.substr(token, F.length(stem) + 1))]
+    parts = F.when(F.contains(token, F.lit("-")), F.transform(F.filter(F.split(F.lower(token), "-"), lambda x: x != ""), lambda x: F.concat(F.lit("substring_"), x)))
+    return F.concat(F.array(*own), F.coalesce(parts, F.array().cast("array<string>")), flags(token, index), char_grams(token))
 
 
 def linear(token: str, reach: int = 3) -> Column:
@@ -63,6 +86,38 @@ def token_features(toks: DataFrame, reach: int = 3) -> DataFrame:
     return toks.withColumn("names", F.array_distinct(F.concat(content(F.col("token"), F.col("idx")), linear("token", reach))))
 
 
+def linear_in_row(tokens: str, reach: int = 3) -> Column:
+    """``linear`` of every token of an array, all names in one array: no window, no shuffle."""
+    arr = F.col(tokens)
+    shifts = [k for k in range(-reach, reach + 1) if k]
+    one = lambda k: F.transform(arr, lambda t, i: F.when(i + k > 0, F.concat(F.lit(f"linear_{k:+d}_txt_"), F.get(arr, i + k))))
+    return F.filter(F.concat(*[one(k) for k in shifts]), lambda x: x.isNotNull())
+
+
+def order_features(tokens: str, tags: str, names: str, reach: int = 3, tag: str = "") -> Column:
+    """For every token of an array, an array of the names of its neighbours: text, tag, and whether given, by signed distance.
+
+    ``names`` is an array of booleans; unlike ``linear``, the first token counts.
+    """
+    arr, pos, given = F.col(tokens), F.col(tags), F.col(names)
+
+    def near(i: Column, k: int) -> Column:
+        head, here = f"{tag}linear_{k:+d}_", (i + k >= 0) & (i + k < F.size(arr))
+        text = F.when(F.get(given, i + k), F.lit("NAMED_ENT")).otherwise(F.get(arr, i + k))
+        parts = F.array(F.concat(F.lit(head + "txt_"), text), F.concat(F.lit(head + "POS_"), F.get(pos, i + k)), F.when(F.get(given, i + k), F.lit(head + "given")))
+        return F.when(here, parts).otherwise(F.array().cast("array<string>"))
+
+    shifts = [k for k in range(-reach, reach + 1) if k]
+    return F.transform(arr, lambda _, i: F.filter(F.concat(*[near(i, k) for k in shifts]), lambda x: x.isNotNull()))
+
+
+def token_grams(tokens: str, first: Column, last: Column, most: int = 3, tag: str = "") -> Column:
+    """Names of the runs of up to ``most`` tokens that end at each place of a range and don't begin before it, each once."""
+    arr = F.col(tokens)
+    runs = [F.transform(F.sequence(first, last), lambda i, n=n: F.when(i - n + 1 >= first, F.concat(F.lit(f"lin_{tag}_text_"), F.array_join(F.slice(arr, i - n + 2, F.lit(n)), "_")))) for n in range(1, most + 1)]
+    return F.array_distinct(F.filter(F.concat(*runs), lambda x: x.isNotNull()))
+
+
 def names_covered(names: DataFrame) -> DataFrame:
     """(doc_id, sent, idx) of the tokens inside given names."""
     return names.select(*SENTENCE, F.explode(F.sequence("first", "last")).alias("idx")).distinct()
@@ -114,27 +169,80 @@ def between(toks: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFra
     return both.where((F.col("idx") > lo) & (F.col("idx") < hi))
 
 
-def regions(toks: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """(…, region, token, n): counts of words before and between, between, and between and after a pair."""
+def between_counts(toks: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """(token, n): how often a word stands strictly between the two places of a pair, over all pairs.
+
+    A pair opens after its lower place and closes at the higher one, and a
+    running sum over the sentence counts the pairs open at a token: linear in
+    pairs and tokens, where pairs times tokens would not be.
+    """
     lo, hi = F.least(left, right), F.greatest(left, right)
-    both = pairs.select(*SENTENCE, left, right).join(toks.select(*SENTENCE, "idx", "token"), SENTENCE).where((F.col("idx") != lo) & (F.col("idx") != hi))
-    at = F.when(F.col("idx") < lo, F.array(F.lit("fore"))).when(F.col("idx") > hi, F.array(F.lit("after"))).otherwise(F.array(F.lit("fore"), F.lit("between"), F.lit("after")))
-    rows = both.select(*SENTENCE, left, right, "token", F.explode(at).alias("region"))
-    return rows.groupBy(*SENTENCE, left, right, "region", "token").agg(F.count("*").alias("n"))
+    turns = pairs.select(*SENTENCE, F.explode(F.array(F.struct((lo + 1).alias("idx"), F.lit(1).alias("d")), F.struct(hi.alias("idx"), F.lit(-1).alias("d")))).alias("x"))
+    turns = turns.groupBy(*SENTENCE, "x.idx").agg(F.sum("x.d").alias("_d"))
+    both = toks.select(*SENTENCE, "idx", "token").join(turns, [*SENTENCE, "idx"], "left")
+    open_ = F.sum(F.coalesce("_d", F.lit(0))).over(Window.partitionBy(*SENTENCE).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_n", open_).where("_n > 0").groupBy("token").agg(F.sum("_n").alias("n"))
+
+
+def region_counts(sents: DataFrame) -> DataFrame:
+    """(region, gram, n): uni-, bi- and trigrams before, between and after the pairs of a sentence's names, over all pairs.
+
+    ``sents`` has tokens, an array, and names, the (first, last) of the names in
+    order, which don't overlap. Words of names are skipped; an n-gram counts for a
+    pair if all its words lie in one region of it. Regions are ``fore`` (before and
+    between), ``between`` and ``after`` (between and after).
+
+    With l names left of an n-gram and r right of it, it lies before C(r, 2)
+    pairs, between l * r, and after C(l, 2): no pair is ever made.
+    """
+    inside = lambda i: F.exists("names", lambda n: (n["first"] <= i) & (i <= n["last"]))
+    kept = F.filter(F.transform("tokens", lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))), lambda w: ~inside(w["i"]))
+    rows = sents.where("size(names) > 1").select("names", kept.alias("w"))
+    w = F.col("w")
+
+    def grams(n: int) -> Column:
+        return F.when(
+            F.size(w) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.size(w) - (n - 1)),
+                lambda k: F.struct(F.array_join(F.transform(F.slice(w, k, F.lit(n)), lambda x: x["t"]), "_").alias("gram"), F.get(w, k - 1)["i"].alias("a"), F.get(w, k + (n - 2))["i"].alias("b")),
+            ),
+        )
+
+    none = F.array().cast("array<struct<gram:string,a:int,b:int>>")
+    rows = rows.select("names", F.explode(F.concat(*[F.coalesce(grams(n), none) for n in (1, 2, 3)])).alias("g"))
+    n_left = F.size(F.filter("names", lambda x: x["last"] < F.col("g.a"))).cast("long")
+    n_right = F.size(F.filter("names", lambda x: x["first"] > F.col("g.b"))).cast("long")
+    rows = rows.select("g.gram", n_left.alias("l"), n_right.alias("r"))
+    sums = rows.groupBy("gram").agg(F.sum(F.expr("r * (r - 1) div 2")).alias("f"), F.sum(F.col("l") * F.col("r")).alias("b"), F.sum(F.expr("l * (l - 1) div 2")).alias("a"))
+    # a gram with names between its words lies before or after fewer pairs, never between: l and r count past it on both sides
+    each = F.array(*[F.struct(F.lit(k).alias("region"), n.alias("n")) for k, n in (("fore", F.col("f") + F.col("b")), ("between", F.col("b")), ("after", F.col("a") + F.col("b")))])
+    return sums.select("gram", F.explode(each).alias("x")).select("x.region", "gram", "x.n").where("n > 0")
+
+
+def attached_in_row(words: str, edges: str) -> Column:
+    """``attached`` of a sentence with its words and its dependencies (gov, dep, type) as arrays: the names of all tokens, each once a token."""
+    arr = F.col(words)
+
+    def side(e: Column, own: Column, other: Column, tag: str) -> Column:
+        key, word = F.concat(own.cast("string"), F.lit(f":t1H{tag}_")), F.get(arr, other)
+        return F.array(F.concat(key, e["type"]), F.concat(key, word), F.concat(key, e["type"], F.lit("_"), word))
+
+    every = F.flatten(F.transform(edges, lambda e: F.concat(side(e, e["dep"], e["gov"], "In"), side(e, e["gov"], e["dep"], "Out"))))
+    return F.transform(F.array_distinct(every), lambda x: F.substr(x, F.instr(x, ":") + 1))
 
 
 def attached(deps: DataFrame, toks: DataFrame) -> DataFrame:
-    """(doc_id, sent, idx, feature): type and other word of the dependencies that enter and leave a token."""
-    word = toks.select(*SENTENCE, F.col("idx").alias("_i"), F.col("token").alias("_w"))
+    """(doc_id, sent, feature): type and other word of the dependencies that enter and leave a token, a row for each token that has it."""
+    words = toks.groupBy(*SENTENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("words"))
+    edges = deps.groupBy(*SENTENCE).agg(F.collect_list(F.struct("gov", "dep", "type")).alias("edges"))
+    return words.join(edges, SENTENCE).select(*SENTENCE, F.explode(attached_in_row("words", "edges")).alias("feature"))
 
-    def side(own: str, other: str, tag: str) -> DataFrame:
-        rows = deps.select(*SENTENCE, F.col(own).alias("idx"), F.col(other).alias("_i"), "type").join(word, [*SENTENCE, "_i"])
-        return rows.select(*SENTENCE, "idx", F.struct(F.lit(f"t1H{tag}_").alias("t"), "type", F.col("_w").alias("w")).alias("x"))
 
-    # one short row an arc end is shuffled to its token, and names are written out there
-    ends = side("dep", "gov", "In").unionByName(side("gov", "dep", "Out")).groupBy(*SENTENCE, "idx").agg(F.collect_set("x").alias("x"))
-    names = F.flatten(F.transform("x", lambda x: F.array(F.concat(x["t"], x["type"]), F.concat(x["t"], x["w"]), F.concat(x["t"], x["type"], F.lit("_"), x["w"]))))
-    return ends.select(*SENTENCE, "idx", F.explode(F.array_distinct(names)).alias("feature"))
+def normalised(counts: DataFrame, key: str, weight: str, out: str = "weight") -> DataFrame:
+    """``l1`` of feature rows: each weight over the sum of absolute weights of its key, 0 counted as 1."""
+    total = F.sum(F.abs(weight)).over(Window.partitionBy(key))
+    return counts.withColumn(out, F.col(weight) / F.when(total == 0, 1).otherwise(total)).drop(*([weight] if weight != out else []))
 
 
 def chains(deps: DataFrame, depth: int = 3) -> DataFrame:

@@ -19,6 +19,13 @@ def split(df: DataFrame, key: str, cutoffs: list[tuple[str, float]], seed: int =
     return df.withColumn("set", out)
 
 
+def resplit(df: DataFrame, key: str, cutoffs: list[tuple[str, float]], source: str | None = None, seed: int = 0) -> DataFrame:
+    """``split`` of the rows of one set (or all), which remembers ``orig_set`` and ``set_value``; a value above all cutoffs keeps its set."""
+    rows = split(df.withColumn("orig_set", F.col("set")), key, cutoffs, seed).withColumn("set_value", fraction(key, seed))
+    mine = F.lit(True) if source is None else F.coalesce(F.col("orig_set") == source, F.lit(False))
+    return rows.withColumn("set", F.when(mine, F.coalesce("set", "orig_set")).otherwise(F.col("orig_set")))
+
+
 def folds(df: DataFrame, key: str, k: int) -> DataFrame:
     """Column ``fold``: folds of equal size, at most one row apart, in the order of a hash of the key."""
     from tessera.operators.tables import running
@@ -104,3 +111,63 @@ def grid(**values: list) -> list[dict]:
     from itertools import product
 
     return [dict(zip(values, v, strict=True)) for v in product(*values.values())]
+
+
+def divided_examples(examples: DataFrame, folds_: DataFrame, example_id: str = "example_id", doc: str = "doc_id") -> DataFrame:
+    """Examples with the ``fold`` of their document, which is the id without its last two parts."""
+    own = F.regexp_replace(example_id, r"\.[^.]*\.[^.]*$", "")
+    return examples.withColumn(doc, own).join(folds_.select(doc, "fold"), doc)
+
+
+def compared_examples(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, outcome): examples of two sets by id: ``same``, ``class``, ``features``, ``both`` that differ, or ``left``, ``right`` alone.
+
+    Both have key, class and features, a map; entries are compared without order.
+    """
+    flat = lambda df, x: df.select(key, F.col("class").alias(f"c{x}"), F.array_sort(F.map_entries("features")).alias(f"f{x}"), F.lit(True).alias(f"h{x}"))
+    both = flat(a, 1).join(flat(b, 2), key, "full_outer")
+    kind, feats = F.col("c1").eqNullSafe(F.col("c2")), F.col("f1").eqNullSafe(F.col("f2"))
+    outcome = F.when(F.col("h2").isNull(), "left").when(F.col("h1").isNull(), "right").when(kind & feats, "same").when(feats, "class").when(kind, "features").otherwise("both")
+    return both.select(key, outcome.alias("outcome"))
+
+
+def unique_examples(examples: DataFrame, key: str) -> DataFrame:
+    """The first example of each class and feature vector; maps are compared by their sorted entries."""
+    vector = F.array_sort(F.map_entries("features"))
+    first = examples.groupBy("class", vector.alias("_v")).agg(F.min(key).alias(key))
+    return examples.join(first.select(key), key, "left_semi")
+
+
+def chosen(df: DataFrame, ids: DataFrame | None = None, key: str = "doc_id", attributes: dict[str, list] | None = None, invert: bool = False) -> DataFrame:
+    """Rows with a listed key and, in every named column, one of its values; the others with ``invert``."""
+    rows = df.withColumn("_hit", F.lit(True))
+    for c, values in (attributes or {}).items():
+        rows = rows.withColumn("_hit", F.col("_hit") & F.coalesce(F.col(c).isin(values), F.lit(False)))
+    if ids is not None:
+        rows = rows.join(ids.select(key).distinct().withColumn("_listed", F.lit(True)), key, "left")
+        rows = rows.withColumn("_hit", F.col("_hit") & F.coalesce("_listed", F.lit(False))).drop("_listed")
+    return rows.where(~F.col("_hit") if invert else F.col("_hit")).select(*df.columns)
+
+
+def lowest_cut(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
+    """The rows without the lowest ``share`` of them by score, then key (numeric and unique)."""
+    from tessera.operators.tables import ranked
+
+    rows = ranked(df, [score, key], "_rank")
+    return rows.where(F.col("_rank") >= F.lit(share) * df.count()).drop("_rank")
+
+
+def best_models(results: DataFrame, score: str, key: str, keep: int) -> DataFrame:
+    """The ``keep`` models with the highest score, the least key of equals."""
+    return results.orderBy(F.desc(score), key).limit(keep)
+
+
+def capped(df: DataFrame, keys: list[str], order: str, most: int = 100) -> DataFrame:
+    """The first ``most`` + 1 rows of each group: generation stops after the row that exceeds the limit."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most + 1).drop("_r")
+
+
+def by_number(df: DataFrame, column: str, *before: str) -> DataFrame:
+    """Rows in the order of the number that an id ends with."""
+    return df.orderBy(*before, F.regexp_extract(column, r"(\d+)$", 1).cast("long"), column)

@@ -1,8 +1,8 @@
 """Predictions written back as annotation, and the structural rules they must keep.
 
 Entities have (doc_id, id, type, given), relations (doc_id, id, type, a, b).
-Every loop ends when a count no longer changes; each round's table is
-checkpointed where the session has a checkpoint folder.
+Every loop ends when nothing changes any more, and raises beyond its stated
+number of rounds: no result is cut short. Each round's table is checkpointed.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut, where a checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from tessera.operators.lineage import settled, unsettled
 
 
 def split_predictions(predicted: DataFrame, keys: list[str], prefix: str = "e", start: str | None = None) -> DataFrame:
@@ -51,32 +48,34 @@ def valid_relations(entities: DataFrame, relations: DataFrame, schema: DataFrame
     return rows.select(*relations.columns)
 
 
-def validate(entities: DataFrame, relations: DataFrame, schema: DataFrame, needs: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def validate(entities: DataFrame, relations: DataFrame, schema: DataFrame, needs: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Entities and relations that keep the rules, by removal until nothing changes.
 
     A relation goes if the schema lacks its types or an end is gone. An entity
     that isn't given goes if it has fewer outgoing relations of a type than
-    ``needs`` (type, argument, least) says, so that a removal can cause others.
+    ``needs`` (type, argument, least) says, or more than ``most`` where ``needs``
+    has that column, so that a removal can cause others.
     """
-    asked = needs.select("type", F.col("argument").alias("_arg"), F.col("least").alias("_least")).where("_least > 0")
+    asked = needs.select("type", F.col("argument").alias("_arg"), F.col("least").alias("_least"), (F.col("most") if "most" in needs.columns else F.lit(None).cast("long")).alias("_most"))
+    asked = asked.where("_least > 0 or _most is not null")
     n = None
     for _ in range(rounds):
         relations = settled(valid_relations(entities, relations, schema))
         have = relations.groupBy("doc_id", F.col("a").alias("id"), F.col("type").alias("_arg")).agg(F.count("*").alias("_n"))
-        lacking = entities.where("not given").join(asked, "type").join(have, ["doc_id", "id", "_arg"], "left").where("coalesce(_n, 0) < _least")
+        lacking = entities.where("not given").join(asked, "type").join(have, ["doc_id", "id", "_arg"], "left").where("coalesce(_n, 0) < _least or coalesce(_n, 0) > _most")
         entities = settled(entities.join(lacking.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti"))
         now = (entities.count(), relations.count())
         if now == n:
-            break
+            return entities, relations
         n = now
-    return entities, relations
+    raise unsettled("validation", rounds)
 
 
-def grown_events(events: DataFrame, given: DataFrame, rounds: int = 64) -> DataFrame:
+def grown_events(events: DataFrame, given: DataFrame, rounds: int = 1000) -> DataFrame:
     """(doc_id, id, level): events whose arguments are given or grown before, innermost first.
 
     ``events`` has (doc_id, id, arguments array); an event in a cycle, or with an
-    unknown argument, never grows.
+    unknown argument, never grows. There are as many rounds as events nest.
     """
     parts = events.select("doc_id", "id", F.explode_outer("arguments").alias("arg"))
     known = given.select("doc_id", F.col("id").alias("arg"))
@@ -87,10 +86,10 @@ def grown_events(events: DataFrame, given: DataFrame, rounds: int = 64) -> DataF
         grown = settled(ready if grown is None else grown.unionByName(ready.join(grown, ["doc_id", "id"], "left_anti")))
         now = grown.count()
         if now == before:
-            break
+            return grown
         before = now
         known = given.select("doc_id", F.col("id").alias("arg")).unionByName(grown.select("doc_id", F.col("id").alias("arg")))
-    return grown
+    raise unsettled("growth", rounds)
 
 
 def with_modifiers(events: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -105,19 +104,23 @@ def deduplicated(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame,
 
     Given entities are never merged away.
     """
-    same = Window.partitionBy("doc_id", "type", "spans").orderBy(F.desc("given"), "id")
-    marked = entities.withColumn("_keep", F.when(F.col("given"), F.col("id")).otherwise(F.first("id").over(same)))
+    keys = ["doc_id", "type", "spans"]
+    first = entities.groupBy(*keys).agg(F.min_by("id", F.struct(~F.col("given"), "id")).alias("_first"))
+    marked = entities.join(first, keys).withColumn("_keep", F.when(F.col("given"), F.col("id")).otherwise(F.col("_first"))).select(*entities.columns, "_keep")
     moved = marked.select("doc_id", "id", "_keep")
     rows = relations
     for end in ("a", "b"):
         rows = rows.join(moved.withColumnsRenamed({"id": end, "_keep": "_to"}), ["doc_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    first = Window.partitionBy("doc_id", "type", "a", "b").orderBy("id")
-    rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*relations.columns)
+    rest = [c for c in relations.columns if c not in ("doc_id", "type", "a", "b")]
+    rows = rows.groupBy("doc_id", "type", "a", "b").agg(F.min_by(F.struct(*rest), "id").alias("_x")).select("doc_id", "type", "a", "b", "_x.*").select(*relations.columns)
     return marked.where("id = _keep").drop("_keep"), rows
 
 
 def chased(links: DataFrame) -> DataFrame:
-    """(id, root): where each chain of (id, target) ends, by doubling; null for a chain that runs into a cycle."""
+    """(id, root): where each chain of (id, target) ends, by doubling; null for a chain that runs into a cycle.
+
+    After as many doublings as the number of links has digits, every chain without a cycle has ended.
+    """
     found = links.select("id", F.col("target").alias("root")).dropDuplicates(["id"])
     for _ in range(max(1, found.count()).bit_length() + 1):
         on = found.select(F.col("id").alias("root"), F.col("root").alias("_next"))
@@ -129,25 +132,30 @@ def chased(links: DataFrame) -> DataFrame:
     return ends.select("id", F.when(F.col("_inner").isNull(), F.col("root")).alias("root"))
 
 
-def nesting(events: DataFrame, depth: int = 16) -> DataFrame:
+def nesting(events: DataFrame, rounds: int = 1000) -> DataFrame:
     """(chain, n): types from each outermost event down through its nested events.
 
     ``events`` has (doc_id, id, type, arguments array of ids); a chain ends where
-    no argument is an event, and stops at ``depth`` in a cycle.
+    no argument is an event. Events below no outermost one, which are those of
+    cycles, are in no chain; an outermost event that leads into a cycle has no
+    end, so that is an error after ``rounds`` steps.
     """
     ids = events.select("doc_id", F.col("id").alias("arg"), F.col("type").alias("_type"))
     parts = events.select("doc_id", "id", F.explode("arguments").alias("arg")).join(ids, ["doc_id", "arg"])
     inner = parts.select("doc_id", F.col("arg").alias("id")).distinct()
     walk = events.join(inner, ["doc_id", "id"], "left_anti").select("doc_id", "id", F.col("type").alias("chain"))
+    # chains that have come to one event by the same types go on together, with their number
+    walk = walk.withColumn("n", F.lit(1).cast("long"))
     found = None
-    for _ in range(depth):
+    for _ in range(rounds):
         step = walk.join(parts, ["doc_id", "id"], "left")
-        ended = step.where("arg is null").select("chain")
+        ended = settled(step.where("arg is null").groupBy("chain").agg(F.sum("n").alias("n")))
         found = ended if found is None else found.unionByName(ended)
-        walk = settled(step.where("arg is not null").select("doc_id", F.col("arg").alias("id"), F.concat_ws(">", "chain", "_type").alias("chain")))
+        longer = step.where("arg is not null").groupBy("doc_id", F.col("arg").alias("id"), F.concat_ws(">", "chain", "_type").alias("chain"))
+        walk = settled(longer.agg(F.sum("n").alias("n")))
         if walk.isEmpty():
-            break
-    return found.groupBy("chain").agg(F.count("*").alias("n"))
+            return found.groupBy("chain").agg(F.sum("n").alias("n"))
+    raise unsettled("nesting", rounds)
 
 
 def argument_choices(roles: dict[str, list[str]], limits: dict[str, tuple[int, int]]) -> list[tuple[tuple[str, str], ...]]:

@@ -23,8 +23,10 @@ def match_any(df: DataFrame, values: Mapping[str, object | Sequence]) -> DataFra
     return df.where(reduce(Column.__or__, tests))
 
 
-def select_rows(df: DataFrame, conditions: Mapping[str, object]) -> DataFrame:
-    """A row once for every condition that it meets."""
+def select_rows(df: DataFrame, conditions: Mapping[str, object], invert: bool = False) -> DataFrame:
+    """A row once for every condition that it meets, or with ``invert`` for every one that it doesn't."""
+    if invert:
+        return reduce(DataFrame.union, [df.where(~F.col(c).eqNullSafe(F.lit(v))) for c, v in conditions.items()])
     return reduce(DataFrame.union, [df.where(F.col(c) == v) for c, v in conditions.items()])
 
 
@@ -77,6 +79,18 @@ def running(df: DataFrame, by: str, weight: str, out: str) -> DataFrame:
     return rows.join(F.broadcast(sums), "_bucket").withColumn(out, F.col(out) + F.col("_bucket_start")).drop("_bucket", "_bucket_start")
 
 
+def ranked(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """``out``: place from 0 in a total order, by ranges that are sorted apart; only their sizes meet in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    cut = cut.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else cut.persist()  # ranges must not move between uses
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return cut.withColumn(out, place).join(F.broadcast(sizes), "_part").withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")
+
+
 def bind_columns(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
     """Columns side by side by position; the shorter side is repeated to the longer one's length."""
     number = lambda df, by: running(df.withColumn("_one", F.lit(1).cast("long")), by, "_one", "_k").drop("_one")
@@ -144,7 +158,7 @@ def map_prefix(df: DataFrame, column: str, rules: Mapping[str, str | None]) -> D
 
 def codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """Dense codes from 0 in the order of the values; only the distinct values are ranked."""
-    values = df.select(column).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
+    values = ranked(df.select(column).distinct(), [column], out)
     return df.join(values, column)
 
 

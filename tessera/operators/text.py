@@ -9,16 +9,40 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]"
 
 
+#: Lines whose offsets are added up at once.
+LINES = 256
+
+
+def _before(lengths: Column) -> Column:
+    """For each number of an array the sum of those before it."""
+    start = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("s"))
+    step = lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s"))
+    return F.aggregate(lengths, start, step, lambda acc: acc["a"])
+
+
+def line_starts(lines: Column) -> Column:
+    """Offset of each line in the text that the lines make, line breaks included; in blocks, so that many lines stay linear."""
+    lengths = F.transform(lines, lambda x: F.length(x) + 1)
+    blocks = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(LINES)), lambda k: F.slice(lengths, k, F.lit(LINES)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+    return F.flatten(F.zip_with(blocks, _before(sums), lambda b, s: F.transform(_before(b), lambda x: x + s)))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent, begin, end, text): lines, with the offsets of each in its document.
 
-    Offsets are in characters, half-open; an empty line is no sentence.
+    Offsets are in characters, half-open; an empty line is no sentence. They come
+    from the row itself, so nothing is shuffled.
     """
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent", "text"))
-    # one line's begin is the length of all lines before it, with their breaks
-    before = Window.partitionBy("doc_id").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
-    return rows.where("text <> ''").select("doc_id", "sent", "begin", (F.col("begin") + F.length("text")).alias("end"), "text")
+    rows = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", F.posexplode(F.zip_with("lines", line_starts(F.col("lines")), lambda t, b: F.struct(t.alias("t"), b.alias("b")))).alias("sent", "x"))
+    rows = rows.select("doc_id", "sent", F.col("x.b").alias("begin"), (F.col("x.b") + F.length("x.t")).alias("end"), F.col("x.t").alias("text"))
+    return rows.where("text <> ''")
+
+
+def token_arrays(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent, tokens): the tokens of each sentence in one row; no shuffle."""
+    return sents.select("doc_id", "sent", F.regexp_extract_all("text", F.lit(f"({TOKEN})")).alias("tokens"))
 
 
 def tokens(sents: DataFrame) -> DataFrame:
@@ -71,6 +95,15 @@ def capitalised(toks: DataFrame) -> DataFrame:
     return caps.withColumn("run", run).groupBy("doc_id", "sent", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("run")
 
 
+def capitalised_in_row(tokens: str) -> Column:
+    """``capitalised`` as an array of (first, last) of an array of tokens."""
+    arr = F.col(tokens)
+    cap = lambda i: (i > 0) & F.coalesce(F.get(arr, i), F.lit("")).rlike("^[A-Z]")
+    places = F.filter(F.transform(arr, lambda _, i: i), cap)
+    firsts, lasts = F.filter(places, lambda i: ~cap(i - 1)), F.filter(places, lambda i: ~cap(i + 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
 def pairs(entities: DataFrame) -> DataFrame:
     """(doc_id, sent, first_a, first_b, distance): entity pairs of a sentence, earlier first."""
     a, b = (entities.select("doc_id", "sent", F.col("first").alias(f"first_{x}"), F.col("last").alias(f"last_{x}")) for x in "ab")
@@ -86,9 +119,10 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best(rows: DataFrame, keys: list[str], score: str, index: str) -> DataFrame:
-    """One row for each key: the highest score, the last index on ties."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.desc(index))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One row for each key: the highest score, the last index on ties; combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(score, index)).alias("_x"))
+    return top.select(*keys, "_x.*").select(*rows.columns)
 
 
 def merged(sents: DataFrame) -> DataFrame:

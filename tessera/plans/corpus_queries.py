@@ -33,23 +33,24 @@ def example_triggers(t):
     return _examples(t).groupBy("doc_id", "sent", "class").agg(F.count("*").alias("n"), F.sum("idx").alias("places"))
 
 
-@query(f"with t as ({TOK}), l as (select idx, token, unnest([-3, -2, -1, 1, 2, 3]) as k, unnest([lag(token, 3) over w, lag(token, 2) over w, lag(token, 1) over w, lead(token, 1) over w, lead(token, 2) over w, lead(token, 3) over w]) as near from t window w as (partition by doc_id, sent order by idx)) select case when k > 0 then 'linear_+' else 'linear_' end || k || '_txt_' || near as feature, count(*) as n from l where near is not null and idx + k > 0 group by 1 union all select case when idx > 0 and regexp_matches(token, '^[A-Z]') then 'upper_case_start' end as feature, count(*) from t group by 1 having feature is not null union all select 'upper_case_middle', count(*) from t where regexp_matches(token, '^.+[A-Z]') having count(*) > 0 union all select 'has_digits', count(*) from t where regexp_matches(token, '[0-9]') having count(*) > 0")
+@query(f"with t as ({TOK}), l as (select idx, token, unnest([-3, -2, -1, 1, 2, 3]) as k, unnest([lag(token, 3) over w, lag(token, 2) over w, lag(token, 1) over w, lead(token, 1) over w, lead(token, 2) over w, lead(token, 3) over w]) as near from t window w as (partition by doc_id, sent order by idx)) select case when k > 0 then 'linear_+' else 'linear_' end || k || '_txt_' || near as feature, count(*) as n from l where near is not null and idx + k > 0 group by 1 union all select case when idx > 0 and regexp_matches(token, '^\\p{{Lu}}') then 'upper_case_start' end as feature, count(*) from t group by 1 having feature is not null union all select 'upper_case_middle', count(*) from t where regexp_matches(token, '^.+\\p{{Lu}}') having count(*) > 0 union all select 'has_digits', count(*) from t where regexp_matches(token, '\\p{{Nd}}') having count(*) > 0")
 def feature_linear(t):
-    rows = features.token_features(_tokens(t)).select(F.explode("names").alias("feature"))
+    rows = text.token_arrays(text.sentences(t("documents")))
+    flags = F.flatten(F.transform("tokens", features.flags))
+    rows = rows.select(F.explode(F.concat(features.linear_in_row("tokens"), flags)).alias("feature"))
     return rows.where("feature like 'linear%' or feature in ('upper_case_start', 'upper_case_middle', 'has_digits')").groupBy("feature").agg(F.count("*").alias("n"))
 
 
 @query(f"with t as (select token from ({TOK})), g as (select token, unnest(list_distinct(list_transform(range(1, length(token)), lambda i: 'dt_' || lower(substr(token, i, 2))))) as feature from t where length(token) >= 2 union all select token, unnest(list_distinct(list_transform(range(1, length(token) - 1), lambda i: 'tt_' || lower(substr(token, i, 3))))) from t where length(token) >= 3) select feature, count(*) as n from g group by 1")
 def feature_char_grams(t):
-    rows = features.token_features(_tokens(t)).select(F.explode("names").alias("feature"))
-    return rows.where("feature like 'dt!_%' escape '!' or feature like 'tt!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
+    words = _tokens(t).groupBy("token").agg(F.count("*").alias("n"))  # each distinct token is cut once
+    rows = words.select(F.explode(F.array_distinct(features.char_grams(F.col("token")))).alias("feature"), "n")
+    return rows.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 @query(f"with b as (select doc_id, lower(token) as w, count(*) as n from ({TOK}) group by 1, 2) select doc_id, w as word, round(n / sum(n) over (partition by doc_id), 8) as weight from b")
 def feature_l1(t):
-    bow = text.bag_of_words(_tokens(t), ["doc_id"])
-    maps = bow.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n").cast("double")))).alias("m"))
-    return rounded(maps.select("doc_id", F.explode(features.l1(F.col("m"))).alias("word", "weight")), 8)
+    return rounded(features.normalised(text.bag_of_words(_tokens(t), ["doc_id"]), "doc_id", "n"), 8)
 
 
 _EDGES = f"select doc_id, sent, first_a as a, first_b as b from ({PAIRS})"
@@ -71,16 +72,13 @@ def example_modifiers(t):
 @query(f"select t.token, count(*) as n from ({_EDGES}) e join ({TOK}) t on e.doc_id = t.doc_id and e.sent = t.sent and t.idx > e.a and t.idx < e.b group by 1")
 def feature_between(t):
     toks = _tokens(t)
-    pairs = text.pairs(text.capitalised(toks))
-    return features.between(toks, pairs, "first_a", "first_b").groupBy("token").agg(F.count("*").alias("n"))
+    return features.between_counts(toks, text.pairs(text.capitalised(toks)), "first_a", "first_b")
 
 
-@query(f"select region, token, count(*) as n from (select unnest(case when t.idx < e.a then ['fore'] when t.idx > e.b then ['after'] else ['fore', 'between', 'after'] end) as region, t.token from ({_EDGES} where distance <= 3) e join ({TOK}) t on e.doc_id = t.doc_id and e.sent = t.sent and t.idx <> e.a and t.idx <> e.b) group by 1, 2")
+@query(f"with t as materialized ({TOK}), w as materialized (select t.doc_id, t.sent, t.idx, lower(token) as token from t anti join ({_NAMES}) n on t.doc_id = n.doc_id and t.sent = n.sent and t.idx = n.idx), g as (select doc_id, sent, idx as lo, idx as hi, token as gram from w union all select doc_id, sent, lag(idx) over v, idx, lag(token) over v || '_' || token from w window v as (partition by doc_id, sent order by idx) union all select doc_id, sent, lag(idx, 2) over v, idx, lag(token, 2) over v || '_' || lag(token) over v || '_' || token from w window v as (partition by doc_id, sent order by idx)), c as materialized ({CAPS}), p as materialized (select a.doc_id, a.sent, a.first as af, a.last as al, b.first as bf, b.last as bl from c a join c b on a.doc_id = b.doc_id and a.sent = b.sent and a.first < b.first), r as (select unnest(case when hi < af then ['fore'] when lo > bl then ['after'] when lo > al and hi < bf then ['fore', 'between', 'after'] else [] end) as region, gram from g join p on g.doc_id = p.doc_id and g.sent = p.sent where gram is not null) select region, gram, count(*) as n from r group by 1, 2")
 def feature_regions(t):
-    toks = _tokens(t)
-    near = text.pairs(text.capitalised(toks)).where("distance <= 3")  # the related pairs
-    rows = features.regions(toks, near, "first_a", "first_b")
-    return rows.groupBy("region", "token").agg(F.sum("n").alias("n"))
+    rows = text.token_arrays(text.sentences(t("documents")))
+    return features.region_counts(rows.withColumn("names", text.capitalised_in_row("tokens")))
 
 
 def _deps(toks):
@@ -89,15 +87,15 @@ def _deps(toks):
 
 @query(f"with t as ({TOK}), d as (select doc_id, sent, idx - 1 as gov, idx as dep, case when idx % 2 = 0 then 'even' else 'odd' end as type from t where idx > 0), x as (select d.doc_id, d.sent, dep as idx, 'In' as tag, type, token from d join t on d.doc_id = t.doc_id and d.sent = t.sent and t.idx = gov union all select d.doc_id, d.sent, gov, 'Out', type, token from d join t on d.doc_id = t.doc_id and d.sent = t.sent and t.idx = dep) select 't1H' || tag || '_' || f as feature, count(*) as n from (select distinct doc_id, sent, idx, tag, unnest([type, token, type || '_' || token]) as f from x) group by 1")
 def feature_attached(t):
-    toks = _tokens(t)
-    return features.attached(_deps(toks), toks).groupBy("feature").agg(F.count("*").alias("n"))
+    rows = text.token_arrays(text.sentences(t("documents"))).where("size(tokens) > 1")
+    edge = lambda i: F.struct((i - 1).alias("gov"), i.alias("dep"), F.when(i % 2 == 0, "even").otherwise("odd").alias("type"))
+    rows = rows.withColumn("edges", F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), edge))
+    return rows.select(F.explode(features.attached_in_row("tokens", "edges")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query("with t as (select doc_id, unnest(range(1, 9)) as idx from documents), p as (select way, k, idx, case when way = 'frw_' then idx + k else idx - k end as stop, list_aggregate(list_transform(range(0, k), lambda i: way || case when (case when way = 'frw_' then idx + i + 1 else idx - i end) % 2 = 0 then 'even' else 'odd' end), 'string_agg', ' ') as steps from t, (values ('frw_'), ('rev_')) w(way), (values (1), (2), (3)) s(k)) select steps, count(*) as n from p where stop between 1 and 8 group by 1")
+@query(f"with t as (select doc_id, sent, idx, max(idx) over (partition by doc_id, sent) as top from ({TOK})), p as (select way, list_aggregate(list_transform(range(0, k), lambda i: way || case when (case when way = 'frw_' then idx + i + 1 else idx - i end) % 2 = 0 then 'even' else 'odd' end), 'string_agg', ' ') as steps from t, (values ('frw_'), ('rev_')) w(way), range(1, 4) r(k) where case when way = 'frw_' then idx + k <= top else idx - k >= 0 end) select steps, count(*) as n from p group by 1")
 def feature_chains(t):
-    toks = t("documents").select("doc_id", F.lit(0).alias("sent"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("idx"))
-    deps = _deps(toks).where("gov > 0")
-    return features.chains(deps).select(F.array_join("steps", " ").alias("steps")).groupBy("steps").agg(F.count("*").alias("n"))
+    return features.chains(_deps(_tokens(t))).select(F.array_join("steps", " ").alias("steps")).groupBy("steps").agg(F.count("*").alias("n"))
 
 
 @query(f"with t as ({TOK}), l as (select doc_id, sent, idx, lower(token) as a, lower(lead(token) over w) as b from t window w as (partition by doc_id, sent order by idx)), p as (select distinct split_part(lower(n_name), ' ', 1) as x from nation), h as (select doc_id, sent, idx, 1 as n from l where a in ('the', 'de', 'der') union all select doc_id, sent, idx, 2 from l where a || ' ' || b in ('of the', 'de la')) select doc_id, sent, idx from (select distinct doc_id, sent, unnest(range(idx, idx + n)) as idx from h)")
