@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.statistics import ranked
+from tessera.operators.lineage import settled
 from tessera.operators.tables import running
 
 
@@ -77,25 +80,72 @@ def point_biserial(df: DataFrame, group: str, x: str, a: object, b: object) -> D
     return rows.agg(((mean(b) - mean(a)) / F.stddev_pop(x) * F.sqrt(p * (1 - p))).alias("r"), F.count("*").alias("n"))
 
 
-def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+def concordance(y: np.ndarray, n: np.ndarray) -> float:
+    """Sum of n_i n_j sign(y_j - y_i) over i < j, by merging sorted halves."""
+    total, size = 0.0, 1
+    y, n = y.copy(), n.astype(float)
+    while size < len(y):
+        for lo in range(0, len(y) - size, 2 * size):
+            mid, hi = lo + size, min(lo + 2 * size, len(y))
+            sums = np.concatenate(([0.0], np.cumsum(n[lo:mid])))
+            below = sums[np.searchsorted(y[lo:mid], y[mid:hi], "left")]
+            above = sums[-1] - sums[np.searchsorted(y[lo:mid], y[mid:hi], "right")]
+            total += float((n[mid:hi] * (below - above)).sum())
+            order = np.argsort(y[lo:hi], kind="stable")
+            y[lo:hi], n[lo:hi] = y[lo:hi][order], n[lo:hi][order]
+        size *= 2
+    return total
+
+
+def _within(frame: pd.DataFrame, block: str | None) -> float:
+    """Concordant less discordant pairs of a block's cells; pairs of one ``block`` of the other column are left out."""
+    frame = frame.sort_values(["x", "y"])
+
+    def excess(f: pd.DataFrame) -> float:
+        # cells of one x are in the order of y, so that all their pairs with different y were counted as concordant
+        equal = f.groupby("x")["n"].agg(["sum", lambda v: (v**2).sum()]).to_numpy()
+        return concordance(f["y"].to_numpy(), f["n"].to_numpy()) - float((equal[:, 0] ** 2 - equal[:, 1]).sum()) / 2
+
+    return excess(frame) - (sum(excess(part) for _, part in frame.groupby(block)) if block else 0.0)
+
+
+def kendall(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     """(tau, n): tau-b, from the table of counts of the two columns' values.
 
-    Concordant and discordant pairs are prefix sums over the grid of distinct
-    values, so no pairs of rows are made. The grid has one cell for each pair of
-    values: measure columns with many values in classes first.
+    Both columns are cut into blocks at quantiles. Pairs in different blocks of
+    both are counted from the small table of block sizes, pairs in one block of x
+    inside that block, and the rest inside the blocks of y; each by merging, so
+    no pairs of rows or values are made.
     """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    grid = cells.select("x").distinct().crossJoin(cells.select("y").distinct()).join(cells, ["x", "y"], "left").fillna(0.0, ["n"])
-    below = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("left", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
-    row = Window.partitionBy("x").orderBy("y")
-    low = F.coalesce(F.sum("left").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    high = F.coalesce(F.sum("left").over(row.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    excess = grid.withColumn("e", F.col("n") * (low - high)).agg(F.sum("e").alias("excess"), F.sum("n").alias("n"))
-    tied = lambda c: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
-    s = excess.join(tied("x")).join(tied("y"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return s.select((F.col("excess") / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"), F.col("n").cast("long").alias("n"))
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = cells.agg(F.count("*").cast("double").alias("n"))
+    for c in ("x", "y"):
+        edges = sorted(set(cells.approxQuantile(c, [i / blocks for i in range(1, blocks)], 0.2 / blocks)))
+        value = F.col(c)
+        cells = cells.withColumn(f"b{c}", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < value)) if edges else F.lit(0))  # noqa: B023
+    cells = settled(cells)
+    sizes = np.zeros((blocks, blocks))
+    for r in cells.groupBy("bx", "by").agg(F.sum("n").alias("n")).collect():  # blocks x blocks rows at most
+        sizes[r.bx, r.by] = r.n
+    before = np.zeros((blocks + 1, blocks + 1))
+    before[1:, 1:] = sizes.cumsum(0).cumsum(1)
+    left = before[:-1]  # sums over lower blocks of x
+    apart = float((sizes * (left[:, :-1] - (left[:, -1:] - left[:, 1:]))).sum())
+
+    def inside(other: str | None):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"e": [_within(frame, other)]})
+
+        return run
+
+    parts = [cells.groupBy("bx").applyInPandas(inside(None), "e double"), cells.groupBy("by").applyInPandas(inside("bx"), "e double")]
+    excess = apart + sum(p.agg(F.sum("e")).first()[0] or 0.0 for p in parts)
+    tied = lambda c: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0.0
+    n = int(sizes.sum())
+    pairs = n * (n - 1) / 2
+    width = ((pairs - tied("x")) * (pairs - tied("y"))) ** 0.5
+    return df.sparkSession.createDataFrame([(excess / width if width else None, n)], "tau double, n long")
+
 
 
 def ttest_single(x: str, mean: float) -> list[Column]:

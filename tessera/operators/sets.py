@@ -44,8 +44,12 @@ def feature_difference(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def number_within(df: DataFrame, parent: str, order: str, out: str) -> DataFrame:
     """Hierarchical ids: rows numbered from 0 inside their parent."""
-    place = F.row_number().over(Window.partitionBy(parent).orderBy(order)) - 1
-    return df.withColumn(out, F.concat(F.col(parent).cast("string"), F.lit(".s"), place.cast("string")))
+    from tessera.operators.tables import ranked
+
+    rows = ranked(df, [parent, order], "_rank")
+    first = rows.groupBy(parent).agg(F.min("_rank").alias("_first")).withColumnRenamed(parent, "_parent")
+    rows = rows.join(first, F.col(parent).eqNullSafe(F.col("_parent")))
+    return rows.withColumn(out, F.concat(F.col(parent).cast("string"), F.lit(".s"), (F.col("_rank") - F.col("_first")).cast("string"))).drop("_rank", "_first", "_parent")
 
 
 def schema_ranges(instances: DataFrame, owner: str, kind: str, argument: str) -> DataFrame:

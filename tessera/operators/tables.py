@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import settled
+
 #: Buckets of a distributed running sum.
 BUCKETS = 256
 
@@ -46,9 +48,9 @@ def standard_error(column: str) -> Column:
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows that occur again later: all but the last of each group of equal keys."""
-    later = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_r", F.row_number().over(later)).where("_r > 1").drop("_r")
+    """Rows that occur again later: all but the last of each group of equal keys; keys and order tell a row."""
+    last = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
+    return df.join(last, list(keys)).where(F.struct(*order) < F.col("_last")).select(*df.columns)
 
 
 def nonrepeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,8 +60,9 @@ def nonrepeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each group of equal keys."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x"))
+    return first.select(*keys, "_x.*").select(*df.columns)
 
 
 def running(df: DataFrame, by: str, weight: str, out: str) -> DataFrame:
@@ -82,8 +85,7 @@ def running(df: DataFrame, by: str, weight: str, out: str) -> DataFrame:
 def ranked(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """``out``: place from 0 in a total order, by ranges that are sorted apart; only their sizes meet in one task."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    cut = cut.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else cut.persist()  # ranges must not move between uses
+    cut = settled(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # ranges must not move between uses
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that travel with the plan at once.
@@ -37,9 +37,28 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def _nearest(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     rows = base.select("vec_id", unit("embedding").alias("e")).join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
     rows = rows.select("query_id", "vec_id", dot("q", "e").alias("similarity"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col("vec_id")).alias("v"))), asc=False), 1, k)
-    first = rows.withColumn("part", F.spark_partition_id()).groupBy("query_id", "part").agg(best.alias("b"))
-    top = first.select("query_id", F.explode("b").alias("x")).select("query_id", "x.similarity", (-F.col("x.v")).alias("vec_id"))
-    final = F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col("vec_id")).alias("v"))), asc=False), 1, k)
-    top = top.groupBy("query_id").agg(final.alias("b")).select("query_id", F.explode("b").alias("x"))
-    return top.select("query_id", (-F.col("x.v")).alias("vec_id"), F.col("x.similarity").alias("similarity"))
+    # Spark keeps k rows a query in each task before the shuffle
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+
+
+def similarity(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of stated pairs of vec_id by cosine."""
+    side = lambda k: base.select(F.col("vec_id").alias(k), unit("embedding").alias(f"_{k}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", dot("_a", "_b").alias("similarity"))
+
+
+def analogies(base: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, similarity): the k nearest to b - a + c for each (query_id, a, b, c) of vec_ids, these three excluded."""
+    side = lambda x: base.select(F.col("vec_id").alias(x), unit("embedding").alias(f"_{x}"))
+    rows = asked.join(side("a"), "a").join(side("b"), "b").join(side("c"), "c")
+    both = F.zip_with(F.zip_with("_b", "_a", lambda x, y: x - y), "_c", lambda x, y: x + y)
+    found = nearest(base, rows.select("query_id", both.alias("q")), k + 3)
+    named = found.join(asked.select("query_id", F.array("a", "b", "c").alias("_own")), "query_id").where(~F.array_contains("_own", F.col("vec_id")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return named.withColumn("_r", place).where(F.col("_r") <= k).drop("_r", "_own")
+
+
+def random_vector(seed: int, size: int) -> Column:
+    """An array of ``size`` numbers in [-1, 1) that depends on the row's seed column alone."""
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.pmod(F.xxhash64(F.lit(seed), i), F.lit(2_000_003)) / 1_000_001.5 - 1)

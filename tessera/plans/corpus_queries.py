@@ -115,23 +115,18 @@ def write_triggers(t):
     return rows.select("doc_id", "id", "sent", "idx", "type")
 
 
-_ENT = "select n_regionkey as doc_id, 'e' || n_nationkey as id, case when n_nationkey % 3 = 0 then 'Gene' when n_nationkey % 3 = 1 then 'Site' else 'Event' end as type from nation"
-_REL = "select a.n_regionkey as doc_id, 'r' || a.n_nationkey || '-' || b.n_nationkey as id, case when (a.n_nationkey + b.n_nationkey) % 2 = 0 then 'Theme' else 'Cause' end as type, 'e' || a.n_nationkey as a, 'e' || b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey"
+_ENT = "select c_custkey % 10 as doc_id, 'e' || c_custkey as id, case when c_custkey % 3 = 0 then 'Gene' when c_custkey % 3 = 1 then 'Site' else 'Event' end as type from customer"
+_REL = "select o_custkey % 10 as doc_id, 'r' || o_orderkey as id, case when o_orderkey % 2 = 0 then 'Theme' else 'Cause' end as type, 'e' || o_custkey as a, 'e' || (o_custkey + 10 * (o_orderkey % 5)) as b from orders"
 
 
 def _annotation(t):
-    n = t("nation")
-    kind = F.when(F.col("n_nationkey") % 3 == 0, "Gene").when(F.col("n_nationkey") % 3 == 1, "Site").otherwise("Event")
-    ents = n.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("id"), kind.alias("type"), (F.col("n_nationkey") % 3 == 0).alias("given"))
-    x, y = (n.select("n_regionkey", F.col("n_nationkey").alias(k)) for k in "xy")
-    end = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
-    rels = x.join(y, "n_regionkey").where("x <> y").select(
-        F.col("n_regionkey").alias("doc_id"),
-        F.concat(F.lit("r"), F.col("x").cast("string"), F.lit("-"), F.col("y").cast("string")).alias("id"),
-        F.when((F.col("x") + F.col("y")) % 2 == 0, "Theme").otherwise("Cause").alias("type"),
-        end("x").alias("a"),
-        end("y").alias("b"),
-    )
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    c, o = F.col("c_custkey"), F.col("o_custkey")
+    kind = F.when(c % 3 == 0, "Gene").when(c % 3 == 1, "Site").otherwise("Event")
+    ents = t("customer").select((c % 10).alias("doc_id"), name(c).alias("id"), kind.alias("type"), (c % 3 == 0).alias("given"))
+    way = F.when(F.col("o_orderkey") % 2 == 0, "Theme").otherwise("Cause")
+    other = o + 10 * (F.col("o_orderkey") % 5)
+    rels = t("orders").select((o % 10).alias("doc_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"), way.alias("type"), name(o).alias("a"), name(other).alias("b"))
     return ents, rels
 
 

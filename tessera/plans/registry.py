@@ -271,11 +271,11 @@ def entity_mapping(t):
     return evaluation.unmatched(t("documents").where("n_chars > 1500"), gold, ["doc_id", "lang"])
 
 
-@query("with a as (select doc_id, (n_chars - min(n_chars) over ()) / cast(max(n_chars) over () - min(n_chars) over () as double) as s from documents where doc_id % 2 = 0), b as (select doc_id, (v - min(v) over ()) / cast(max(v) over () - min(v) over () as double) as s from (select doc_id, doc_id * 37 % 1009 as v from documents where doc_id % 3 = 0)) select doc_id, case when coalesce(a.s, -1) >= coalesce(b.s, -1) then 'a' else 'b' end as winner, round(greatest(a.s, b.s), 6) as score from a full join b using (doc_id)")
+@query("with a as (select doc_id, (n_chars - min(n_chars) over ()) / cast(max(n_chars) over () - min(n_chars) over () as double) as s from documents where lang in ('en', 'de')), b as (select doc_id, (v - min(v) over ()) / cast(max(v) over () - min(v) over () as double) as s from (select doc_id, doc_id * 37 % 1009 as v from documents where n_chars > 500)) select doc_id, case when coalesce(a.s, -1) >= coalesce(b.s, -1) then 'a' else 'b' end as winner, round(greatest(a.s, b.s), 6) as score from a full join b using (doc_id)")
 def ensemble_or(t):
     docs = t("documents")
-    a = docs.where("doc_id % 2 = 0").select("doc_id", F.col("n_chars").alias("s"))
-    b = docs.where("doc_id % 3 = 0").select("doc_id", F.pmod(F.col("doc_id") * 37, F.lit(1009)).alias("s"))
+    a = docs.where("lang in ('en', 'de')").select("doc_id", F.col("n_chars").alias("s"))
+    b = docs.where("n_chars > 500").select("doc_id", F.pmod(F.col("doc_id") * 37, F.lit(1009)).alias("s"))
     return rounded(evaluation.ensemble(a, b, ["doc_id"], "s"))
 
 
@@ -317,16 +317,14 @@ def corpus_stats_rollup(t):
 # graphs and vectors ------------------------------------------------------------------------------
 
 
-@query("with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select vec_id as query_id, e as q from u where vec_id in (0, 1, 2, 3, 4)) select query_id, vec_id, round(similarity, 5) as similarity from (select query_id, vec_id, list_cosine_similarity(q, e) as similarity from u, q where vec_id <> query_id) qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 10")
+@query("with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select vec_id as query_id, e as q from u where vec_id % 50 = 0) select query_id, vec_id, round(similarity, 5) as similarity from (select query_id, vec_id, list_cosine_similarity(q, e) as similarity from u, q where vec_id <> query_id) qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 10")
 def vec_nearest(t):
     base = t("embeddings")
-    asked = base.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return rounded(vectors.nearest(base, asked), 5)
 
 
-@query("with e as (select distinct n_regionkey as g, n_nationkey as a, n_nationkey + 5 as b from nation where n_nationkey + 5 in (select n_nationkey from nation)) select g as \"group\", x.a as a, y.a as b, (y.a - x.a) // 5 as length, 1 as ties from (select g, a from e union select g, b from e) x join (select g, a from e union select g, b from e) y using (g) where x.a < y.a and (y.a - x.a) % 5 = 0")
+@query("with l as (select distinct l_orderkey as g, l_linenumber as a from lineitem), r as (select g, min(a) as lo, max(a) + 1 as hi from (select g, a, a - row_number() over (partition by g order by a) as run from l) group by g, run) select r.g as \"group\", x.a as a, y.b as b, y.b - x.a as length, 1 as ties from r join range(0, 100) x(a) on x.a between r.lo and r.hi join range(0, 100) y(b) on y.b between r.lo and r.hi and x.a < y.b")
 def graph_paths(t):
-    n = t("nation").select("n_regionkey", "n_nationkey")
-    m = n.select(F.col("n_nationkey").alias("b"))
-    edges = n.join(m, F.col("n_nationkey") + 5 == F.col("b")).select(F.col("n_regionkey").cast("long").alias("group"), F.col("n_nationkey").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    edges = t("lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").cast("long").alias("a"), (F.col("l_linenumber") + 1).cast("long").alias("b"))
     return graphs.path_lengths(edges.distinct(), "group")

@@ -194,9 +194,9 @@ def tab_simpleabut(t):
     return tables.zip_columns(t("supplier").select("s_suppkey"), t("nation").select("n_nationkey", "n_name"), "s_suppkey", "n_nationkey").select("s_suppkey", "n_name")
 
 
-@query("select vec_id, i as place, cast(x as double) as x from (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding) as x from embeddings where vec_id < 50)")
+@query("select vec_id, i as place, cast(x as double) as x from (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding) as x from embeddings)")
 def tab_flat(t):
-    return tables.flat(t("embeddings").where("vec_id < 50").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", "x")
+    return tables.flat(t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", "x")
 
 
 @query("select o_orderkey, cast(case when try_cast(v as double) is null then 'string' when try_cast(v as double) = floor(try_cast(v as double)) then 'int' else 'float' end as varchar) as kind from (select o_orderkey, case when o_orderkey % 3 = 0 then o_orderstatus when o_orderkey % 3 = 1 then cast(o_orderkey as varchar) else cast(o_orderkey as varchar) || '.5' end as v from orders)")
