@@ -289,3 +289,56 @@ def within_subject(df: DataFrame, subject: str, factors: Sequence[str]) -> DataF
     s = df.groupBy(subject).agg(*[F.countDistinct(f).alias(f) for f in factors])
     one = s.agg(*[F.max(F.col(f) > 1).alias(f) for f in factors])
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("within")) for f in factors])))
+
+
+def sign(x: Column) -> Column:
+    return F.signum(x).cast("int")
+
+
+def sorted_places(df: DataFrame, x: str, key: str) -> DataFrame:
+    """(place, value, key): the values in order with the key of the row each comes from; a distributed sort, no task sorts all."""
+    from tessera.operators.tables import ranked as placed
+
+    return placed(df.select(F.col(x).alias("value"), key), ["value", key], "place")
+
+
+def paired(df: DataFrame, x: str, y: str) -> DataFrame:
+    """What a paired comparison rests on, in one row: n, both means and spreads, the variance ratio, t of the differences, and r.
+
+    Which of the tests applies is the caller's choice; nothing is asked for.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = F.col(x) - F.col(y)
+    vx, vy = F.var_samp(x), F.var_samp(y)
+    return both.agg(
+        F.count("*").alias("n"),
+        F.avg(x).alias("mean_x"),
+        F.avg(y).alias("mean_y"),
+        F.stddev_samp(x).alias("sd_x"),
+        F.stddev_samp(y).alias("sd_y"),
+        (F.greatest(vx, vy) / F.least(vx, vy)).alias("variance_ratio"),
+        (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*")))).alias("t"),
+        F.corr(x, y).alias("r"),
+    )
+
+
+def linear_model(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[np.ndarray, float, int, int]:
+    """Coefficients (constant first), F and its degrees of freedom of a least-squares model; one pass adds up the products of columns."""
+    names = ["_one", *xs, y]
+    rows = df.select(F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in [*xs, y]]).dropna()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+    gram = np.zeros((len(names), len(names)))
+    for (i, j), v in zip(pairs, sums, strict=True):
+        gram[i, j] = gram[j, i] = v or 0.0
+    k, n = len(xs), int(gram[0, 0])
+    beta = np.linalg.solve(gram[:-1, :-1], gram[:-1, -1])
+    full = gram[-1, -1] - beta @ gram[:-1, -1]
+    null = gram[-1, -1] - gram[0, -1] ** 2 / n
+    return beta, float((null - full) / k / (full / (n - k - 1))), k, n - k - 1
+
+
+def f_multivariate(restricted: np.ndarray, full: np.ndarray, df_num: float, df_den: float) -> float:
+    """F of two error matrices by their determinants; numbers count as 1 x 1 matrices."""
+    er, ef = (float(np.linalg.det(np.atleast_2d(m))) for m in (restricted, full))
+    return (er - ef) / df_num / (ef / df_den)

@@ -114,7 +114,11 @@ def order_features(tokens: str, tags: str, names: str, reach: int = 3, tag: str
 def token_grams(tokens: str, first: Column, last: Column, most: int = 3, tag: str = "") -> Column:
     """Names of the runs of up to ``most`` tokens that end at each place of a range and don't begin before it, each once."""
     arr = F.col(tokens)
-    runs = [F.transform(F.sequence(first, last), lambda i, n=n: F.when(i - n + 1 >= first, F.concat(F.lit(f"lin_{tag}_text_"), F.array_join(F.slice(arr, i - n + 2, F.lit(n)), "_")))) for n in range(1, most + 1)]
+    def run(n: int) -> Column:
+        name = lambda i: F.concat(F.lit(f"lin_{tag}_text_"), F.array_join(F.slice(arr, i - n + 2, F.lit(n)), "_"))
+        return F.transform(F.sequence(first, last), lambda i: F.when(i - n + 1 >= first, name(i)))
+
+    runs = [run(n) for n in range(1, most + 1)]
     return F.array_distinct(F.filter(F.concat(*runs), lambda x: x.isNotNull()))
 
 
@@ -301,3 +305,34 @@ def weights(rows: DataFrame, label: str) -> DataFrame:
     n = rows.groupBy(label).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("_all"), F.count("*").alias("_k"), F.min("n").alias("_least"))
     return n.join(F.broadcast(total)).select(label, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("balanced"), (F.col("n") / F.col("_least")).alias("proportional"))
+
+
+def average_vectors(rows: DataFrame, keys: Sequence[str], vector: str, out: str = "vector") -> DataFrame:
+    """(keys, out): the mean of the vectors of each group, place by place; groups are added up before the shuffle."""
+    parts = rows.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"))
+    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias(out))
+
+
+def pair_vectors(toks: DataFrame, pairs: DataFrame, vectors: DataFrame, left: str = "first_a", right: str = "first_b") -> DataFrame:
+    """(sentence, left, right, region, vector): mean word vectors before, between and after each stated pair.
+
+    ``vectors`` has (word, vector), words in lower case; words without one don't count.
+    """
+    lo, hi = F.least(left, right), F.greatest(left, right)
+    region = F.when(F.col("idx") < lo, "fore").when(F.col("idx") > hi, "after").otherwise("between")
+    rows = pairs.select(*SENTENCE, left, right).join(toks.select(*SENTENCE, "idx", F.lower("token").alias("word")), SENTENCE).where((F.col("idx") != lo) & (F.col("idx") != hi))
+    known = rows.select(*SENTENCE, left, right, region.alias("region"), "word").join(vectors.select("word", "vector"), "word")
+    return average_vectors(known, [*SENTENCE, left, right, "region"], "vector")
+
+
+def phrase_examples(phrases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(sentence, first, last, type, class): every phrase, with the merged types of the entities over the same tokens, else neg."""
+    kinds = entities.groupBy(*SENTENCE, "first", "last").agg(F.array_join(F.array_sort(F.collect_set("type")), "---").alias("class"))
+    return phrases.select(*SENTENCE, "first", "last", "type").join(kinds, [*SENTENCE, "first", "last"], "left").withColumn("class", F.coalesce("class", F.lit("neg")))
+
+
+def matrix_cells(toks: DataFrame, deps: DataFrame) -> DataFrame:
+    """(sentence, i, j, features): the cells of a sentence's token matrix that hold something: words on the diagonal, dependency types elsewhere."""
+    words = toks.select(*SENTENCE, F.col("idx").alias("i"), F.col("idx").alias("j"), F.concat(F.lit("txt_"), F.lower("token")).alias("f"))
+    arcs = deps.select(*SENTENCE, F.col("gov").alias("i"), F.col("dep").alias("j"), F.concat(F.lit("dep_"), "type").alias("f"))
+    return words.unionByName(arcs).groupBy(*SENTENCE, "i", "j").agg(F.array_sort(F.collect_set("f")).alias("features"))

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation
+from tessera.operators import evaluation, features, structure
 
 
 def train(examples: DataFrame, names: str = "names", label: str = "class", c: float = 1.0, size: int = 1 << 18, kind: str = "svm", iterations: int = 50) -> PipelineModel:
@@ -61,3 +61,47 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def weights(model: PipelineModel) -> DataFrame:
+    """(class, slot, weight) of a linear model, weights of 0 left out: a row for each class and hashed name in use."""
+    from pyspark.sql import SparkSession
+
+    learner, classes = model.stages[-2], model.stages[-1].getLabels()
+    vectors = [m.coefficients.toArray() for m in learner.models] if hasattr(learner, "models") else list(learner.coefficientMatrix.toArray())
+    rows = [(classes[k], int(i), float(v[i])) for k, v in enumerate(vectors) for i in v.nonzero()[0]]
+    return SparkSession.getActiveSession().createDataFrame(rows, "class string, slot int, weight double")
+
+
+#: Steps of a detection by task: how examples are made, and what a prediction becomes.
+DETECTORS = {
+    "triggers": (features.trigger_examples, structure.split_predictions),
+    "edges": (features.edge_examples, structure.valid_relations),
+    "modifiers": (features.modifier_examples, structure.with_modifiers),
+    "phrases": (features.phrase_examples, structure.split_predictions),
+}
+
+
+def detector(task: str) -> tuple:
+    """(maker of examples, writer of predictions) by name."""
+    if task not in DETECTORS:
+        raise KeyError(f"no detector {task}")
+    return DETECTORS[task]
+
+
+def detect(training: DataFrame, new: DataFrame, keys: Sequence[str], names: str = "names", label: str = "class", **setting) -> DataFrame:
+    """Predicted classes of new examples by a model of training examples: the keys, ``class`` and the scores of each class."""
+    found = classify(train(training, names, label, **setting), new)
+    return found.select(*keys, F.col("predicted").alias("class"), "scores")
+
+
+def detect_events(training: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Triggers and then edges, each detected from its own examples; edge examples whose ends weren't detected are left out.
+
+    Both sides are (trigger examples, edge examples); an edge has the keys of its
+    trigger, under the same names.
+    """
+    triggers = detect(training[0], new[0], keys).where("class <> 'neg'")
+    edges = new[1].join(triggers.select(*keys).distinct(), list(keys), "left_semi")
+    more = [c for c in edges.columns if c not in ("names", "class")]
+    return triggers, detect(training[1], edges, more).where("class <> 'neg'")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import intervals, statistics
 from tessera.operators import evaluation, graphs, sets, tables, text, vectors
-from tessera.plans import annotation_queries, corpus_queries, statistics_queries
+from tessera.plans import annotation_queries, corpus_queries, format_queries, function_queries, statistics_queries
 from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
 from tessera.plans.register import QUERIES, SQL, query, rounded
 
-__all__ = ["QUERIES", "SQL", "annotation_queries", "corpus_queries", "statistics_queries"]
+__all__ = ["QUERIES", "SQL", "annotation_queries", "corpus_queries", "format_queries", "function_queries", "statistics_queries"]
 
 # tables ------------------------------------------------------------------------------------------
 

@@ -8,26 +8,36 @@ from pyspark.sql import functions as F
 
 
 def read_standoff(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, kind, type, spans, text, trigger, arguments) of standoff annotation lines.
+    """(file, id, kind, type, spans, text, trigger, arguments) of standoff annotation lines, see ``parse_standoff``."""
+    return parse_standoff(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), ["file"])
 
-    ``kind`` is the id's letter: T text-bound, E event, R relation, M modifier,
-    N normalisation, * equivalence; ``arguments`` is an array of (role, target).
+
+def parse_standoff(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, kind, type, spans, text, trigger, arguments) of lines in ``value``.
+
+    ``kind`` is the id's letter: T and W text-bound, E event, R relation, M
+    modifier, N normalisation, * equivalence, X extra; ``arguments`` is an array
+    of (role, target), for * with the members as targets. Comments are left out.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t").alias("p"))
-    body = F.split(F.get("p", F.lit(1)), " ", 2)
+    lines = rows.select(*keys, F.split("value", "\t").alias("p"))
+    rest = F.get("p", F.lit(1))
+    body = F.split(rest, " ", 2)
     kind = F.substring(F.get("p", F.lit(0)), 1, 1)
-    bound, head = kind == "T", F.get(body, F.lit(0))
+    bound, head = kind.isin("T", "W"), F.get(body, F.lit(0))
     spans = F.transform(F.split(F.get(body, F.lit(1)), ";"), lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).cast("int").alias("b"), F.split_part(x, F.lit(" "), F.lit(2)).cast("int").alias("e")))
-    pairs = F.transform(F.split(F.get(body, F.lit(1)), " "), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("role"), F.split_part(x, F.lit(":"), F.lit(2)).alias("target")))
-    return lines.where(kind != "#").select(
-        "file",
+    words = F.filter(F.split(F.get(body, F.lit(1)), " "), lambda x: x != "")
+    part = lambda x, i: F.coalesce(F.get(F.split(x, ":", 2), F.lit(i)), F.lit(""))
+    pairs = F.filter(F.transform(words, lambda x: F.struct(part(x, 0).alias("role"), part(x, 1).alias("target"))), lambda x: x["target"] != "")
+    plain = F.transform(words, lambda x: F.struct(F.lit("").alias("role"), x.alias("target")))
+    return lines.where(~kind.isin("#", "")).select(
+        *keys,
         F.get("p", F.lit(0)).alias("id"),
         kind.alias("kind"),
         F.split_part(head, F.lit(":"), F.lit(1)).alias("type"),
         F.when(bound, spans).alias("spans"),
         F.when(bound, F.get("p", F.lit(2))).alias("text"),
         F.when(kind == "E", F.split_part(head, F.lit(":"), F.lit(2))).alias("trigger"),
-        F.when(kind.isin("E", "R"), F.filter(pairs, lambda x: x["target"] != "")).alias("arguments"),
+        F.when(kind.isin("E", "R", "N", "X"), pairs).when(kind.isin("*", "M"), plain).alias("arguments"),
     )
 
 
@@ -152,16 +162,14 @@ def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def standoff_lines(df: DataFrame) -> DataFrame:
-    """(file, value): the inverse of ``read_standoff`` for text-bound, event, relation and modifier rows."""
+def standoff_lines(df: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, value): the inverse of ``parse_standoff``."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["b"].cast("string"), F.lit(" "), s["e"].cast("string"))), ";")
-    pairs = F.array_join(F.transform("arguments", lambda a: F.concat(a["role"], F.lit(":"), a["target"])), " ")
-    value = (
-        F.when(F.col("kind") == "T", F.concat_ws("\t", "id", F.concat_ws(" ", "type", spans), "text"))
-        .when(F.col("kind") == "E", F.concat_ws("\t", "id", F.concat_ws(" ", F.concat_ws(":", "type", F.nullif("trigger", F.lit(""))), F.nullif(pairs, F.lit("")))))
-        .otherwise(F.concat_ws("\t", "id", F.concat_ws(" ", "type", F.nullif(pairs, F.lit("")))))
-    )
-    return df.select("file", value.alias("value"))
+    pairs = F.array_join(F.transform("arguments", lambda a: F.when(a["role"] == "", a["target"]).otherwise(F.concat(a["role"], F.lit(":"), a["target"]))), " ")
+    head = F.when(F.col("kind") == "E", F.concat_ws(":", "type", F.nullif("trigger", F.lit("")))).otherwise(F.col("type"))
+    bound = F.concat_ws("\t", "id", F.concat_ws(" ", "type", spans), "text")
+    value = F.when(F.col("kind").isin("T", "W"), bound).otherwise(F.concat_ws("\t", "id", F.concat_ws(" ", head, F.nullif(pairs, F.lit("")))))
+    return df.select(*keys, value.alias("value"))
 
 
 def conllu_lines(df: DataFrame) -> DataFrame:
@@ -190,9 +198,24 @@ def submission_lines(relations: DataFrame, columns: list[str]) -> DataFrame:
     return relations.where("type <> 'neg'").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
 
 
-def load(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
-    """One entry for all readers, by the name of the format."""
-    readers = {"standoff": read_standoff, "examples": read_examples, "conllu": read_conllu, "xml": read_corpus_xml, "predictions": read_predictions, "dependencies": read_dependencies, "trees": read_trees, "vectors": read_vectors, "ontology": read_ontology}
+def adjusted_predictions(spark: SparkSession, path: str, classes: list[str], boost: float = 1.0, threshold: float | None = None) -> DataFrame:
+    """``read_predictions`` with the class chosen anew from the scores as they are read: the first class boosted, or cut at a threshold."""
+    from tessera.operators.evaluation import best_class
+
+    rows = read_predictions(spark, path, classes)
+    return rows.withColumn("predicted", best_class("scores", classes[0], boost, threshold))
+
+
+def load(spark: SparkSession, path: str, kind: str | None = None, **options):
+    """One entry for all readers, by the name of the format, or by the path's ending where none is given."""
+    from tessera.sources import archives, corpus, parses
+
+    kind = kind or archives.kind_of(path)
+    readers = {
+        "standoff": read_standoff, "examples": read_examples, "conllu": read_conllu, "elements": read_corpus_xml, "xml": corpus.load, "predictions": read_predictions, "dependencies": read_dependencies,
+        "trees": read_trees, "vectors": read_vectors, "ontology": read_ontology, "annotated": archives.read_annotated, "articles": archives.read_articles, "conll": parses.read_conll, "epe": parses.read_epe,
+        "tokens": parses.read_token_lines, "drugs": archives.read_drugs, "names": archives.read_names,
+    }
     if kind in readers:
         return readers[kind](spark, path, **options)
     return spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **options).load(path)
