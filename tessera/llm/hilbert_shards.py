@@ -82,7 +82,7 @@ def _string_code(value: Column, skip: int) -> Column:
 
 def _number_code(value: Column) -> Column:
     """Bits of a count, in quarters: 4 codes for each doubling."""
-    v = F.greatest(value.cast("long"), F.lit(0)) + 4
+    v = F.when(value.isNotNull(), F.greatest(value.cast("long"), F.lit(0)) + 4)
     high = F.length(F.bin(v)) - 1
     return high.cast("long") * 4 + F.floor(v / F.pow(F.lit(2.0), high - 2)).cast("long") % 4
 

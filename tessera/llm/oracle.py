@@ -119,7 +119,7 @@ with bounds as (
   select {skip("source")} as skip_source, {skip("lang")} as skip_lang from bounds
 ), coded as (
   select doc_id, encode(coalesce(text, '')) as raw, {text_code("source")} as source_code, {text_code("lang")} as lang_code,
-         (select {number} from (select greatest(n_chars, 0) as v)) as n_code
+         (select {number} from (select case when n_chars is not null then greatest(n_chars, 0) end as v)) as n_code
   from documents, skips
 ), scaled as (
   select *, min(source_code) over () as lo_source, max(source_code) over () as hi_source,

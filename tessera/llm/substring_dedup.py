@@ -12,7 +12,8 @@ byte 50 times, so only suffixes that can have an equal are sorted:
 2. The windows of shared anchors, with their bytes, are contexts. Of equal
    contexts only those of the smallest document are sorted, the others are cut
    at once: inside a chunk after their bytes were compared, and across chunks
-   for frequent ones, by 128 bits of hash and the length. The rest is dealt to
+   for frequent ones, by a hash, a number made of 24 of their bytes and the
+   length. The rest is dealt to
    buckets. A bucket sorts its suffixes: ternary partitioning (multikey
    quicksort) on 8-byte words to the shallow depth of ``SHALLOW`` bytes, for all
    open groups at once, small groups by one plain sort; deep groups become blind
@@ -48,7 +49,7 @@ from tessera.llm.textcore import U64, Prefix, Texts, chunks, mix64
 
 SPAN, KMER, SHALLOW = 50, 24, 16
 #: Members up to which a group of the quicksort is sorted plainly.
-SMALL = 1 << 15
+SMALL = 1 << 17
 FILTER = 27
 #: Bytes of text for each bucket, and how many buckets there are at least.
 BUCKET, LEAST = 8 << 20, 6
@@ -135,7 +136,6 @@ def _shared_bits(bits: int):
 def _contexts(bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(shared.value, np.uint8)
-        reverse = np.arange(255, -1, -1, dtype=np.uint8)
         for batch in batches:
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             classes = batch.column("text_class").to_numpy(zero_copy_only=False)
@@ -150,16 +150,18 @@ def _contexts(bits: int, shared):
                 doc = docs[t.first + owner]
                 # of equal contexts only those of the smallest document travel; the rest is settled here
                 key = Prefix(t.data).hashes(first, last + SPAN)
-                second = Prefix(t.data, reverse).hashes(first, last + SPAN)
+                second = _sample(t.data, first, last + SPAN)
                 order = np.lexsort((doc, key))
                 start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
                 leader = np.empty(len(order), np.int64)
                 leader[order] = np.repeat(order[start], np.diff(np.append(start, len(order))))
                 text = t.data.tobytes()
-                ctx = []
-                for k, (i, j, lead) in enumerate(zip(first.tolist(), (last + SPAN).tolist(), leader.tolist(), strict=True)):
-                    one = text[i:j]
-                    ctx.append(None if doc[k] > doc[lead] and one == text[first[lead] : last[lead] + SPAN] else one)
+                begin, end = first.tolist(), (last + SPAN).tolist()
+                ctx = [text[i:j] for i, j in zip(begin, end, strict=True)]
+                later = np.flatnonzero(doc > doc[leader])
+                for k, lead in zip(later.tolist(), leader[later].tolist(), strict=True):
+                    if ctx[k] == text[begin[lead] : end[lead]]:
+                        ctx[k] = None
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((h >> U64(64 - bits)).astype(np.int32)),
@@ -177,6 +179,17 @@ def _contexts(bits: int, shared):
     return run
 
 
+def _sample(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number of each context made of its own bytes: eight at the start, in the middle and at the end."""
+    out = np.zeros(len(start), U64)
+    for k, at in enumerate((start, (start + end) // 2 - 4, end - 8)):
+        word = np.zeros(len(start), U64)
+        for i in range(8):
+            word |= data[at + i].astype(U64) << U64(8 * i)
+        out = mix64(out ^ word + U64(k))
+    return out
+
+
 CONTEXTS = "bucket int, doc_id long, text_class long, start long, windows int, key long, second long, context binary"
 
 
