@@ -159,37 +159,54 @@ def _kinds() -> np.ndarray:
     return _known_kinds[0]
 
 
-def _kind_of_bytes(data: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The kind of the character that each byte belongs to; ``head`` marks first bytes."""
-    at = np.flatnonzero(head)
-    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
-    first = padded[at]
-    tail = [padded[at + k] & 0x3F for k in (1, 2, 3)]
-    code = np.where(first < 0x80, first, (first & 0x1F) << 6 | tail[0])
-    code = np.where(first >= 0xE0, (first & 0x0F) << 12 | tail[0] << 6 | tail[1], code)
-    code = np.where(first >= 0xF0, (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], code)
-    kind = _kinds()[np.minimum(code, 0xFFFF)]
+#: Kind of each byte that is a character; others count as letters until their character is known.
+_ASCII_KIND = np.where(NON_ALNUM, 0, 1).astype(np.uint8)
+
+
+def _kind_of_bytes(data: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte belongs to; ``high`` are the places of bytes from 128 on."""
+    kind = _ASCII_KIND[data]
+    at = high[data[high] >= 0xC0]  # first bytes of the longer characters
+    first = data[at].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    tail = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    code = (first & 0x1F) << 6 | tail[0]
+    code = np.where(size == 3, (first & 0x0F) << 12 | tail[0] << 6 | tail[1], code)
+    code = np.where(size == 4, (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], code)
+    own = _kinds()[np.minimum(code, 0xFFFF)]
     # beyond the first plane: ideographs from 0x20000 on, pictures in 0x1Fxxx, else old scripts
     far = code > 0xFFFF
-    kind[far] = np.where(code[far] >= 0x20000, 2, np.where(code[far] >> 12 == 0x1F, 0, 1))
-    return np.repeat(kind, np.diff(np.append(at, len(data))))
+    own[far] = np.where(code[far] >= 0x20000, 2, np.where(code[far] >> 12 == 0x1F, 0, 1))
+    for k in range(4):
+        some = size > k
+        kind[at[some] + k] = own[some]
+    return kind
 
 
 def units(t: Texts) -> Words:
     """Runs of letters, digits and marks inside each text; in scripts without spaces every character is one."""
-    if not len(t.data) or not (t.data >= 128).any():
+    high = np.flatnonzero(t.data >= 128)
+    if not len(high):
         return words(t, NON_ALNUM)
-    head = (t.data & 0xC0) != 0x80
-    head[t.bounds[:-1][t.bounds[:-1] < len(t.data)]] = True
-    kind = _kind_of_bytes(t.data, head)
-    before = np.concatenate(([0], kind[:-1]))
-    opens = (kind > 0) & ((before == 0) | (head & ((kind == 2) | (before == 2))))
+    kind = _kind_of_bytes(t.data, high)
+    inside = kind > 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    alone = np.flatnonzero(kind == 2)
+    if len(alone):
+        head = alone[(t.data[alone] & 0xC0) != 0x80]
+        opens[head] = True
+        # what follows such a character begins anew
+        after = alone[(alone + 1 < len(kind))] + 1
+        after = after[((t.data[after] & 0xC0) != 0x80) & inside[after]]
+        opens[after] = True
     bounds = t.bounds[:-1][t.bounds[:-1] < len(t.data)]
-    opens[bounds] = kind[bounds] > 0
-    closes = np.append((kind[1:] == 0) | opens[1:], True) & (kind > 0)
+    opens[bounds] = inside[bounds]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | opens[1:]
     edge = t.bounds[1:-1]
     edge = edge[edge > 0] - 1
-    closes[edge] |= kind[edge] > 0
+    closes[edge] |= inside[edge]
     start = np.flatnonzero(opens)
     return Words(start, np.flatnonzero(closes) + 1, np.searchsorted(start, t.bounds))
 
