@@ -88,8 +88,10 @@ def article_sections(text: str) -> list[tuple[str, int, str, str, str | None]]:
         if element.tag != "article":
             if element.tag not in SECTIONS:
                 return
-            own = " ".join(x.strip() for x in [element.text or "", *[(c.text or "") + (c.tail or "") for c in element if c.tag not in SECTIONS]] if x.strip())
-            if own or element.tag not in COLLAPSED:
+            # an element that doesn't begin with text has none of its own; inline elements count with what follows them
+            inline = [(c.text or "") + (c.tail or "") for c in element if c.tag not in SECTIONS]
+            own = "".join([element.text, *inline]).rstrip("\n") if element.text else ""
+            if own.strip() or element.tag not in COLLAPSED:
                 out.append((doc, len(out), element.tag, path, own or None))
         seen: dict[str, int] = {}
         for child in element:
