@@ -315,3 +315,19 @@ def vocabulary(tokens: DataFrame, vectors: DataFrame, word: str = "text") -> Dat
     """(word, n, vector): the distinct words of a corpus in lower case, how often they stand in it, and their vectors if known."""
     words = tokens.groupBy(F.lower(word).alias("word")).agg(F.count("*").alias("n"))
     return words.join(vectors.select("word", "vector"), "word", "left")
+
+
+def coreference_targets(interactions: DataFrame) -> DataFrame:
+    """(e1, targets): the entities that a mention's ``CorefTarget`` links name, each once, in the order of the links."""
+    links = interactions.where("type = 'CorefTarget'").groupBy("e1", "e2").agg(F.min("place").alias("place"))
+    return links.groupBy("e1").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "e2"))), lambda x: x["e2"]).alias("targets"))
+
+
+def coreference_expanded(interactions: DataFrame) -> DataFrame:
+    """(e1, e2, type): interactions with each end that is a mention replaced by its targets, a row for each choice."""
+    targets = coreference_targets(interactions)
+    rows = interactions.where("type <> 'CorefTarget'").select("e1", "e2", "type")
+    for end in ("e1", "e2"):
+        own = targets.select(F.col("e1").alias(end), F.col("targets").alias("_t"))
+        rows = rows.join(own, end, "left").withColumn(end, F.explode(F.coalesce("_t", F.array(end)))).drop("_t")
+    return rows.select("e1", "e2", "type").distinct()

@@ -160,6 +160,29 @@ def edge_examples(entities: DataFrame, relations: DataFrame, directed: bool = Tr
     return pairs.join(gold, [*SENTENCE, "a", "b"], "left").withColumn("class", F.coalesce("class", F.lit("neg")))
 
 
+def kept_pairs(pairs: DataFrame, schema: DataFrame | None = None, directed: bool = True, without: Sequence[str] = (), positive_only: bool = False, no_self: bool = False) -> DataFrame:
+    """Candidate pairs that pass the named filters, with ``dropped_by`` null; the others with the first filter that drops them.
+
+    ``pairs`` has type_a, type_b, head_a, head_b and class; ``schema`` (type_a,
+    type_b) are the valid combinations, in both orders where undirected;
+    ``without`` are entity types that take no part.
+    """
+    rows, own = pairs.withColumn("_v", F.lit(True)), pairs.columns
+    if schema is not None:
+        valid = schema.select("type_a", "type_b")
+        if not directed:
+            valid = valid.unionByName(valid.select(F.col("type_b").alias("type_a"), F.col("type_a").alias("type_b")))
+        rows = pairs.join(valid.distinct().withColumn("_v", F.lit(True)), ["type_a", "type_b"], "left")
+    some = list(without) or [""]
+    tests = [
+        F.when(F.col("_v").isNull(), "schema"),
+        F.when(F.col("type_a").isin(some) | F.col("type_b").isin(some), "types"),
+        F.when(F.lit(positive_only) & (F.col("class") == "neg"), "positive"),
+        F.when(F.lit(no_self) & F.col("head_a").eqNullSafe(F.col("head_b")), "self"),
+    ]
+    return rows.select(*own, F.coalesce(*tests).alias("dropped_by"))
+
+
 def modifier_examples(events: DataFrame) -> DataFrame:
     """Events with ``class``: neg, negation, speculation, or both joined by ``---``."""
     kinds = F.filter(F.array(F.when(F.col("negation"), "negation"), F.when(F.col("speculation"), "speculation")), lambda x: x.isNotNull())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import alignment
-from tessera.operators import corpora, evaluation, graphs, paths, sets, structure, text
+from tessera.operators import corpora, evaluation, features, graphs, paths, sets, structure, text
 from tessera.plans.fragments import CAPS, PAIRS, TOK
 from tessera.plans.register import query, rounded
 
@@ -436,3 +436,18 @@ def sort_by_number(t):
     rows = sets.by_number(t("customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("id")), "id")
     first = rows.limit(rows.count()).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
     return first.withColumn("place", F.col("place").cast("long"))
+
+
+@query("select c_custkey, case when c_mktsegment = 'BUILDING' then 'schema' when c_nationkey = 3 then 'types' when c_custkey % 2 = 0 then 'positive' when c_custkey % 5 = 1 then 'self' end as dropped_by from customer")
+def example_kept_pairs(t):
+    c = t("customer").select("c_custkey", F.col("c_mktsegment").alias("type_a"), F.col("c_nationkey").cast("string").alias("type_b"), (F.col("c_custkey") % 5).alias("head_a"), F.lit(1).alias("head_b"), F.when(F.col("c_custkey") % 2 == 0, "neg").otherwise("pos").alias("class"))
+    schema = c.where("type_a <> 'BUILDING'").select("type_a", "type_b").distinct()
+    return features.kept_pairs(c, schema, without=["3"], positive_only=True, no_self=True).select("c_custkey", "dropped_by")
+
+
+@query("with t as (select n_nationkey as e1, n_nationkey + 100 as e2 from nation where n_nationkey < 5 union all select n_nationkey, n_nationkey + 200 from nation where n_nationkey < 5) select distinct coalesce(t.e2, o_custkey % 25) as e1, o_orderkey % 7 + 1000 as e2, o_orderstatus as type from orders left join t on t.e1 = o_custkey % 25")
+def corpus_coreference(t):
+    links = t("orders").select((F.col("o_custkey") % 25).cast("long").alias("e1"), (F.col("o_orderkey") % 7 + 1000).alias("e2"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("place"))
+    n = t("nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("e1"), F.explode(F.array(F.lit(100), F.lit(200))).alias("k"))
+    named = n.select("e1", (F.col("e1") + F.col("k")).cast("long").alias("e2"), F.lit("CorefTarget").alias("type"), F.col("k").cast("long").alias("place"))
+    return corpora.coreference_expanded(links.unionByName(named))

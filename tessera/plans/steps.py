@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import features, sets, tables, text
+from tessera.functions import alignment
+from tessera.operators import corpora, features, sets, structure, tables, text
+from tessera.sources import corpus, formats, parses
 
 Step = Callable[..., DataFrame]
 
@@ -24,10 +26,26 @@ STEPS: dict[str, Step] = {
     "SPLIT_MERGED": tables.split_merged,
     "MAKE_SETS": sets.split,
     "STRATIFY": sets.stratified,
+    "SELECT_PARSE": corpus.select_parse,
+    "REMOVE_ANALYSES": lambda df: df.withColumn("sentence", F.transform("sentence", lambda s: s.dropFields("analyses"))),
+    "REMOVE_HEADS": lambda df, column="head": corpora.without_attributes(df, column),
+    "REMOVE_DOCUMENT_TEXTS": lambda df: corpora.without_attributes(df, "text"),
+    "MERGE_SETS": lambda df, others: corpora.merged_sets({"": df, **others}),
+    "CATENATE": lambda df, others: corpora.catenated([df, *others]),
+    "IMPORT_PARSE": parses.imported,
+    "FIND_HEADS": alignment.heads,
+    "ANALYZE_STRUCTURE": sets.schema_ranges,
+    "VALIDATE": lambda df, **rules: structure.validate(df, **rules)[0],
+    "REMOVE_UNCONNECTED": corpora.unconnected_removed,
+    "EXPORT": parses.conll_lines,
+    "EXPORT_STFORMAT": formats.standoff_lines,
+    "EXPORT_JSON": formats.json_lines,
+    "DIVIDE_SETS": lambda df, path, **merged: (sets.divide(df, path, merged or None), df)[1],
+    "SAVE": lambda df, path, kind="parquet": (df.write.format(kind).mode("overwrite").save(path), df)[1],
 }
 
 #: Names that stand for several steps.
-ALIASES: dict[str, list[str]] = {"PREPROCESS": ["SPLIT_SENTENCES", "TOKENIZE"], "ENTITY_PAIRS": ["PREPROCESS", "FIND_NAMES", "MAKE_PAIRS"]}
+ALIASES: dict[str, list[str]] = {"CLEAR_PARSE": ["REMOVE_ANALYSES", "REMOVE_HEADS"], "PREPROCESS": ["SPLIT_SENTENCES", "TOKENIZE"], "ENTITY_PAIRS": ["PREPROCESS", "FIND_NAMES", "MAKE_PAIRS"]}
 
 
 def expanded(names: Sequence[str], start: str | None = None, stop: str | None = None, omit: Sequence[str] = ()) -> list[str]:

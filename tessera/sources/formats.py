@@ -206,6 +206,31 @@ def adjusted_predictions(spark: SparkSession, path: str, classes: list[str], boo
     return rows.withColumn("predicted", best_class("scores", classes[0], boost, threshold))
 
 
+# The columns of a result line.
+RESULT = r"^\s*([A-Za-z0-9_()=\[\]-]+)\s+(\d+)\s*\(\s*(\d+)\)\s+(\d+)\s*\(\s*(\d+)\)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s*$"
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(submission, set, category, gold, matched, answer, recall, precision, fscore) of the result tables in experiment logs.
+
+    A log is named ``log.txt`` and lies in its submission's folder; lines after one
+    that names a set belong to that set, until the next. Logs are read whole.
+    """
+    logs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "log.txt").text(path, wholetext=True)
+    logs = logs.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/log\.txt$", 1).alias("submission"), F.explode(F.split("value", r"(?=(?:devel|test) set)")).alias("part"))
+    logs = logs.select("submission", F.regexp_extract("part", r"^(devel|test) set", 1).alias("set"), F.explode(F.split("part", "\n")).alias("line"))
+    p = lambda i, kind: F.regexp_extract("line", RESULT, i).cast(kind)
+    names = [("gold", 2, "int"), ("matched", 3, "int"), ("answer", 4, "int"), ("recall", 6, "double"), ("precision", 7, "double"), ("fscore", 8, "double")]
+    return logs.where((F.col("set") != "") & F.col("line").rlike(RESULT)).select("submission", "set", p(1, "string").alias("category"), *[p(i, k).alias(n) for n, i, k in names])
+
+
+def combined_results(results: DataFrame, category: str = "ALL-TOTAL") -> DataFrame:
+    """(submission, precision:devel, ...): one row a submission with the figures of a category in each set."""
+    rows = results.where(F.col("category") == category).groupBy("submission").pivot("set", ["devel", "test"])
+    out = rows.agg(*[F.first(c).alias(c) for c in ("precision", "recall", "fscore")])
+    return out.select("submission", *[F.col(f"{s}_{c}").alias(f"{c}:{s}") for s in ("devel", "test") for c in ("precision", "recall", "fscore")])
+
+
 def load(spark: SparkSession, path: str, kind: str | None = None, **options):
     """One entry for all readers, by the name of the format, or by the path's ending where none is given."""
     from tessera.sources import archives, corpus, parses

@@ -302,3 +302,24 @@ def test_windows_on_a_stream(spark, tmp_path):
     whole = sorted(r.n for r in windows.sessions(df, "ts", "10 minutes", ["k"], {"n": F.count("*")}).collect())
     # the last session is still open behind the watermark
     assert whole == [1, 2, 3] and closed == [2, 3]
+
+
+def test_results_of_logs(spark, tmp_path):
+    line = " ==[ALL-TOTAL]==   10 (   5)   8 (   5)    50.00    62.50    55.56"
+    for name in ("m1", "m2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "log.txt").write_text(f"start\ndevel set results\n{line}\ntest set results\n{line.replace('55.56', '44.00')}\n")
+    rows = formats.read_results(spark, str(tmp_path))
+    assert rows.count() == 4 and {r.category for r in rows.collect()} == {"==[ALL-TOTAL]=="}
+    out = formats.combined_results(rows, "==[ALL-TOTAL]==").orderBy("submission").collect()
+    assert [(r.submission, r["fscore:devel"], r["fscore:test"]) for r in out] == [("m1", 55.56, 44.0), ("m2", 55.56, 44.0)]
+
+
+def test_chains_of_steps_on_elements(spark, tmp_path):
+    from tessera.plans import steps
+
+    (tmp_path / "c.xml").write_text(XML)
+    elements = corpus.read_elements(spark, str(tmp_path / "c.xml"))
+    bare = steps.run(elements, ["CLEAR_PARSE"], omit=["REMOVE_HEADS"])
+    assert "analyses" not in bare.schema["sentence"].dataType.elementType.names
+    assert steps.expanded(["CLEAR_PARSE"]) == ["REMOVE_ANALYSES", "REMOVE_HEADS"]
