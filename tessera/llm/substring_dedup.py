@@ -322,52 +322,70 @@ CUTS = "doc_id long, text_class long, begin long, end long"
 def _resolve(table: pa.Table) -> pa.Table:
     """Removed runs of the contexts of a bucket."""
     table = table.combine_chunks()
-    doc, kind, start = (table[c].to_numpy() for c in ("doc_id", "text_class", "start"))
+    doc, kind, start, key, second = (table[c].to_numpy() for c in ("doc_id", "text_class", "start", "key", "second"))
     size = table["windows"].to_numpy().astype(np.int64)
-    data = np.frombuffer(b"".join(table["context"].to_pylist()) + bytes(16), np.uint8)
+    context = table["context"].to_pylist()
+    # of contexts that come from several chunks only those of the smallest document are sorted
+    order = np.lexsort((doc, size, second, key))
+    same = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1]) & (size[order][1:] == size[order][:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    leader = np.empty(len(order), np.int64)
+    leader[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    later = np.flatnonzero(doc > doc[leader])
+    equal = np.fromiter((context[i] == context[j] for i, j in zip(later.tolist(), leader[later].tolist(), strict=True)), bool, len(later))
+    gone = np.zeros(len(doc), bool)
+    gone[later[equal]] = True
+    out = [(doc[gone], kind[gone], start[gone], start[gone] + size[gone] + SPAN - 1)]
+    rest = np.flatnonzero(~gone)
+    doc, kind, start, size = doc[rest], kind[rest], start[rest], size[rest]
+
+    data = np.frombuffer(b"".join([context[i] for i in rest.tolist()]) + bytes(16), np.uint8)
     shift = np.concatenate(([0], np.cumsum(size + SPAN - 1)[:-1]))
     owner = np.repeat(np.arange(len(doc)), size)
     place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     of = suffix_classes(data, shift[owner] + place)
     least = np.full(of.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, of, doc[owner])
-    out = np.flatnonzero(doc[owner] > least[of])
-    o, p = owner[out], place[out]
-    new = np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] - p[:-1] > SPAN))) if len(out) else np.zeros(0, bool)
+    hit = np.flatnonzero(doc[owner] > least[of])
+    o, p = owner[hit], place[hit]
+    new = np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] - p[:-1] > SPAN))) if len(hit) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(out))[: len(first)] - 1
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
     row = o[first]
-    return pa.table({"doc_id": doc[row], "text_class": kind[row], "begin": start[row] + p[first], "end": start[row] + p[last] + SPAN})
+    out.append((doc[row], kind[row], start[row] + p[first], start[row] + p[last] + SPAN))
+    return pa.table({n: np.concatenate(c) for n, c in zip(("doc_id", "text_class", "begin", "end"), zip(*out, strict=True), strict=True)})
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of some intervals."""
-    runs: list[list[int]] = []
-    for b, e in sorted(cuts):
-        if runs and b <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], e)
-        else:
-            runs.append([b, e])
-    return [tuple(r) for r in runs]
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of some intervals; those that touch are one."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate(([True], begin[1:] > reach[:-1])) if len(begin) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return begin[first], reach[np.append(first[1:], len(begin))[: len(first)] - 1] if len(first) else reach[:0]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, text, cuts in zip(batch.column("doc_id"), batch.column("text"), batch.column("cuts"), strict=True):
-            raw = (text.as_py() or "").encode()
-            runs = merged([(min(c["begin"], len(raw)), min(c["end"], len(raw))) for c in cuts.as_py() or ()])
-            runs = [r for r in runs if r[0] < r[1]]
-            kept = b"".join(raw[b:e] for b, e in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)], strict=True))
-            rows.append((doc.as_py(), len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds],
-            names=[x.split()[0] for x in DIGEST.split(", ")],
-        )
+        cuts = batch.column("cuts")
+        spans = cuts.values
+        begin, end = (spans.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        offsets, some = cuts.offsets.to_numpy(), np.asarray(cuts.is_valid())
+        out: list[list] = [[], [], [], []]
+        for t in chunks(batch.column("text"), 1 << 24):
+            for i in range(len(t)):
+                raw, row = t.raw(i), t.first + i
+                lo, hi = (offsets[row], offsets[row + 1]) if some[row] else (0, 0)
+                b, e = merged(np.minimum(begin[lo:hi], len(raw)), np.minimum(end[lo:hi], len(raw)))
+                b, e = b[b < e].tolist(), e[b < e].tolist()
+                kept = b"".join([raw[x:y] for x, y in zip([0, *e], [*b, len(raw)], strict=True)]) if b else raw
+                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(b), hashlib.sha256(kept).hexdigest()), strict=True):
+                    column.append(value)
+        kinds = [pa.int64()] * 3 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
@@ -405,7 +423,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     many = F.broadcast(many.where(F.col("members") >= max(HOT_ROWS, live.count() // HOT_KEYS)).select(*key, "least"))
     marked = live.join(many, key, "left")
     late = marked.where("doc_id > least").select("doc_id", "text_class", *whole_run)
-    rest = marked.where("least is null or doc_id <= least").select("bucket", "doc_id", "text_class", "start", "windows", "context")
+    rest = marked.where("least is null or doc_id <= least").select(*contexts.columns)
     return rest.groupBy("bucket").applyInArrow(_resolve, CUTS).unionByName(settled).unionByName(late).unionByName(copies)
 
 
