@@ -6,7 +6,7 @@ columns that tell a sentence, so that the derived corpora work as well.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -234,25 +234,29 @@ def sites_of(arguments: DataFrame, parents: DataFrame, core: Sequence[str] = ("T
     ``arguments`` has (event, place, type, target), ``parents`` (target, parent),
     what the sites lie in. The only core argument needs no parent; of several, the
     first is taken whose target is a parent of the site. A core argument has one
-    site at most. Arguments of one event, a few rows, are one group.
+    site at most. Arguments of one event, a few, are one row.
     """
     lies_in = parents.groupBy("target").agg(F.collect_set("parent").alias("parents"))
-    rows = arguments.join(lies_in, "target", "left")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        mains = frame[frame["type"].isin(core)]
-        taken, out = set(), []
-        for site in frame[frame["type"] == "Site"].itertuples():
-            inside = set() if site.parents is None else set(site.parents)
-            fits = [m.place for m in mains.itertuples() if m.place not in taken and (len(mains) == 1 or m.target in inside)]
-            if fits:
-                taken.add(fits[0])
-                out.append((site.event, site.place, fits[0]))
-        return pd.DataFrame(out, columns=["event", "site", "site_of"])
+    part = F.struct("place", "type", "target", "parents")
+    rows = arguments.join(lies_in, "target", "left").where(F.col("type").isin("Site", *core)).groupBy("event").agg(F.sort_array(F.collect_list(part)).alias("a"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for event, found in zip(frame["event"], frame["a"], strict=True):
+                mains = [x for x in found if x["type"] != "Site"]
+                taken: set = set()
+                for site in (x for x in found if x["type"] == "Site"):
+                    inside = () if site["parents"] is None else set(site["parents"])
+                    fits = [m["place"] for m in mains if m["place"] not in taken and (len(mains) == 1 or m["target"] in inside)]
+                    if fits:
+                        taken.add(fits[0])
+                        out.append((event, site["place"], fits[0]))
+            yield pd.DataFrame(out, columns=["event", "site", "site_of"])
 
     kinds = dict(arguments.dtypes)
-    return rows.groupBy("event").applyInPandas(run, f"event {kinds['event']}, site {kinds['place']}, site_of {kinds['place']}")
+    some = rows.where(F.exists("a", lambda x: x["type"] == "Site") & F.exists("a", lambda x: x["type"] != "Site"))
+    return some.mapInPandas(run, f"event {kinds['event']}, site {kinds['place']}, site_of {kinds['place']}")
 
 
 def trigger_events(triggers: DataFrame, events: DataFrame) -> DataFrame:
@@ -331,3 +335,10 @@ def coreference_expanded(interactions: DataFrame) -> DataFrame:
         own = targets.select(F.col("e1").alias(end), F.col("targets").alias("_t"))
         rows = rows.join(own, end, "left").withColumn(end, F.explode(F.coalesce("_t", F.array(end)))).drop("_t")
     return rows.select("e1", "e2", "type").distinct()
+
+
+def event_signatures(events: DataFrame, arguments: DataFrame) -> DataFrame:
+    """(type, signature, n): events by type and by the sorted roles of their arguments; events without any have an empty one."""
+    roles = arguments.groupBy("doc_id", "id").agg(F.array_join(F.array_sort(F.collect_list("role")), ",").alias("signature"))
+    rows = events.select("doc_id", "id", "type").join(roles, ["doc_id", "id"], "left")
+    return rows.groupBy("type", F.coalesce("signature", F.lit("")).alias("signature")).agg(F.count("*").alias("n"))

@@ -77,12 +77,13 @@ def grown_events(events: DataFrame, given: DataFrame, rounds: int = 1000) -> Dat
     ``events`` has (doc_id, id, arguments array); an event in a cycle, or with an
     unknown argument, never grows. There are as many rounds as events nest.
     """
-    parts = events.select("doc_id", "id", F.explode_outer("arguments").alias("arg"))
+    parts = settled(events.select("doc_id", "id", F.explode_outer("arguments").alias("arg")))
+    events = parts.select("doc_id", "id").distinct()
     known = given.select("doc_id", F.col("id").alias("arg"))
     grown, before = None, 0
     for level in range(rounds):
         missing = parts.where("arg is not null").join(known, ["doc_id", "arg"], "left_anti").select("doc_id", "id").distinct()
-        ready = events.select("doc_id", "id").join(missing, ["doc_id", "id"], "left_anti").withColumn("level", F.lit(level))
+        ready = events.join(missing, ["doc_id", "id"], "left_anti").withColumn("level", F.lit(level))
         grown = settled(ready if grown is None else grown.unionByName(ready.join(grown, ["doc_id", "id"], "left_anti")))
         now = grown.count()
         if now == before:
@@ -140,8 +141,9 @@ def nesting(events: DataFrame, rounds: int = 1000) -> DataFrame:
     cycles, are in no chain; an outermost event that leads into a cycle has no
     end, so that is an error after ``rounds`` steps.
     """
+    events = settled(events)
     ids = events.select("doc_id", F.col("id").alias("arg"), F.col("type").alias("_type"))
-    parts = events.select("doc_id", "id", F.explode("arguments").alias("arg")).join(ids, ["doc_id", "arg"])
+    parts = settled(events.select("doc_id", "id", F.explode("arguments").alias("arg")).join(ids, ["doc_id", "arg"]))
     inner = parts.select("doc_id", F.col("arg").alias("id")).distinct()
     walk = events.join(inner, ["doc_id", "id"], "left_anti").select("doc_id", "id", F.col("type").alias("chain"))
     # chains that have come to one event by the same types go on together, with their number
@@ -149,7 +151,7 @@ def nesting(events: DataFrame, rounds: int = 1000) -> DataFrame:
     found = None
     for _ in range(rounds):
         step = walk.join(parts, ["doc_id", "id"], "left")
-        ended = settled(step.where("arg is null").groupBy("chain").agg(F.sum("n").alias("n")))
+        ended = step.where("arg is null").groupBy("chain").agg(F.sum("n").alias("n"))
         found = ended if found is None else found.unionByName(ended)
         longer = step.where("arg is not null").groupBy("doc_id", F.col("arg").alias("id"), F.concat_ws(">", "chain", "_type").alias("chain"))
         walk = settled(longer.agg(F.sum("n").alias("n")))
@@ -188,3 +190,18 @@ def unmerging_examples(arguments: DataFrame, gold: DataFrame, limits: Callable[[
     true = gold.select("doc_id", "trigger", F.array_sort("arguments").alias("arguments")).distinct().withColumn("_g", F.lit(True))
     rows = made.join(true, ["doc_id", "trigger", "arguments"], "left")
     return rows.select("doc_id", "trigger", "type", "arguments", F.when(F.col("_g"), F.col("type")).otherwise("neg").alias("class"))
+
+
+def nested_scores(scored: DataFrame, nested: DataFrame) -> DataFrame:
+    """(id, score): the least standardised score of an event and of all events inside it.
+
+    ``scored`` has (id, kind, score), several scores an event; each kind is brought
+    to mean 0 and standard deviation 1. ``nested`` has (id, inner).
+    """
+    from tessera.operators.graphs import ancestors
+
+    stats = scored.groupBy("kind").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    own = scored.join(F.broadcast(stats), "kind").groupBy("id").agg(F.min((F.col("score") - F.col("_m")) / F.col("_s")).alias("score"))
+    inside = ancestors(nested.select(F.col("id").alias("child"), F.col("inner").alias("parent")))
+    deeper = inside.join(own.select(F.col("id").alias("ancestor"), "score"), "ancestor").select(F.col("child").alias("id"), "score")
+    return own.unionByName(deeper).groupBy("id").agg(F.min("score").alias("score"))

@@ -40,6 +40,30 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.where("text <> ''")
 
 
+# Abbreviations whose full stop doesn't end a sentence.
+ABBREVIATIONS = ["e.g", "i.e", "i.v", "vs", "cf", "Dr", "Mr", "Ms", "Mrs"]
+
+
+def with_breaks(text: Column) -> Column:
+    """The text with a line break in place of the last space between sentences, so that its length and all offsets stay.
+
+    A sentence ends with a full stop, question or exclamation mark before spaces
+    and a capital letter or a digit, but not after a listed abbreviation.
+    """
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    held = F.regexp_replace(text, rf"\b({names})\. ", "$1\u0001 ")
+    broken = F.regexp_replace(held, r"([.?!] *) ([A-Z0-9])", "$1\n$2")
+    return F.replace(broken, F.lit("\u0001"), F.lit("."))
+
+
+def split_sentences(docs: DataFrame) -> DataFrame:
+    """``sentences`` of the text cut by rule: (doc_id, sent, begin, end, text, tail), the text without spaces at its end, which are its tail."""
+    rows = sentences(docs.withColumn("text", with_breaks(F.col("text"))))
+    bare = F.rtrim("text")
+    rows = rows.withColumns({"tail": F.substr("text", F.length(bare) + 1), "text": bare}).where("text <> ''")
+    return rows.select("doc_id", "sent", "begin", (F.col("begin") + F.length("text")).alias("end"), "text", "tail")
+
+
 def token_arrays(sents: DataFrame) -> DataFrame:
     """(doc_id, sent, tokens): the tokens of each sentence in one row; no shuffle."""
     return sents.select("doc_id", "sent", F.regexp_extract_all("text", F.lit(f"({TOKEN})")).alias("tokens"))

@@ -451,3 +451,24 @@ def corpus_coreference(t):
     n = t("nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("e1"), F.explode(F.array(F.lit(100), F.lit(200))).alias("k"))
     named = n.select("e1", (F.col("e1") + F.col("k")).cast("long").alias("e2"), F.lit("CorefTarget").alias("type"), F.col("k").cast("long").alias("place"))
     return corpora.coreference_expanded(links.unionByName(named))
+
+
+@query("with h as (select doc_id, replace(regexp_replace(regexp_replace(text, '\\b(e\\.g|i\\.e|i\\.v|vs|cf|Dr|Mr|Ms|Mrs)\\. ', '\\1' || chr(1) || ' ', 'g'), '([.?!] *) ([A-Z0-9])', '\\1' || chr(10) || '\\2', 'g'), chr(1), '.') as text from documents), l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as sent, unnest(string_split(text, chr(10))) as s from h), b as (select *, coalesce(sum(length(s) + 1) over (partition by doc_id order by sent rows between unbounded preceding and 1 preceding), 0) as begin from l) select doc_id, sent, cast(begin as int) as begin, cast(begin + length(rtrim(s)) as int) as \"end\", md5(rtrim(s)) as digest, length(s) - length(rtrim(s)) as tail from b where rtrim(s) <> ''")
+def text_split_sentences(t):
+    rows = text.split_sentences(t("documents"))
+    return rows.select("doc_id", "sent", "begin", "end", F.md5("text").alias("digest"), F.length("tail").alias("tail"))
+
+
+@query("with a as (select l_orderkey as id, string_agg(l_returnflag, ',' order by l_returnflag) as s from lineitem group by 1) select o_orderstatus as type, coalesce(s, '') as signature, count(*) as n from orders left join a on id = o_orderkey group by 1, 2")
+def corpus_event_signatures(t):
+    events = t("orders").select(F.lit(0).alias("doc_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("type"))
+    args = t("lineitem").select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("role"))
+    return corpora.event_signatures(events, args)
+
+
+@query("with z as (select c_custkey as id, (c_acctbal - avg(c_acctbal) over (partition by c_mktsegment)) / stddev_pop(c_acctbal) over (partition by c_mktsegment) as z from customer) select id, round(case id % 3 when 1 then least(z, coalesce(n, z), coalesce(m, z)) when 2 then least(z, coalesce(n, z)) else z end, 5) as score from (select *, lead(z) over (order by id) as n, lead(z, 2) over (order by id) as m from z)")
+def structure_nested_scores(t):
+    c = t("customer")
+    scored = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("score"))
+    nested = scored.where("id % 3 <> 0").select("id", (F.col("id") + 1).alias("inner"))
+    return rounded(structure.nested_scores(scored, nested), 5)
