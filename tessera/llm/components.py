@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, forget
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges with every node hung on the smallest one it reaches by them: the same components from far shorter chains."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := above.get(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in above if (r := root(x)) != x]
+    for k in range(0, len(rows), 100_000):
+        u, v = zip(*rows[k : k + 100_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,16 +59,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
-    Every round is written to the shared folder; only a count and a checksum
+    Each task first contracts the edges it has. Every round of stars is written to the shared folder; only a count and a checksum
     reach the driver. A hub of many edges is pre-aggregated to its minimum and
     joined by a join whose skewed partitions Spark splits.
     """
-    rows = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    rows = durable(rows, "edges")
+    rows = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
+    rows = durable(rows.mapInArrow(_contracted, "u long, v long"), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(rows)
     while seen[0]:
-        rows = durable(_star(_star(rows, True), False), "edges")
+        before, rows = rows, durable(_star(_star(rows, True), False), "edges")
+        forget(before)
         now = mark(rows)
         if now == seen:
             break

@@ -322,19 +322,16 @@ CUTS = "doc_id long, text_class long, begin long, end long"
 def _resolve(table: pa.Table) -> pa.Table:
     """Removed runs of the contexts of a bucket."""
     table = table.combine_chunks()
-    doc, kind, start, key, second = (table[c].to_numpy() for c in ("doc_id", "text_class", "start", "key", "second"))
+    doc, kind, start = (table[c].to_numpy() for c in ("doc_id", "text_class", "start"))
     size = table["windows"].to_numpy().astype(np.int64)
     context = table["context"].to_pylist()
     # of contexts that come from several chunks only those of the smallest document are sorted
-    order = np.lexsort((doc, size, second, key))
-    same = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1]) & (size[order][1:] == size[order][:-1])
-    first = np.flatnonzero(np.concatenate(([True], ~same)))
-    leader = np.empty(len(order), np.int64)
-    leader[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
-    later = np.flatnonzero(doc > doc[leader])
-    equal = np.fromiter((context[i] == context[j] for i, j in zip(later.tolist(), leader[later].tolist(), strict=True)), bool, len(later))
+    leader: dict[bytes, int] = {}
+    owners = doc.tolist()
     gone = np.zeros(len(doc), bool)
-    gone[later[equal]] = True
+    for i in np.argsort(doc, kind="stable").tolist():
+        gone[i] = owners[leader.setdefault(context[i], i)] < owners[i]
+    del leader
     out = [(doc[gone], kind[gone], start[gone], start[gone] + size[gone] + SPAN - 1)]
     rest = np.flatnonzero(~gone)
     doc, kind, start, size = doc[rest], kind[rest], start[rest], size[rest]
@@ -423,7 +420,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     many = F.broadcast(many.where(F.col("members") >= max(HOT_ROWS, live.count() // HOT_KEYS)).select(*key, "least"))
     marked = live.join(many, key, "left")
     late = marked.where("doc_id > least").select("doc_id", "text_class", *whole_run)
-    rest = marked.where("least is null or doc_id <= least").select(*contexts.columns)
+    rest = marked.where("least is null or doc_id <= least").select("bucket", "doc_id", "text_class", "start", "windows", "context")
     return rest.groupBy("bucket").applyInArrow(_resolve, CUTS).unionByName(settled).unionByName(late).unionByName(copies)
 
 
