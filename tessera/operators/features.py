@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.text import held
+
 SENTENCE = ["doc_id", "sent"]
 
 # Names of token features.
@@ -224,7 +226,7 @@ def region_counts(sents: DataFrame) -> DataFrame:
     """
     inside = lambda i: F.exists("names", lambda n: (n["first"] <= i) & (i <= n["last"]))
     kept = F.filter(F.transform("tokens", lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))), lambda w: ~inside(w["i"]))
-    rows = sents.where("size(names) > 1").select("names", kept.alias("w"))
+    rows = held(held(sents.select("tokens", "names")).where("size(names) > 1").select("names", kept.alias("w")))
     w = F.col("w")
 
     def grams(n: int) -> Column:

@@ -7,7 +7,7 @@ number of rounds: no result is cut short. Each round's table is checkpointed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -176,17 +176,22 @@ def unmerging_examples(arguments: DataFrame, gold: DataFrame, limits: Callable[[
 
     ``arguments`` has (doc_id, trigger, type, role, arg) and ``gold`` (doc_id,
     trigger, arguments array of ``role:arg``). A trigger's arguments, of one
-    sentence, are one group.
+    sentence, are one row.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, trigger, kind = frame[["doc_id", "trigger", "type"]].iloc[0]
-        roles = frame.groupby("role")["arg"].apply(lambda s: sorted(set(s))).to_dict()
-        rows = [(doc, trigger, kind, sorted(f"{r}:{a}" for r, a in c)) for c in argument_choices(roles, limits(kind))]
-        return pd.DataFrame(rows, columns=["doc_id", "trigger", "type", "arguments"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                roles: dict[str, list[str]] = {}
+                for x in r.parts:
+                    roles.setdefault(x["role"], []).append(x["arg"])
+                rows += [(r.doc_id, r.trigger, r.type, sorted(f"{k}:{a}" for k, a in c)) for c in argument_choices(roles, limits(r.type))]
+            yield pd.DataFrame(rows, columns=["doc_id", "trigger", "type", "arguments"])
 
     kinds = dict(arguments.dtypes)
-    made = arguments.groupBy("doc_id", "trigger").applyInPandas(run, f"doc_id {kinds['doc_id']}, trigger {kinds['trigger']}, type string, arguments array<string>")
+    gathered = arguments.groupBy("doc_id", "trigger").agg(F.min("type").alias("type"), F.collect_set(F.struct("role", "arg")).alias("parts"))
+    made = gathered.mapInPandas(run, f"doc_id {kinds['doc_id']}, trigger {kinds['trigger']}, type string, arguments array<string>")
     true = gold.select("doc_id", "trigger", F.array_sort("arguments").alias("arguments")).distinct().withColumn("_g", F.lit(True))
     rows = made.join(true, ["doc_id", "trigger", "arguments"], "left")
     return rows.select("doc_id", "trigger", "type", "arguments", F.when(F.col("_g"), F.col("type")).otherwise("neg").alias("class"))

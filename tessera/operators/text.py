@@ -119,6 +119,11 @@ def capitalised(toks: DataFrame) -> DataFrame:
     return caps.withColumn("run", run).groupBy("doc_id", "sent", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("run")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed once: the optimiser doesn't copy an expression into the lambdas that read it."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def capitalised_in_row(tokens: str) -> Column:
     """``capitalised`` as an array of (first, last) of an array of tokens."""
     arr = F.col(tokens)

@@ -68,9 +68,9 @@ def text_predicates(t):
 
 @query(f"with t as ({TOK}), n as (select doc_id, sent, unnest(range(first, last + 1)) as idx from ({CAPS})), w as (select t.doc_id, t.sent, t.idx, t.token, n.idx is not null as given from t left join n on t.doc_id = n.doc_id and t.sent = n.sent and t.idx = n.idx), b as (select x.k, y.given, case when y.given then 'NAMED_ENT' else y.token end as token from w a join (select unnest([-2, -1, 1, 2]) as k) x on true join w y on a.doc_id = y.doc_id and a.sent = y.sent and y.idx = a.idx + x.k) select case when k > 0 then 'linear_+' else 'linear_' end || k || '_txt_' || token as feature, count(*) as n from b group by 1 union all select case when k > 0 then 'linear_+' else 'linear_' end || k || '_given', count(*) from b where given group by 1")
 def feature_order(t):
-    rows = text.token_arrays(text.sentences(t("documents"))).withColumn("names", text.capitalised_in_row("tokens"))
-    inside = F.transform("tokens", lambda _, i: F.exists("names", lambda n: (n["first"] <= i) & (i <= n["last"])))
-    rows = rows.withColumns({"tags": F.transform("tokens", lambda _: F.lit("X")), "given": inside})
+    rows = text.token_arrays(text.sentences(t("documents")))
+    caps = F.transform("tokens", lambda x, i: (i > 0) & x.rlike("^[A-Z]"))  # names are the runs of these
+    rows = text.held(rows.withColumns({"tags": F.transform("tokens", lambda _: F.lit("X")), "given": caps}))
     found = rows.select(F.explode(F.flatten(features.order_features("tokens", "tags", "given", 2))).alias("feature"))
     return found.where("feature not like '%!_POS!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
 
