@@ -103,6 +103,61 @@ from base left join lost using (doc_id)
 """
 
 
+OP11 = """
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, min(turn) over (partition by conv_id) as first,
+         cast('0x' || substr(sha256(coalesce(cast(conv_id as varchar), '') || ':' || turn), 1, 8) as bigint) as h
+  from conversations where turn is not null
+), sent as (
+  select conv_id, turn, first, h % 12 as batch, role, role || '|' || text as payload from turns
+  union all select conv_id, turn, first, (h + 3) % 12, 'user', 'user|' || text from turns where h % 7 < 2
+), arrived as (
+  select * from sent qualify row_number() over (partition by conv_id, turn, batch order by payload, role) = 1
+), heard as (
+  select conv_id, batch, lead(batch) over (partition by conv_id order by batch) as next from (select distinct conv_id, batch from arrived)
+), closed as (
+  select conv_id, coalesce(min(batch + 3) filter (where coalesce(next, 12) - batch > 3), 12) as closing from heard group by conv_id
+), kept as (
+  select a.*, closing, a.batch <= closing as live from arrived a join closed c on a.conv_id is not distinct from c.conv_id
+), first_kept as (
+  select *, turn - row_number() over w + 1 as start, max(batch) over w as released,
+         coalesce(lag(turn) over w = turn - 1 and lag(role) over w = role, false) as breaks
+  from (select * from kept where live qualify row_number() over (partition by conv_id, turn order by batch) = 1)
+  window w as (partition by conv_id order by turn)
+)
+select 'release' as event, sha256(payload) as sha256, conv_id, turn, released as batch, cast(null as bigint) as n_missing, cast(null as bigint) as n_breaks
+from first_kept where start = first
+union all
+select 'reject', sha256(payload), conv_id, turn, batch, null, null from kept where not live
+union all
+select 'close', sha256(coalesce(string_agg(cast(turn as varchar), ',' order by turn) filter (where start <> first), '')), conv_id, -1, closing,
+       max(turn) - first + 1 - count(*), count(*) filter (where breaks)
+from first_kept group by conv_id, first, closing
+"""
+
+OP12 = """
+with cut as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d
+  from documents
+), drawn as (
+  select *, cast(len(tokens) as bigint) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+         cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4
+  from cut
+), parts as (
+  select doc_id, text, n, array_to_string(tokens[1:a], '') as prefix, array_to_string(tokens[a + 1:b], '') as middle, array_to_string(tokens[b + 1:], '') as suffix,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from drawn)
+)
+select doc_id, n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
+
+
 def op1() -> str:
     from tessera.llm.hilbert_shards import curve_table
 
@@ -144,4 +199,4 @@ from ranked
 
 
 def sql() -> dict[str, str]:
-    return {"op1_hilbert_shards": op1(), "op2_line_spread": OP2, "op7_source_mix": OP7, "op8_line_quality": OP8}
+    return {"op1_hilbert_shards": op1(), "op2_line_spread": OP2, "op7_source_mix": OP7, "op8_line_quality": OP8, "op11_turn_reassembly": OP11, "op12_fill_middle": OP12}

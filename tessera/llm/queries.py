@@ -82,6 +82,23 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 batches, closed after 3 silent ones."""
+    from tessera.llm.turn_reassembly import arrivals, digests, reassemble
+
+    return digests(reassemble(arrivals(table(spark, sf_dir, "conversations"))))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm.fill_middle import fill_in_middle, restored
+
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -94,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_quality": op8_line_quality,
         "op9_latent_decontamination": op9_latent_decontamination,
         "op10_weak_quality": op10_weak_quality,
+        "op11_turn_reassembly": op11_turn_reassembly,
+        "op12_fill_middle": op12_fill_middle,
     }
 
 
