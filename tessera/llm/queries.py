@@ -99,6 +99,12 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.contextual_pii import digests, identifiers
+
+    return digests(*identifiers(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_weak_quality": op10_weak_quality,
         "op11_turn_reassembly": op11_turn_reassembly,
         "op12_fill_middle": op12_fill_middle,
+        "op13_contextual_pii": op13_contextual_pii,
     }
 
 
