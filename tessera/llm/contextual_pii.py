@@ -9,8 +9,9 @@ method, bootstrapped contextual extraction, adds spans to these:
 3. Patterns and values make a graph. A pattern's confidence is the sum of the
    reliabilities of the values in its slot, over all places of those words in
    the corpus, whatever follows them; it also needs ``seeds`` distinct reliable
-   values. A value's reliability is the mean, over all its places, of the best
-   confidence among that place's patterns; that of a seed is 1.
+   values. A value's reliability is the chance that one of its contexts is right:
+   1 less the product of 1 less the better confidence of each distinct context;
+   that of a seed is 1.
 4. Each round rates the patterns anew; values of ``accept`` or more count in the
    next. Rounds end when no value is new, or after ``rounds``. Candidates of
    reliable values are spans, at all their places.
@@ -156,7 +157,6 @@ def reliable_values(rows: DataFrame, found: DataFrame, rounds: int = 3, seeds: i
     """(kind, value, score) of the candidates' values that patterns find; ``found`` are the places (kind, value, base, prev, last, glued)."""
     graph = found.groupBy("kind", "value", "base", "prev", "last", "glued").agg(F.count("*").alias("n"))
     graph = durable(graph.withColumn("at", F.xxhash64("prev", "last")), "places")
-    totals = graph.where("not base").groupBy("kind", "value").agg(F.sum("n").alias("total"))
     edges = _both(graph.where("last is not null"))
     # patterns that could find something: enough distinct values, a candidate among them
     open_ = edges.groupBy("kind", "prev", "last").agg(F.count_distinct("value").alias("values"), F.max(~F.col("base")).alias("any_new"))
@@ -183,10 +183,10 @@ def reliable_values(rows: DataFrame, found: DataFrame, rounds: int = 3, seeds: i
         )
         new = linked.where("not base")
         new = new.join(good, (new["kind"] == good["_kind"]) & (new["last"] == good["_last"]) & new["prev"].eqNullSafe(good["_prev"]))
-        # a place counts once, with its better pattern
-        new = new.groupBy("kind", "value", "at").agg(F.max("confidence").alias("best"), F.max("n").alias("n"))
-        new = new.groupBy("kind", "value").agg(F.sum(F.col("best") * F.col("n")).alias("sum")).join(totals, ["kind", "value"])
-        new = durable(new.select("kind", "value", (F.col("sum") / F.col("total")).alias("score")).where(F.col("score") >= accept), "reliable")
+        # a context counts once, with its better pattern
+        new = new.groupBy("kind", "value", "at").agg(F.max("confidence").alias("best"))
+        wrong = F.exp(F.sum(F.log1p(-F.least("best", F.lit(1 - 1e-6)))))
+        new = durable(new.groupBy("kind", "value").agg((1 - wrong).alias("score")).where(F.col("score") >= accept - 1e-9), "reliable")
         if known is not None and new.count() == known.count():
             return new
         known = new
