@@ -1,8 +1,9 @@
 """Shortest paths between the tokens of a sentence, walks along them, and features of both.
 
 A sentence is one small graph: its tokens and dependencies are gathered into one
-row (as arrays), and its paths are found there. So a document of many sentences
-is many rows, and no graph is larger than a sentence.
+row (as arrays of integers), and its paths are found there by ``search``: depths
+and numbers of ties for all pairs, paths only of the pairs that ask for one. So a
+document of many sentences is many rows, and no graph is larger than a sentence.
 """
 
 from __future__ import annotations
@@ -11,122 +12,181 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graphs import shortest_paths
+from tessera.operators.search import Graph, counts
 
 SENTENCE = ["doc_id", "sent"]
+#: Pairs whose features are made before they leave Python.
+PAIRS = 64
 Edge = tuple[int, int, str]
 
 
-def walks(path: Sequence, edges: Sequence[tuple], directed: bool = False) -> list[list[tuple]]:
-    """Every choice of one edge for each step of a path; edges are (from, to, ...) and may be taken backwards unless ``directed``."""
+def walks(path: Sequence, edges: Sequence[tuple], directed: bool = False) -> Iterator[list[tuple]]:
+    """Every choice of one edge for each step of a path, one at a time; edges are (from, to, ...) and may be taken backwards unless ``directed``."""
     steps = []
     for a, b in zip(path, path[1:], strict=False):
         ahead = [e for e in edges if (e[0], e[1]) == (a, b)]
         steps.append(ahead if directed else ahead + [e for e in edges if (e[0], e[1]) == (b, a) and a != b])
-    return [list(w) for w in product(*steps)] if steps else []
+    if steps:
+        yield from map(list, product(*steps))
 
 
-def gathered(tokens: DataFrame, deps: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(sentence, words, edges, extra columns as arrays in the order of tokens): one row a sentence."""
-    words = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("idx", "token", *extra))).alias("w"))
-    links = deps.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("gov", "dep", "type"))).alias("edges"))
-    names = ["token", *extra]
-    return words.join(links, SENTENCE, "left").select(*SENTENCE, *[F.col("w")[n].alias(n if n != "token" else "words") for n in names], "edges")
+def _links(tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """(sentence, size, gov, dep, type): a row a sentence, its dependencies as arrays."""
+    size = tokens.groupBy(*SENTENCE).agg((F.max("idx") + 1).cast("int").alias("size"))
+    links = deps.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("gov", "dep", "type"))).alias("e"))
+    rows = size.join(links, SENTENCE, "left").withColumn("e", F.coalesce("e", F.array().cast(dict(links.dtypes)["e"])))
+    return rows.select(*[F.col(c).cast("long") for c in SENTENCE], "size", *[F.col("e")[c].cast(f"array<{t}>").alias(c) for c, t in (("gov", "int"), ("dep", "int"), ("type", "string"))])
 
 
-def _edges(found) -> list[Edge]:
-    return [] if found is None else [(x["gov"], x["dep"], x["type"]) for x in found]
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column of integers."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    at = at - at[0]
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def path_rows(tokens: DataFrame, deps: DataFrame, keep: Callable[[str], bool] | None = None) -> DataFrame:
-    """(sentence, a, b, length, ties, path): for every connected pair of a sentence's tokens a < b its first shortest path.
+def _graphs(batch: pa.RecordBatch, keep: Callable[[str], bool] | None) -> Iterator[Graph]:
+    """The undirected graph of each sentence of a batch."""
+    gov, dep = _lists(batch.column("gov")), _lists(batch.column("dep"))
+    for i, n in enumerate(batch.column("size").to_pylist()):
+        fine = slice(None) if keep is None else np.array([keep(x) for x in batch.column("type")[i].as_py()], bool)
+        yield Graph(n, gov[i][fine], dep[i][fine])
 
-    ``keep`` is a filter of dependency types: edges of other types are not walked.
-    Paths are undirected; the first is the least by its places.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                edges = [(g, d) for g, d, kind in _edges(r.edges) if keep is None or keep(kind)]
-                for (a, b), paths in shortest_paths(list(range(len(r.words))), edges).items():
-                    if a < b:
-                        rows.append((r.doc_id, r.sent, a, b, len(paths[0]) - 1, len(paths), min(paths)))
-            yield pd.DataFrame(rows, columns=["doc_id", "sent", "a", "b", "length", "ties", "path"])
+def path_rows(tokens: DataFrame, deps: DataFrame, keep: Callable[[str], bool] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(sentence, a, b, length, ties) for every connected pair a < b of a sentence's tokens; of the stated ``pairs`` only, with their first path, if given.
 
-    return gathered(tokens, deps).mapInPandas(run, "doc_id long, sent long, a long, b long, length long, ties long, path array<int>")
+    ``keep`` is a filter of dependency types: edges of other types are not walked.
+    Paths are undirected; ``ties`` is the number of shortest ones, the first is the
+    least by its places. A sentence is searched from all its tokens at once, in
+    blocks of bounded size, so memory doesn't follow the square of its length.
+    """
+    rows, names = _links(tokens, deps), [*SENTENCE, "a", "b", "length", "ties"]
+
+    def found(key: list, a: np.ndarray, b: np.ndarray, length: np.ndarray, ties: np.ndarray) -> list[pa.Array]:
+        return [pa.repeat(k.cast(pa.int64()), len(a)) for k in key] + [pa.array(x, t) for x, t in ((a, pa.int32()), (b, pa.int32()), (length, pa.int32()), (counts(ties), pa.int64()))]
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, graph in enumerate(_graphs(batch, keep)):
+                key = [batch.column(c)[i] for c in SENTENCE]
+                for sources, depth, ties in graph.searches(np.arange(graph.n)):
+                    row, b = np.nonzero((depth > 0) & (np.arange(graph.n) > sources[:, None]))
+                    yield pa.RecordBatch.from_arrays(found(key, sources[row], b, depth[row, b], ties[row, b]), names=names)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = _lists(batch.column("a")), _lists(batch.column("b"))
+            for i, graph in enumerate(_graphs(batch, keep)):
+                key = [batch.column(c)[i] for c in SENTENCE]
+                for a, b, length, ties, nodes, offsets in _asked_paths(graph, starts[i], ends[i]):
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*found(key, a, b, length, ties), lists], names=[*names, "path"])
+
+    schema = "doc_id long, sent long, a int, b int, length int, ties long"
+    if pairs is None:
+        return rows.mapInArrow(every, schema)
+    wanted = pairs.groupBy(*SENTENCE).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
+    wanted = wanted.select(*SENTENCE, *[F.col("p")[c].cast("array<int>").alias(c) for c in "ab"])
+    return rows.join(wanted, SENTENCE).mapInArrow(asked, f"{schema}, path array<int>")
+
+
+def _asked_paths(graph: Graph, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """(a, b, length, ties, nodes, offsets) of the connected ones of pairs of a graph, in blocks of their ends."""
+    for sources, depth, ties in graph.searches(np.unique(ends)):
+        at = np.searchsorted(sources, ends)
+        mine = np.flatnonzero((at < len(sources)) & (sources[np.minimum(at, len(sources) - 1)] == ends))
+        row, a = at[mine], starts[mine].astype(np.int64)
+        near = (depth[row, a] >= 0) & (a != ends[mine])
+        row, a, b = row[near], a[near], ends[mine][near]
+        yield a, b, depth[row, a], ties[row, a], *graph.first_paths(depth, row, a)
+
+
+def _step_edges(gov: np.ndarray, dep: np.ndarray, kinds: Sequence[str]) -> dict[tuple[int, int], list[str]]:
+    """The types of the dependencies from one token to another."""
+    out: dict[tuple[int, int], list[str]] = {}
+    for g, d, kind in zip(gov.tolist(), dep.tolist(), kinds, strict=True):
+        out.setdefault((g, d), []).append(kind)
+    return out
 
 
-def path_features(words: Sequence[str], tags: Sequence[str], types: Sequence[Sequence[str]], edges: Sequence[Edge], path: Sequence[int], grams: Sequence[int] = (2, 3, 4)) -> dict[str, float]:
-    """Features of one path: length, end tokens, single elements, edges, directions, and n-grams of edges over all its walks.
+# The names of path features.
+def path_features(words: Sequence[str], tags: Sequence[str], types: Sequence[Sequence[str]], edges: dict[tuple[int, int], list[str]], path: Sequence[int], grams: Sequence[int] = (2, 3, 4)) -> dict[str, float]:
+    """Features of one path: length, end tokens, single elements, edges, directions, and n-grams of edges.
 
-    ``types`` are the annotated types of each token, ``noAnnType`` where it has none.
+    ``types`` are the annotated types of each token, ``noAnnType`` where it has
+    none; ``edges`` the types of the dependencies from one token to another. An
+    n-gram is a choice of one edge for each of n steps that follow each other, so
+    their number follows the parallel dependencies of n steps and not of the path;
+    directions are those of all walks.
     """
-    kinds = [list(t) or ["noAnnType"] for t in types]
+    kinds = lambda i: list(types[i]) or ["noAnnType"]
     out: dict[str, float] = {f"len_tokens_{len(path)}": 1, "len": len(path)}
 
     def token(i: int) -> list[str]:
-        return [f"txt_{words[i]}", f"POS_{tags[i]}", *[f"annType_{k}" for k in kinds[i]]]
+        return [f"txt_{words[i]}", f"POS_{tags[i]}", *[f"annType_{k}" for k in kinds(i)]]
 
     for name, i in (("tokTerm1_", path[0]), ("tokTerm2_", path[-1])):
         out |= dict.fromkeys((name + f for f in token(i)), 1)
     for i in path[1:-1]:
         out |= {f"internalPOS_{tags[i]}": 1, f"internalTxt_{words[i]}": 1}
+    steps: list[list[tuple[str, str]]] = []
     for k in range(1, len(path)):
         here, before = path[k], path[k - 1]
-        back = [t for g, d, t in edges if (g, d) == (here, before)]
-        ahead = [t for g, d, t in edges if (g, d) == (before, here)]
+        back, ahead = edges.get((here, before), []), edges.get((before, here), [])
+        steps.append([("F", t) for t in ahead] + [("R", t) for t in back])
         out |= dict.fromkeys([f"dep_{t}Forward_" for t in back] + [f"dep_Reverse_{t}" for t in ahead], 1)
         if 2 <= k < len(path) - 1:
             out |= dict.fromkeys((f"internalDep_{t}" for t in back + ahead), 1)
         for g, d, t in [(here, before, t) for t in back] + [(before, here, t) for t in ahead]:
             out |= dict.fromkeys([f"dep_{t}", *token(g), *token(d), f"gov_{words[g]}_{words[d]}", f"gov_{tags[g]}_{tags[d]}"], 1)
-            out |= dict.fromkeys([f"gov_{x}_{y}" for x in kinds[g] for y in kinds[d]] + [f"triple_{x}_{t}_{y}" for x in kinds[g] for y in kinds[d]], 1)
-    out["tokenPath" + "".join("".join(f"_{k}" for k in kinds[i]) + "__" for i in path[:-1])] = 1
-    for walk in walks(path, edges):
-        way = "".join("F" if e[0] == path[k] else "R" for k, e in enumerate(walk))
-        out[f"edge_directions_{way}"] = 1
-        for n in grams:
-            for k in range(n - 1, len(walk)):
-                style, some = way[k - n + 1 : k + 1], walk[k - n + 1 : k + 1]
-                gram = f"depGram_{style}" + "".join(f"_{e[2]}" for e in some)
-                out |= dict.fromkeys([f"tok_{style}{f}" for i in path[k - n + 2 : k + 1] for f in token(i)], 1)
-                out |= {f"dep_{style}{p}_{e[2]}": 1 for p, e in enumerate(some)}
-                out |= dict.fromkeys([gram, *[f"{x}_{gram}_{y}" for x in kinds[path[0]] for y in kinds[path[-1]]]], 1)
+            out |= dict.fromkeys([f"gov_{x}_{y}" for x in kinds(g) for y in kinds(d)] + [f"triple_{x}_{t}_{y}" for x in kinds(g) for y in kinds(d)], 1)
+    out["tokenPath" + "".join("".join(f"_{k}" for k in kinds(i)) + "__" for i in path[:-1])] = 1
+    ways = [list(dict.fromkeys(way for way, _ in step)) for step in steps]
+    out |= dict.fromkeys(("edge_directions_" + "".join(way) for way in product(*ways)), 1)
+    for n in grams:
+        for k in range(n, len(steps) + 1):
+            for style in map("".join, product(*ways[k - n : k])):
+                out |= dict.fromkeys([f"tok_{style}{f}" for i in path[k - n + 1 : k] for f in token(i)], 1)
+            for some in product(*steps[k - n : k]):
+                style = "".join(way for way, _ in some)
+                gram = f"depGram_{style}" + "".join(f"_{t}" for _, t in some)
+                out |= {f"dep_{style}{p}_{t}": 1 for p, (_, t) in enumerate(some)}
+                out |= dict.fromkeys([gram, *[f"{x}_{gram}_{y}" for x in kinds(path[0]) for y in kinds(path[-1])]], 1)
     return out
 
 
-def pair_path_features(tokens: DataFrame, deps: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
+def pair_path_features(tokens: DataFrame, deps: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sentence, a, b, features map) of the first shortest path of each stated pair; pairs without a path have none.
 
     ``tokens`` has token, pos and types (an array), ``pairs`` (sentence, a, b).
-    Walks grow with parallel dependencies, so n-grams are made only for paths of up to ``limit`` tokens.
+    Paths of any length have all their features.
     """
-    asked = pairs.groupBy(*SENTENCE).agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
-    rows = gathered(tokens, deps, ("pos", "types")).join(asked, SENTENCE)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                edges = _edges(r.edges)
-                paths = shortest_paths(list(range(len(r.words))), [(g, d) for g, d, _ in edges])
-                for p in r.pairs:
-                    a, b = p["a"], p["b"]
-                    if (a, b) in paths:
-                        path = min(paths[a, b])
-                        grams = (2, 3, 4) if len(path) <= limit else ()
-                        found = path_features(r.words, r.pos, r.types, edges, path, grams)
-                        out.append((r.doc_id, r.sent, a, b, [{"name": k, "value": float(v)} for k, v in found.items()]))
-            yield pd.DataFrame(out, columns=["doc_id", "sent", "a", "b", "f"])
-
-    found = rows.mapInPandas(run, "doc_id long, sent long, a long, b long, f array<struct<name:string,value:double>>")
-    return found.select(*SENTENCE, "a", "b", F.map_from_entries("f").alias("features"))
+    asked = pairs.groupBy(*SENTENCE).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("p"))
+    asked = asked.select(*SENTENCE, *[F.col("p")[c].cast("array<int>").alias(c) for c in "ab"])
+    words = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("idx", "token", "pos", "types"))).alias("w"))
+    words = words.select(*SENTENCE, *[F.col("w")[c].alias(n) for c, n in (("token", "words"), ("pos", "tags"), ("types", "types"))])
+    rows = _links(tokens, deps).join(asked, SENTENCE).join(words, SENTENCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, gov, dep = (_lists(batch.column(c)) for c in ("a", "b", "gov", "dep"))
+            for i, graph in enumerate(_graphs(batch, None)):
+                own = [batch.column(c)[i].as_py() for c in ("words", "tags", "types", "type")]
+                edges = _step_edges(gov[i], dep[i], own[3])
+                for a, b, _, _, nodes, offsets in _asked_paths(graph, starts[i], ends[i]):
+                    for lo in range(0, len(a), PAIRS):
+                        some = range(lo, min(lo + PAIRS, len(a)))
+                        found = [list(path_features(*own[:3], edges, nodes[offsets[k] : offsets[k + 1]].tolist()).items()) for k in some]
+                        key = [pa.repeat(batch.column(c)[i].cast(pa.int64()), len(some)) for c in SENTENCE]
+                        ends_of = [pa.array(x[lo : lo + PAIRS], pa.int32()) for x in (a, b)]
+                        yield pa.RecordBatch.from_arrays([*key, *ends_of, pa.array(found, pa.map_(pa.string(), pa.float64()))], names=[*SENTENCE, "a", "b", "features"])
+
+    return rows.mapInArrow(run, "doc_id long, sent long, a int, b int, features map<string,double>")
 
 
 def kernel_matrix(n: int, edges: Sequence[Edge], on_path: Sequence[int] = (), weight: float = 0.9, other: float = 0.3) -> np.ndarray:

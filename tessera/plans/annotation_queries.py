@@ -7,6 +7,7 @@ one token), near pairs as interactions, and each token depending on the one befo
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import alignment
@@ -65,7 +66,7 @@ _TWICE = "select c_nationkey as doc_id, 0 as sent, 'e' || c_custkey as ent_id, c
 
 
 def _annotated(t):
-    c = t("customer").select(F.col("c_nationkey").alias("doc_id"), F.lit(0).alias("sent"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("ent_id"), F.col("c_custkey").alias("place"), F.col("c_mktsegment").alias("type"), (F.round("c_acctbal").cast("long") % 5).alias("spans"), (F.col("c_custkey") % 7 == 0).alias("given"))
+    c = t("customer").select(F.col("c_nationkey").alias("doc_id"), F.lit(0).alias("sent"), F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("ent_id"), F.col("c_custkey").alias("place"), F.col("c_mktsegment").alias("type"), (F.rint("c_acctbal").cast("long") % 5).alias("spans"), (F.col("c_custkey") % 7 == 0).alias("given"))
     o = t("orders").select(F.pmod(F.col("o_custkey"), F.lit(25)).alias("doc_id"), F.lit(0).alias("sent"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("int_id"), F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("e1"), F.concat(F.lit("e"), (F.col("o_custkey") % 97 + 1).cast("string")).alias("e2"), F.col("o_orderstatus").alias("type"))
     return c, o
 
@@ -223,28 +224,95 @@ def graph_heads(t):
     return alignment.heads(caps, toks, _chain(toks)).withColumn("head", F.col("head").cast("long"))
 
 
-_SHORT = f"select * from (select doc_id, sent, count(*) as m from ({TOK}) group by 1, 2) where m <= 12"
+def _tree(toks):
+    """A parse with ties, parallel edges and cycles: each token depends on that of half its place and of a quarter of it.
 
+    By a hash of the place some dependencies stand twice, under another type, and some also the other way.
+    """
+    up = lambda k: F.expr(f"((idx + 1) div {k}) - 1")
+    link = lambda g, d, kind, where: F.when(where, F.struct(g.alias("gov"), d.alias("dep"), kind.alias("type")))
+    i, top, far = F.col("idx"), F.col("idx") > 0, F.col("idx") > 2
+    hashed = lambda k, n: (i * k + F.col("sent")) % n == 0
+    made = F.array(
+        link(up(2), i, F.when(i % 2 == 0, "even").otherwise("odd"), top),
+        link(up(2), i, F.lit("again"), top & hashed(7, 3)),
+        link(i, up(2), F.lit("back"), top & hashed(7, 5)),
+        link(up(4), i, F.lit("far"), far),
+        link(i, up(4), F.lit("up"), far & hashed(5, 4)),
+    )
+    return toks.select(*KEY, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
 
-def _short(t):
-    toks = _tokens(t)
-    few = toks.groupBy(*KEY).agg(F.count("*").alias("m")).where("m <= 12")
-    return toks.join(few.select(*KEY), KEY, "left_semi")
+
+# of two places of _tree: how far each is below the lowest place above both, which is h1 - 1
+_CLIMB = """select *, la - m + c as ka, lb - m + c as kb, x >> c as h1 from (select *, case when x = y then 0 else length(bin(xor(x, y))) end as c from (
+select *, ha >> cast(la - m as int) as x, hb >> cast(lb - m as int) as y from (select *, least(la, lb) as m from (
+select *, length(bin(ha)) - 1 as la, length(bin(hb)) - 1 as lb from (select *, cast(a + 1 as int) as ha, cast(b + 1 as int) as hb from {})))))"""
 
 
-@query(f"with s as ({_SHORT}) select doc_id, sent, a, b, b - a as length, 1 as ties from s, range(0, 12) x(a), range(0, 12) y(b) where a < b and b < m")
+@query(f"with s as (select doc_id, sent, count(*) as m from ({TOK}) group by 1, 2), p as (select doc_id, sent, a, unnest(range(a + 1, m)) as b from (select doc_id, sent, m, unnest(range(m)) as a from s)), c as ({_CLIMB.format('p')}) select doc_id, sent, count(*) as n, cast(sum((ka + 1) // 2 + (kb + 1) // 2) as bigint) as length, max((ka + 1) // 2 + (kb + 1) // 2) as longest, cast(sum(case when ka % 2 = 1 then (ka + 1) // 2 else 1 end * case when kb % 2 = 1 then (kb + 1) // 2 else 1 end + case when ka % 2 = 1 and kb % 2 = 1 and h1 > 1 then 1 else 0 end) as bigint) as ties from c group by 1, 2")
 def graph_path_rows(t):
-    toks = _short(t)
-    return paths.path_rows(toks, _chain(toks)).drop("path")
+    toks = _tokens(t)
+    rows = paths.path_rows(toks, _tree(toks)).groupBy(*KEY)
+    return rows.agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.max("length").cast("long").alias("longest"), F.sum("ties").alias("ties"))
+
+
+_PATH = f"""
+with tok as materialized ({TOK}), ent as materialized ({_ENT}),
+ann as materialized (select t.doc_id, t.sent, t.idx, token, 'P' || length(token) % 4 as pos, coalesce(e.type, 'noAnnType') as kind from tok t left join ent e on t.doc_id = e.doc_id and t.sent = e.sent and t.idx = e.last),
+p as (select * from (select doc_id, sent, last as a, lead(last) over (partition by doc_id, sent order by first) as b from ent) where b is not null),
+c as ({_CLIMB.format("p")}),
+w as (select doc_id, sent, a, b, ha, hb, case when over then ka + 1 else ka end as ka, case when over then kb + 1 else kb end as kb from (select *, ka % 2 = 1 and kb % 2 = 1 and h1 > 1 as over from c)),
+way as materialized (select row_number() over () as pair, doc_id, sent, a, b,
+  list_transform(range(0, (ka + 1) // 2 + 1), lambda j: (ha >> cast(least(2 * j, ka) as int)) - 1) || list_transform(range(1, (kb + 1) // 2 + 1), lambda j: (hb >> cast(kb - 2 * j + kb % 2 as int)) - 1) as nodes from w),
+node as materialized (select pair, k, len(nodes) as size, n.* from (select pair, doc_id, sent, nodes, unnest(nodes) as idx, unnest(range(len(nodes))) as k from way) s join ann n using (doc_id, sent, idx)),
+step as materialized (select u.pair, v.k, u.size, u.sent, u.idx as u, v.idx as v, greatest(u.idx, v.idx) as child, least(u.idx, v.idx) as top from node u join node v on u.pair = v.pair and v.k = u.k + 1),
+opt as materialized (
+  select pair, k, size, t, case when down = (u = top) then 'F' else 'R' end as way, case when down then top else child end as g, case when down then child else top end as d from (
+    select *, true as down, case when child % 2 = 0 then 'even' else 'odd' end as t from step where top = (child + 1) // 2 - 1
+    union all select *, true, 'again' from step where top = (child + 1) // 2 - 1 and (child * 7 + sent) % 3 = 0
+    union all select *, false, 'back' from step where top = (child + 1) // 2 - 1 and (child * 7 + sent) % 5 = 0
+    union all select *, true, 'far' from step where top = (child + 1) // 4 - 1 and child > 2
+    union all select *, false, 'up' from step where top = (child + 1) // 4 - 1 and child > 2 and (child * 5 + sent) % 4 = 0)),
+ends as materialized (select o.*, x.token as gw, y.token as dw, x.pos as gp, y.pos as dp, x.kind as gk, y.kind as dk from opt o join node x on x.pair = o.pair and x.idx = o.g join node y on y.pair = o.pair and y.idx = o.d),
+gram as materialized (
+  with recursive r as (
+    select pair, k, 1 as n, way as style, '_' || t as ts, '0_' || t as dep from opt
+    union all select r.pair, o.k, n + 1, style || way, ts || '_' || t, n || '_' || t from r join opt o on o.pair = r.pair and o.k = r.k + 1 where n < 4)
+  select * from r where n > 1),
+whole as materialized (with recursive r as (select distinct pair, k, size, way as style from opt where k = 1 union all select r.pair, o.k, r.size, style || way from r join (select distinct pair, k, way from opt) o on o.pair = r.pair and o.k = r.k + 1) select pair, style from r where k = size - 1),
+dirs as materialized (
+  with recursive d as (select distinct pair, k, way from opt), r as (select pair, k, 1 as n, way as style from d union all select r.pair, d.k, n + 1, style || way from r join d on d.pair = r.pair and d.k = r.k + 1 where n < 4) select * from r where n > 1),
+word as (select *, unnest(['txt_' || token, 'POS_' || pos, 'annType_' || kind]) as f from node),
+found as (
+  select pair, 'len_tokens_' || size as feature from node where k = 0
+  union all select pair, 'len' from node where k = 0
+  union all select pair, 'tokTerm1_' || f from word where k = 0
+  union all select pair, 'tokTerm2_' || f from word where k = size - 1
+  union all select pair, unnest(['internalPOS_' || pos, 'internalTxt_' || token]) from node where k > 0 and k < size - 1
+  union all select pair, case way when 'R' then 'dep_' || t || 'Forward_' else 'dep_Reverse_' || t end from opt
+  union all select pair, 'internalDep_' || t from opt where k >= 2 and k < size - 1
+  union all select pair, unnest(['dep_' || t, 'txt_' || gw, 'POS_' || gp, 'annType_' || gk, 'txt_' || dw, 'POS_' || dp, 'annType_' || dk, 'gov_' || gw || '_' || dw, 'gov_' || gp || '_' || dp, 'gov_' || gk || '_' || dk, 'triple_' || gk || '_' || t || '_' || dk]) from ends
+  union all select pair, 'tokenPath' || string_agg('_' || kind || '__', '' order by k) from node where k < size - 1 group by pair
+  union all select pair, 'edge_directions_' || style from whole
+  union all select pair, unnest(['depGram_' || style || ts]) from gram
+  union all select g.pair, x.kind || '_depGram_' || style || ts || '_' || y.kind from gram g join node x on g.pair = x.pair and x.k = 0 join node y on g.pair = y.pair and y.k = y.size - 1
+  union all select d.pair, 'tok_' || style || f from dirs d join word i on d.pair = i.pair and i.k > d.k - n and i.k < d.k
+  union all select d.pair, 'dep_' || style || o.k - (d.k - n) - 1 || '_' || t from dirs d join opt o on d.pair = o.pair and o.k > d.k - n and o.k <= d.k and substr(style, cast(o.k - (d.k - n) as int), 1) = way)
+select feature, count(distinct pair) as n from found group by 1
+"""
 
 
-@query(f"with s as ({_SHORT}), w as (select *, b - a as k from s, range(0, 12) x(a), range(0, 12) y(b) where a < b and b < m), f as (select 'len_tokens_' || (k + 1) as feature from w union all select 'edge_directions_' || repeat('F', cast(k as int)) from w) select feature, count(*) as n from f group by 1")
+@query(_PATH)
 def graph_path_features(t):
-    toks = _short(t)
-    rows = toks.withColumns({"pos": F.lit("X"), "types": F.array().cast("array<string>")})
-    pairs = toks.select(*KEY, F.col("idx").alias("a")).join(toks.select(*KEY, F.col("idx").alias("b")), KEY).where("a < b")
-    found = paths.pair_path_features(rows, _chain(toks), pairs).select(F.explode("features").alias("feature", "value"))
-    return found.where("feature like 'len!_tokens!_%' escape '!' or feature like 'edge!_directions!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
+    toks = _tokens(t)
+    ents = _entities(toks)
+    kinds = ents.select(*KEY, F.col("last").alias("idx"), F.array("type").alias("types"))
+    rows = toks.join(kinds, [*KEY, "idx"], "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+    rows = rows.withColumn("pos", F.concat(F.lit("P"), (F.length("token") % 4).cast("string")))
+    following = F.lead("last").over(Window.partitionBy(*KEY).orderBy("first"))
+    pairs = ents.select(*KEY, F.col("last").alias("a"), following.alias("b")).where("b is not null")
+    found = paths.pair_path_features(rows, _tree(toks), pairs)
+    return found.select(F.explode(F.map_keys("features")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
 
 
 @query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_quantity, abs(l_discount * 100 - 5), l_linenumber) - 1 as rank from lineitem")
@@ -266,8 +334,6 @@ _EVENTS = "select o_custkey as doc_id, o_orderkey as id, o_orderstatus as type,
 
 
 def _events(t):
-    from pyspark.sql import Window
-
     o = t("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("type"))
     arg = F.lead("id").over(Window.partitionBy("doc_id").orderBy("id"))
     return o.withColumn("arguments", F.filter(F.array(arg), lambda x: x.isNotNull()))
@@ -431,8 +497,6 @@ def sort_capped(t):
 
 @query("select 'e' || c_custkey as id, row_number() over (order by c_custkey) as place from customer")
 def sort_by_number(t):
-    from pyspark.sql import Window
-
     rows = sets.by_number(t("customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("id")), "id")
     first = rows.limit(rows.count()).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
     return first.withColumn("place", F.col("place").cast("long"))

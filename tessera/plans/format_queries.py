@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import shared_folder
-from tessera.plans.annotation_queries import KEY, _chain, _entities, _links, _short, _tokens
+from tessera.plans.annotation_queries import KEY, _chain, _entities, _links, _tokens
 from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
 from tessera.plans.register import query
 from tessera.sources import archives, corpus, exports, formats, parses
@@ -28,19 +28,12 @@ def _lines(df: DataFrame, name: str) -> str:
     return path
 
 
-_SMALL = "select doc_id from documents where n_chars <= 800"
-
-
-def _small(t):
-    return t("documents").where("n_chars <= 800")
-
-
 # corpus files --------------------------------------------------------------------------------------
 
 
 def _corpus(t) -> corpus.Corpus:
-    """The derived corpus of the short documents, as the seven tables."""
-    docs = _small(t).withColumn("text", F.regexp_replace("text", r"[^\x20-\x7E\n]", "?"))
+    """The derived corpus as the seven tables."""
+    docs = t("documents").withColumn("text", F.regexp_replace("text", r"[^\x20-\x7E\n]", "?"))
     only = lambda name: {"documents": docs}.get(name)
     toks = _tokens(only)
     ents = _entities(toks)
@@ -75,33 +68,29 @@ def _read_back(t) -> corpus.Corpus:
     return corpus.tables(_file(t))
 
 
-_S = f"({_SMALL})"
-_PART = "select 'C.d' || doc_id || '.s' || sent as sent_id"
-
-
-@query(f"with small as {_S}, e as (select doc_id, sent, count(*) as n, sum(first) as s from ({CAPS}) semi join small using (doc_id) group by 1, 2), i as (select doc_id, sent, count(*) as n from ({PAIRS}) semi join small using (doc_id) where distance <= 3 group by 1, 2), k as (select doc_id, sent, count(*) as n from ({TOK}) semi join small using (doc_id) group by 1, 2) select 'C.d' || s.doc_id || '.s' || s.sent as sent_id, s.begin, s.\"end\", coalesce(e.n, 0) as entities, coalesce(e.s, 0) as places, coalesce(i.n, 0) as interactions, coalesce(k.n, 0) as tokens, greatest(coalesce(k.n, 0) - 1, 0) as dependencies from ({SENT}) s semi join small using (doc_id) left join e on s.doc_id = e.doc_id and s.sent = e.sent left join i on s.doc_id = i.doc_id and s.sent = i.sent left join k on s.doc_id = k.doc_id and s.sent = k.sent")
+@query(f"with e as (select doc_id, sent, count(*) as n, sum(first) as s from ({CAPS}) group by 1, 2), i as (select doc_id, sent, count(*) as n from ({PAIRS}) where distance <= 3 group by 1, 2), k as (select doc_id, sent, count(*) as n from ({TOK}) group by 1, 2) select 'C.d' || s.doc_id || '.s' || s.sent as sent_id, s.begin, s.\"end\", coalesce(e.n, 0) as entities, coalesce(e.s, 0) as places, coalesce(i.n, 0) as interactions, coalesce(k.n, 0) as tokens, greatest(coalesce(k.n, 0) - 1, 0) as dependencies from ({SENT}) s left join e on s.doc_id = e.doc_id and s.sent = e.sent left join i on s.doc_id = i.doc_id and s.sent = i.sent left join k on s.doc_id = k.doc_id and s.sent = k.sent")
 def source_corpus_xml(t):
     c = _read_back(t)
     rows = c.sentences.select("sent_id", "begin", "end")
     n = lambda df, name, *more: df.groupBy("sent_id").agg(F.count("*").alias(name), *more)
-    for part in (n(c.entities, "entities", F.sum(F.expr("head.b div 10") - F.size("spans") * 0 - (F.expr("(head.e - spans[0].b) div 10"))).alias("places")), n(c.interactions, "interactions"), n(c.tokens, "tokens"), n(c.dependencies, "dependencies")):
+    for part in (n(c.entities, "entities", F.sum(F.expr("head.b div 10") - (F.expr("(head.e - spans[0].b) div 10"))).alias("places")), n(c.interactions, "interactions"), n(c.tokens, "tokens"), n(c.dependencies, "dependencies")):
         rows = rows.join(part, "sent_id", "left")
     return rows.fillna(0)
 
 
-@query(f"select 'C.d' || doc_id as doc_id, source as orig_id, count(s.sent) as sentences from documents left join ({SENT}) s using (doc_id) where n_chars <= 800 group by 1, 2")
+@query(f"select 'C.d' || doc_id as doc_id, source as orig_id, count(s.sent) as sentences from documents left join ({SENT}) s using (doc_id) group by 1, 2")
 def source_corpus_index(t):
     return corpus.index(_read_back(t)).groupBy("doc_id", "orig_id").agg(F.count("sent_id").alias("sentences"))
 
 
-@query(f"with small as {_S}, s as (select doc_id, sent from ({SENT}) semi join small using (doc_id)) select 'document' as tag, (select count(*) from small) as n union all select 'sentence', (select count(*) from s) union all select 'entity', (select count(*) from ({CAPS}) semi join small using (doc_id)) union all select 'interaction', (select count(*) from ({PAIRS}) semi join small using (doc_id) where distance <= 3) union all select 'pair', 0")
+@query(f"with s as (select doc_id, sent from ({SENT})) select 'document' as tag, (select count(*) from documents) as n union all select 'sentence', (select count(*) from s) union all select 'entity', (select count(*) from ({CAPS})) union all select 'interaction', (select count(*) from ({PAIRS}) where distance <= 3) union all select 'pair', 0")
 def corpus_element_counts(t):
     from tessera.operators import corpora
 
     return corpora.element_counts(_file(t))
 
 
-@query(f"with small as {_S}, k as (select doc_id, sent, count(*) as n from ({TOK}) semi join small using (doc_id) group by 1, 2), s as (select doc_id, sent, coalesce(n, 0) as n from ({SENT}) semi join small using (doc_id) left join k using (doc_id, sent)), e as (select distinct doc_id, sent from ({CAPS}) semi join small using (doc_id)), w as (select 'sentence' as what from s union all select 'sentence-no-analyses' from s where n = 0 union all select 'parse:McCC' from s where n > 0 union all select 'parse:McCC(no penn)' from s where n > 0 union all select 'parse:McCC(no dependencies)' from s where n = 1 union all select 'parse:McCC(no phrases)' from s anti join e using (doc_id, sent) where n > 0 union all select 'tokenization:McCC' from s where n > 0) select what, count(*) as n from w group by 1")
+@query(f"with k as (select doc_id, sent, count(*) as n from ({TOK}) group by 1, 2), s as (select doc_id, sent, coalesce(n, 0) as n from ({SENT}) left join k using (doc_id, sent)), e as (select distinct doc_id, sent from ({CAPS})), w as (select 'sentence' as what from s union all select 'sentence-no-analyses' from s where n = 0 union all select 'parse:McCC' from s where n > 0 union all select 'parse:McCC(no penn)' from s where n > 0 union all select 'parse:McCC(no dependencies)' from s where n = 1 union all select 'parse:McCC(no phrases)' from s anti join e using (doc_id, sent) where n > 0 union all select 'tokenization:McCC' from s where n > 0) select what, count(*) as n from w group by 1")
 def corpus_parse_coverage(t):
     from tessera.operators import corpora
 
@@ -111,9 +100,9 @@ def corpus_parse_coverage(t):
 # parse files ---------------------------------------------------------------------------------------
 
 
-@query(f"select md5(string_agg(token, ' ' order by idx)) as line, count(*) as n from (select * from ({TOK}) semi join (select doc_id, sent from ({TOK}) group by 1, 2 having count(*) <= 12) using (doc_id, sent)) group by doc_id, sent")
+@query(f"select md5(string_agg(token, ' ' order by idx)) as line, count(*) as n from ({TOK}) group by doc_id, sent")
 def source_token_lines(t):
-    toks = _short(t)
+    toks = _tokens(t)
     path = _lines(parses.token_lines(toks, KEY), "tok")
     rows = parses.read_token_lines(toks.sparkSession, path)
     # equal sentences are equal lines: told apart by how often a place occurs
@@ -121,36 +110,33 @@ def source_token_lines(t):
     return counts.select("line", F.explode(F.array_repeat((F.col("n") / F.col("k")).cast("long"), F.col("k").cast("int"))).alias("n"))
 
 
-_FEW = f"(select * from ({TOK}) semi join (select doc_id, sent from ({TOK}) group by 1, 2 having count(*) <= 12) using (doc_id, sent))"
-
-
-@query(f"select token, 'X' as pos, case when idx = 0 then null when idx % 2 = 0 then 'even' else 'odd' end as relation, idx, count(*) as n from {_FEW} group by all")
+@query(f"select token, 'X' as pos, case when idx = 0 then null when idx % 2 = 0 then 'even' else 'odd' end as relation, idx, count(*) as n from ({TOK}) group by all")
 def source_conll(t):
-    toks = _short(t).withColumn("pos", F.lit("X"))
+    toks = _tokens(t).withColumn("pos", F.lit("X"))
     path = _lines(parses.conll_lines(toks, _chain(toks), KEY, "conllx"), "conll")
     words = parses.read_conll(toks.sparkSession, path, "conllx")
     return words.groupBy("token", "pos", "relation", F.col("idx").cast("long").alias("idx")).agg(F.count("*").alias("n"))
 
 
-@query(f"select case when idx % 2 = 0 then 'even' else 'odd' end as type, idx - 1 as gov, idx as dep, count(*) as n from {_FEW} where idx > 0 group by all")
+@query(f"select case when idx % 2 = 0 then 'even' else 'odd' end as type, idx - 1 as gov, idx as dep, count(*) as n from ({TOK}) where idx > 0 group by all")
 def source_dependency_lines(t):
-    toks = _short(t)
+    toks = _tokens(t)
     path = _lines(parses.dependency_lines(toks, _chain(toks), KEY), "sd")
     rows = formats.read_dependencies(toks.sparkSession, path)
     return rows.groupBy("type", F.col("gov").cast("long").alias("gov"), F.col("dep").cast("long").alias("dep")).agg(F.count("*").alias("n"))
 
 
-@query(f"select token, idx * 10 as begin, idx * 10 + 9 as \"end\", count(*) as n from {_FEW} group by all")
+@query(f"select token, idx * 10 as begin, idx * 10 + 9 as \"end\", count(*) as n from ({TOK}) group by all")
 def source_epe(t):
-    toks = _short(t).withColumn("pos", F.lit("X"))
+    toks = _tokens(t).withColumn("pos", F.lit("X"))
     path = _lines(parses.epe_lines(toks, _chain(toks), KEY), "epe")
     tokens, _ = parses.read_epe(toks.sparkSession, path)
     return tokens.groupBy("token", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end")).agg(F.count("*").alias("n"))
 
 
-@query(f"select length(token) as size, count(*) as n from {_FEW} where idx > 0 group by 1")
+@query(f"select length(token) as size, count(*) as n from ({TOK}) where idx > 0 group by 1")
 def source_trees(t):
-    toks = _short(t)
+    toks = _tokens(t)
     leaf = F.concat(F.lit("(X "), F.translate("token", "()", "[]"), F.lit(")"))
     rows = toks.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", leaf.alias("l")))).alias("r"))
     path = _lines(rows.select(F.concat(F.lit("(S "), F.array_join(F.transform("r", lambda x: x["l"]), " "), F.lit(")")).alias("value")), "ptb")
@@ -241,7 +227,7 @@ def export_pair_lines(t):
     return exports.pair_lines(ents.withColumns({"sent_id": sid, "ent_id": F.col("ent_id").cast("string")}), links)
 
 
-@query(f"select doc_id, sent, md5('digraph {{' || chr(10) || string_agg('  n' || idx || ' [label=\"' || replace(token, '\"', '\\\"') || '\"];', chr(10) order by idx) || chr(10) || case when count(*) > 1 then string_agg('  n' || (idx - 1) || ' -> n' || idx || ' [label=\"' || case when idx % 2 = 0 then 'even' else 'odd' end || '\"];', chr(10) order by idx) filter (where idx > 0) || chr(10) else '' end || '}}') as digest from {_FEW} group by 1, 2")
+@query(f"select doc_id, sent, md5('digraph {{' || chr(10) || string_agg('  n' || idx || ' [label=\"' || replace(token, '\"', '\\\"') || '\"];', chr(10) order by idx) || chr(10) || case when count(*) > 1 then string_agg('  n' || (idx - 1) || ' -> n' || idx || ' [label=\"' || case when idx % 2 = 0 then 'even' else 'odd' end || '\"];', chr(10) order by idx) filter (where idx > 0) || chr(10) else '' end || '}}') as digest from ({TOK}) group by 1, 2")
 def export_graph_text(t):
-    toks = _short(t)
+    toks = _tokens(t)
     return exports.graph_text(toks, _chain(toks), KEY).select(*KEY, F.md5("value").alias("digest"))

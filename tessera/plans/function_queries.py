@@ -10,7 +10,7 @@ from tessera.functions import inference, predicates, strings
 from tessera.operators import features, graphs, sets, structure, tables, text, vectors
 from tessera.operators.lineage import shared_folder
 from tessera.plans import steps
-from tessera.plans.annotation_queries import KEY, _chain, _entities, _short, _tokens
+from tessera.plans.annotation_queries import KEY, _chain, _entities, _tokens
 from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
 from tessera.plans.register import query, rounded
 from tessera.streaming import directory, windows
@@ -115,9 +115,9 @@ def example_phrases(t):
     return features.phrase_examples(np.unionByName(whole), ents)
 
 
-@query(f"with s as (select * from ({TOK}) semi join (select doc_id, sent from ({TOK}) group by 1, 2 having count(*) <= 12) using (doc_id, sent)), c as (select doc_id, sent, idx as i, idx as j, 'txt_' || lower(token) as f from s union all select doc_id, sent, idx - 1, idx, 'dep_' || case when idx % 2 = 0 then 'even' else 'odd' end from s where idx > 0) select doc_id, sent, i, j, f as cell from c")
+@query(f"with s as ({TOK}), c as (select doc_id, sent, idx as i, idx as j, 'txt_' || lower(token) as f from s union all select doc_id, sent, idx - 1, idx, 'dep_' || case when idx % 2 = 0 then 'even' else 'odd' end from s where idx > 0) select doc_id, sent, i, j, f as cell from c")
 def example_matrix(t):
-    toks = _short(t)
+    toks = _tokens(t)
     return features.matrix_cells(toks, _chain(toks)).select(*KEY, "i", "j", F.array_join("features", " ").alias("cell"))
 
 
