@@ -54,6 +54,8 @@ from tessera.llm.common import attached, by_row, durable, forget, keyed, numbere
 from tessera.llm.components import components
 from tessera.llm.textcore import LOWER, U64, Prefix, Texts, chunks, grams, mix64, words
 
+#: The highest level of a word counter.
+WORD_LEVEL = 80
 #: Counters of shingles and of words in the rarity tables, and how many travel in one row.
 SKETCH, WORDS, SLICE = 1 << 20, 1 << 18, 1 << 12
 #: Parts of a set for the suffix filter, a power of two, and the shift of a hash to its part.
@@ -182,7 +184,7 @@ def rarity(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(row.counts, np.int64)
     shingles, single = counts[:SKETCH], counts[SKETCH:]
     above = np.log2(np.maximum(shingles / (2 * max(shingles.mean(), 0.5)), 1.0)) * 4
-    return np.minimum(above, 127).astype(np.uint8), np.minimum(np.log2(single + 1.0) * 2, 80).astype(np.uint8)
+    return np.minimum(above, 127).astype(np.uint8), np.minimum(np.log2(single + 1.0) * 2, WORD_LEVEL).astype(np.uint8)
 
 
 def _class_hash(s: np.ndarray) -> int:
@@ -190,6 +192,17 @@ def _class_hash(s: np.ndarray) -> int:
     return int(mix64(s).sum(dtype=U64).astype(np.int64))
 
 
+def _order(s: np.ndarray, frequent: np.ndarray, expected: np.ndarray, n: int) -> np.ndarray:
+    """Shingles as numbers that rise with their frequency: 8 bits of each of both levels, the rest from the hash.
+
+    ``expected`` adds up ``n`` word levels of at most ``WORD_LEVEL``; where that may pass 8 bits it is scaled to fit.
+    """
+    most = WORD_LEVEL * n
+    if most > 255:
+        expected = expected * U64(255) // U64(most)
+    return (frequent.astype(U64) << U64(56)) | (expected << U64(48)) | (s >> U64(16))
+
+
 def _prefixes(rule: Rule, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, word_levels = levels.value
@@ -201,7 +214,7 @@ def _prefixes(rule: Rule, levels):
                     if len(s) == 0 or rule.alone(len(s)) or (node := _class_hash(s)) in seen:
                         continue
                     seen.add(node)
-                    order = (frequent[_shingle_slot(s)].astype(U64) << U64(56)) | (expected << U64(48)) | (s >> U64(16))
+                    order = _order(s, frequent[_shingle_slot(s)], expected, rule.n)
                     k = rule.prefix(len(s))
                     out.append(np.sort(np.partition(order, k - 1)[:k] if k < len(order) else order))
                     nodes.append(np.full(k, node, np.int64))

@@ -484,3 +484,13 @@ def test_digest_of_kept_bytes(spark):
     df = spark.createDataFrame([(1, "a" * 60), (2, "b" + "a" * 60 + "ü")], "doc_id long, text string")
     got = {r.doc_id: r.kept_sha256 for r in substring_dedup.dedup(df).collect()}
     assert got == {1: hashlib.sha256(b"a" * 60).hexdigest(), 2: hashlib.sha256("bü".encode()).hexdigest()}
+
+
+@pytest.mark.parametrize("n", [3, 5, 9])
+def test_order_of_shingles_keeps_common_words_last(n):
+    hashes = np.array([5 << 20, 7 << 40, 2**64 - 1], np.uint64)
+    rare, common = (np.full(3, n * level, np.uint64) for level in (40, shingle_join.WORD_LEVEL))
+    low = np.zeros(3, np.uint8)
+    assert shingle_join._order(hashes, low, rare, n).max() < shingle_join._order(hashes, low, common, n).min()
+    # what is counted as frequent comes after whatever the words say
+    assert shingle_join._order(hashes, low, common, n).max() < shingle_join._order(hashes, low + 1, rare * np.uint64(0), n).min()
