@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import alignment
-from tessera.operators import corpora, evaluation, features, graphs, paths, sets, structure, text
+from tessera.operators import corpora, evaluation, features, graphs, paths, refinement, sets, structure, text
 from tessera.plans.fragments import CAPS, PAIRS, TOK
 from tessera.plans.register import query, rounded
 
@@ -381,10 +381,53 @@ def graph_ancestors(t):
     return graphs.ancestors(t("nation").where("n_nationkey > 0").select(F.col("n_nationkey").alias("child"), F.expr("cast(n_nationkey div 2 as int)").alias("parent")))
 
 
-@query("with e as (select o_custkey as g, o_orderkey as event, o_orderstatus as kind from orders) select g, event, min(event) over (partition by g, kind) as keeper from e")
+# events nest in those of a quarter of their number; one in 97 is in a cycle with the next, and so are those above it
+_NESTED = """e as (select o_orderkey as id, case when o_orderkey % 97 < 2 then 'cycle' else o_orderstatus end as kind, o_orderkey // 4 as below, o_orderkey % 97 < 2 or o_orderkey < 4 as base, o_orderkey % 2 as entity from orders)"""
+
+
+def _nested(t):
+    """(g, event, kind, arguments) of events: an inner event and an entity, in cycles the other event alone."""
+    o = t("orders").select(F.col("o_orderkey").alias("event"), "o_orderstatus")
+    cycle, e = F.col("event") % 97 < 2, F.col("event")
+    other = F.when(e % 97 == 0, e + 1).otherwise(e - 1)
+    inner = F.when(e >= 4, F.expr("event div 4"))
+    args = F.when(cycle, F.array(other, -3 - e)).otherwise(F.filter(F.array(inner, -1 - e % 2), lambda x: x.isNotNull()))
+    return o.select(F.lit(0).alias("g"), "event", F.when(cycle, "cycle").otherwise(F.col("o_orderstatus")).alias("kind"), args.alias("arguments"))
+
+
+@query(f"with recursive {_NESTED}, r as (select id, min(id) over (partition by kind, entity, case when id % 97 < 2 then id end) as keeper from e where base union all select e.id, min(e.id) over (partition by e.kind, e.entity, r.keeper) from e join r on e.below = r.id where not e.base) select 0 as g, id as event, keeper from r")
 def graph_unique_events(t):
-    e = t("orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("kind"), F.array().cast("array<bigint>").alias("arguments"))
-    return graphs.unique_events(e, "g")
+    return graphs.unique_events(_nested(t), "g")
+
+
+def _side(t, name: str):
+    """Events of one side with their arguments; the predicted ones have some another type or entity."""
+    e = _nested(t).select("event", F.col("event").alias("n"), "kind", "arguments")
+    if name == "p":
+        e = e.withColumn("kind", F.when(F.col("n") % 11 == 0, "P").otherwise(F.col("kind")))
+    doc, span = F.lit(0).alias("doc_id"), F.concat(F.lit("s"), (F.col("n") % 50).cast("string"))
+    ids = lambda c: F.concat(F.lit(name), F.col(c).cast("string"))
+    events = e.select(doc, ids("event").alias("id"), F.col("kind").alias("type"), span.alias("span"))
+    args = e.select(doc, ids("event").alias("id"), "n", F.explode("arguments").alias("arg"))
+    arg = F.when((F.col("n") % 13 == 0) & (F.col("arg") < 0), F.col("arg") - 100).otherwise(F.col("arg")) if name == "p" else F.col("arg")
+    args = args.select("doc_id", "id", F.when(F.col("arg") < 0, "Cause").otherwise("Theme").alias("role"), F.concat(F.lit(name), arg.cast("string")).alias("arg"))
+    names = args.where("role = 'Cause'").select("doc_id", F.col("arg").alias("id"), F.lit("Name").alias("type"), F.substring("arg", 2, 20).alias("span")).distinct()
+    return events, args, names
+
+
+_TREES = f"""with recursive {_NESTED}, s as (select 'g' as side, *, kind as k, id % 97 < 2 as cycle, -1 - entity as name from e union all select 'p', *, case when id % 11 = 0 then 'P' else kind end, id % 97 < 2, -1 - entity - case when id % 13 = 0 then 100 else 0 end from e)"""
+
+
+@query(f"{_TREES}, r as (select side, id, k as type, sha256(k || ' ' || id % 50 || ' ' || name) as h from s where base and not cycle union all select s.side, s.id, k, sha256(k || ' ' || s.id % 50 || ' ' || name || r.h) from s join r on s.side = r.side and s.below = r.id where not base), c as (select s.k as type, h, count(*) filter (where s.side = 'p') as p, count(*) filter (where s.side = 'g') as g from s left join r using (side, id) group by 1, 2), o as (select type, sum(case when h is null then 0 else least(p, g) end) as tp, sum(p) as p, sum(g) as g from c group by 1), a as (select * from o union all select 'micro', sum(tp), sum(p), sum(g) from o) select type, cast(tp as bigint) as tp, cast(p - tp as bigint) as fp, cast(g - tp as bigint) as fn, round(coalesce(tp / nullif(p, 0), 0), 6) as precision, round(coalesce(tp / nullif(g, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(p + g, 0), 0), 6) as fscore from a")
+def eval_nested_events(t):
+    p, g = _side(t, "p"), _side(t, "g")
+    return rounded(refinement.scored(refinement.compared_events(p[:2], g[:2], (p[2], g[2]), ["doc_id"])))
+
+
+@query(f"with {_NESTED}, s as (select 'g' as side, id, kind as k, id % 97 < 2 as cycle, below, -1 - entity as name from e union all select 'p', id, case when id % 11 = 0 then 'P' else kind end, id % 97 < 2, below, -1 - entity - case when id % 13 = 0 then 100 else 0 end from e), a as (select side, id, case when id >= 4 or cycle then case when not cycle then below when id % 97 = 0 then id + 1 else id - 1 end end as target, case when cycle then -3 - id - case when side = 'p' and id % 13 = 0 then 100 else 0 end else name end as name, k from s), h as (select a.side, a.id, a.k as type, case when a.target is not null and x.id is null then null else concat_ws(' ', a.k, a.id % 50, a.name, x.k, x.id % 50) end as h from a left join s x on a.side = x.side and a.target = x.id), c as (select type, h, count(*) filter (where side = 'p') as p, count(*) filter (where side = 'g') as g from h group by 1, 2) select type, cast(sum(case when h is null then 0 else least(p, g) end) as bigint) as tp, cast(sum(p) - sum(case when h is null then 0 else least(p, g) end) as bigint) as fp, cast(sum(g) - sum(case when h is null then 0 else least(p, g) end) as bigint) as fn from c group by 1")
+def eval_core_events(t):
+    p, g = _side(t, "p"), _side(t, "g")
+    return refinement.compared_events(p[:2], g[:2], (p[2], g[2]), ["doc_id"], core=True)
 
 
 @query("select a.n_nationkey || '' as a, b.n_nationkey || '' as b, case when a.n_nationkey < 20 and b.n_nationkey < 20 then a.n_regionkey = b.n_regionkey end as known from nation a join nation b on a.n_nationkey < b.n_nationkey")
