@@ -7,8 +7,10 @@ so a sentence is never split and never meets another one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,33 @@ def token_grams(tokens: str, first: Column, last: Column, most: int = 3, tag: st
     return F.array_distinct(F.filter(F.concat(*runs), lambda x: x.isNotNull()))
 
 
+def token_gram_counts(toks: DataFrame, marks: DataFrame, most: int = 3, tag: str = "") -> DataFrame:
+    """(feature, n): in how many pairs of a sentence's marks each name of ``token_grams`` stands, without making a pair.
+
+    ``marks`` has (sentence, idx); a pair is two of them, and its range holds both.
+    Of the pairs' first ends, those behind one place of a run and not behind the
+    next have this as their first one, and its pairs end at a mark that isn't
+    before its end. So a run's place adds a product of two counts.
+    """
+    inside = Window.partitionBy(*SENTENCE).orderBy("idx")
+    rows = toks.select(*SENTENCE, "idx", "token").join(marks.select(*SENTENCE, "idx", F.lit(1).alias("mark")), [*SENTENCE, "idx"], "left")
+    rows = rows.withColumn("mark", F.coalesce("mark", F.lit(0)))
+    upto = F.sum("mark").over(inside)
+    rows = rows.withColumns({"upto": upto, "ends": F.sum("mark").over(Window.partitionBy(*SENTENCE)) - upto + F.col("mark")})
+    back = lambda c, k: F.lag(c, k).over(inside) if k else F.col(c)
+    runs = []
+    for n in range(1, most + 1):
+        name = F.concat_ws("_", *[back("token", k) for k in range(n - 1, -1, -1)])
+        begins = back("upto", n - 1)
+        same = F.col("mark") if n == 1 else F.lit(0)
+        rows = rows.withColumn(f"run{n}", F.when(begins.isNotNull(), F.struct(name.alias("name"), begins.alias("begins"), same.alias("same"))))
+        runs.append(F.col(f"run{n}"))
+    each = rows.select(*SENTENCE, "idx", "ends", F.explode(F.array(*runs)).alias("r")).where("r is not null").select(*SENTENCE, "idx", "ends", "r.*")
+    before = F.lag("begins", 1, 0).over(Window.partitionBy(*SENTENCE, "name").orderBy("idx"))
+    each = each.withColumn("n", (F.col("begins") - before) * F.col("ends") - F.col("same")).where("n > 0")
+    return each.groupBy(F.concat(F.lit(f"lin_{tag}_text_"), "name").alias("feature")).agg(F.sum("n").alias("n"))
+
+
 def names_covered(names: DataFrame) -> DataFrame:
     """(doc_id, sent, idx) of the tokens inside given names."""
     return names.select(*SENTENCE, F.explode(F.sequence("first", "last")).alias("idx")).distinct()
@@ -338,16 +367,48 @@ def average_vectors(rows: DataFrame, keys: Sequence[str], vector: str, out: str
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias(out))
 
 
+def _region_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The means of a sentence's word vectors before, between and after pairs of its places, as differences of running sums."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            size = batch.column("size")[i].as_py()
+            places = batch.column("places")[i].values.to_numpy(zero_copy_only=False)
+            vectors = batch.column("vectors")[i].values
+            width = len(vectors[0]) if len(vectors) else 0
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(places), width)
+            sums, known = np.zeros((size + 1, width)), np.zeros(size + 1, np.int64)
+            np.add.at(sums, places + 1, flat)
+            np.add.at(known, places + 1, 1)
+            sums, known = sums.cumsum(0), known.cumsum()
+            first, second = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right"))
+            lo, hi = np.minimum(first, second), np.maximum(first, second)
+            for name, x, y in (("fore", np.zeros_like(lo), lo), ("between", np.minimum(lo + 1, hi), hi), ("after", hi + 1, np.full_like(lo, size))):
+                n = known[y] - known[x]
+                some = np.flatnonzero(n > 0)
+                means = ((sums[y] - sums[x])[some] / n[some, None]).ravel()
+                lists = pa.ListArray.from_arrays(np.arange(0, len(means) + 1, max(width, 1), dtype=np.int32)[: len(some) + 1], pa.array(means))
+                key = [pa.repeat(batch.column(c)[i], len(some)) for c in SENTENCE]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(first[some]), pa.array(second[some]), pa.repeat(name, len(some)), lists], names=[*SENTENCE, "left", "right", "region", "vector"])
+
+
 def pair_vectors(toks: DataFrame, pairs: DataFrame, vectors: DataFrame, left: str = "first_a", right: str = "first_b") -> DataFrame:
     """(sentence, left, right, region, vector): mean word vectors before, between and after each stated pair.
 
-    ``vectors`` has (word, vector), words in lower case; words without one don't count.
+    ``vectors`` has (word, vector), words in lower case, all of one length; words
+    without one don't count. Running sums of a sentence's vectors are made once,
+    and a pair's regions are differences of them, however far it reaches. A
+    sentence's vectors and pairs are one row, so a session with long vectors wants
+    fewer rows in an Arrow batch.
     """
-    lo, hi = F.least(left, right), F.greatest(left, right)
-    region = F.when(F.col("idx") < lo, "fore").when(F.col("idx") > hi, "after").otherwise("between")
-    rows = pairs.select(*SENTENCE, left, right).join(toks.select(*SENTENCE, "idx", F.lower("token").alias("word")), SENTENCE).where((F.col("idx") != lo) & (F.col("idx") != hi))
-    known = rows.select(*SENTENCE, left, right, region.alias("region"), "word").join(vectors.select("word", "vector"), "word")
-    return average_vectors(known, [*SENTENCE, left, right, "region"], "vector")
+    found = toks.select(*SENTENCE, "idx", F.lower("token").alias("word")).join(vectors.select("word", F.col("vector").cast("array<double>").alias("vector")), "word", "left")
+    known = F.array_sort(F.collect_list(F.when(F.col("vector").isNotNull(), F.struct("idx", "vector"))))
+    rows = found.groupBy(*SENTENCE).agg((F.max("idx") + 1).cast("int").alias("size"), known.alias("v"))
+    asked = pairs.groupBy(*SENTENCE).agg(F.collect_list(F.struct(F.col(left).cast("int").alias("l"), F.col(right).cast("int").alias("r"))).alias("p"))
+    rows = rows.join(asked, SENTENCE).select(
+        *[F.col(c).cast("long").alias(c) for c in SENTENCE], "size", F.col("v.idx").cast("array<int>").alias("places"), F.col("v.vector").alias("vectors"), F.col("p.l").alias("left"), F.col("p.r").alias("right")
+    )
+    schema = "doc_id long, sent long, left long, right long, region string, vector array<double>"
+    return rows.mapInArrow(_region_means, schema).withColumnsRenamed({"left": left, "right": right})
 
 
 def phrase_examples(phrases: DataFrame, entities: DataFrame) -> DataFrame:

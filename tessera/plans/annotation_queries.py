@@ -177,13 +177,15 @@ def corpus_type_counts(t):
     return corpora.type_counts(marked, ents.withColumn("ent_id", F.col("ent_id").cast("string")), KEY)
 
 
-_ARGS = "select l_orderkey as event, l_linenumber as place, case l_returnflag when 'R' then 'Site' when 'A' then 'Theme' else 'Cause' end as type, l_suppkey % 4 as target from lineitem where l_linenumber <= 3"
+_ARGS = "select distinct l_orderkey as event, l_linenumber * 1000000 + l_partkey as place, case l_returnflag when 'R' then 'Site' when 'A' then 'Theme' else 'Cause' end as type, l_suppkey % 10 as target from lineitem"
 
 
-@query(f"with a as ({_ARGS}), s as (select * from a where type = 'Site'), c as (select *, count(*) over (partition by event) as cores from a where type <> 'Site'), p as (select n_nationkey as target, n_regionkey as parent from nation) select s.event, min(s.place) as site, c.place as site_of from s join c using (event) where c.cores = 1 group by 1, 3")
+@query(f"with recursive a as ({_ARGS}), m as (select event, list({{'place': place, 'target': target}} order by place, type, target) as mains from a where type <> 'Site' group by 1), s as (select *, row_number() over (partition by event order by place, type, target) as k from a where type = 'Site'), p as (select target, list(distinct parent) as parents from (select n_nationkey as target, n_regionkey as parent from nation union all select n_nationkey, n_nationkey * 3 % 10 from nation) group by 1), x as (select s.event, s.place, k, len(mains) = 1 as alone, list_transform(list_filter(mains, lambda y: len(mains) = 1 or list_contains(coalesce(parents, []), y.target)), lambda y: y.place) as fits from s join m using (event) left join p using (target)), r as (select event, 0 as k, cast([] as bigint[]) as taken, cast(null as bigint) as site, cast(null as bigint) as site_of from m union all select r.event, x.k, case when len(list_filter(fits, lambda y: not list_contains(taken, y))) > 0 then list_append(taken, list_filter(fits, lambda y: not list_contains(taken, y))[1]) else taken end, x.place, list_filter(fits, lambda y: not list_contains(taken, y))[1] from r join x on r.event = x.event and x.k = r.k + 1) select event, site, site_of from r where site_of is not null")
 def corpus_sites(t):
-    args = t("lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("place"), F.when(F.col("l_returnflag") == "R", "Site").when(F.col("l_returnflag") == "A", "Theme").otherwise("Cause").alias("type"), (F.col("l_suppkey") % 4).alias("target"))
-    parents = t("nation").where("n_nationkey > 100").select(F.col("n_nationkey").alias("target"), F.col("n_regionkey").alias("parent"))
+    kind = F.when(F.col("l_returnflag") == "R", "Site").when(F.col("l_returnflag") == "A", "Theme").otherwise("Cause")
+    args = t("lineitem").select(F.col("l_orderkey").alias("event"), (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("place"), kind.alias("type"), (F.col("l_suppkey") % 10).alias("target")).distinct()
+    n = F.col("n_nationkey")
+    parents = t("nation").select(n.cast("long").alias("target"), F.explode(F.array(F.col("n_regionkey").cast("long"), (n * 3 % 10).cast("long"))).alias("parent"))
     return corpora.sites_of(args, parents)
 
 

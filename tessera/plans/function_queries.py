@@ -75,13 +75,11 @@ def feature_order(t):
     return found.where("feature not like '%!_POS!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query(f"with p as (select doc_id, sent, first_a as a, first_b as b from ({PAIRS}) where distance <= 3), t as ({TOK}), g as (select p.doc_id, p.sent, p.a, p.b, x.idx, x.token as g1, y.token || '_' || x.token as g2, z.token || '_' || y.token || '_' || x.token as g3 from p join t x on p.doc_id = x.doc_id and p.sent = x.sent and x.idx between p.a and p.b left join t y on p.doc_id = y.doc_id and p.sent = y.sent and y.idx = x.idx - 1 and y.idx >= p.a left join t z on p.doc_id = z.doc_id and p.sent = z.sent and z.idx = x.idx - 2 and z.idx >= p.a) select 'lin__text_' || f as feature, count(*) as n from (select distinct doc_id, sent, a, b, unnest([g1, g2, g3]) as f from g) where f is not null group by 1")
+@query(f"with t as (select t.*, case when c.first is null then 0 else 1 end as mark from ({TOK}) t left join ({CAPS}) c on t.doc_id = c.doc_id and t.sent = c.sent and t.idx = c.first), u as (select *, sum(mark) over w as upto, sum(mark) over (partition by doc_id, sent) - sum(mark) over w + mark as ends, lag(token) over w as t1, lag(token, 2) over w as t2 from t window w as (partition by doc_id, sent order by idx)), s as (select *, lag(upto) over w as u1, lag(upto, 2) over w as u2 from u window w as (partition by doc_id, sent order by idx)), g as (select doc_id, sent, idx, ends, token as name, upto as begins, mark as same from s union all select doc_id, sent, idx, ends, t1 || '_' || token, u1, 0 from s where u1 is not null union all select doc_id, sent, idx, ends, t2 || '_' || t1 || '_' || token, u2, 0 from s where u2 is not null), n as (select name, (begins - coalesce(lag(begins) over (partition by doc_id, sent, name order by idx), 0)) * ends - same as n from g) select 'lin__text_' || name as feature, cast(sum(n) as bigint) as n from n where n > 0 group by 1")
 def feature_token_grams(t):
-    rows = text.token_arrays(text.sentences(t("documents")))
-    near = text.pairs(text.capitalised(_tokens(t).select("doc_id", "sent", "idx", "token"))).where("distance <= 3")
-    both = near.select(*KEY, "first_a", "first_b").join(rows, KEY)
-    found = both.select(F.explode(features.token_grams("tokens", F.col("first_a"), F.col("first_b"))).alias("feature"))
-    return found.groupBy("feature").agg(F.count("*").alias("n"))
+    toks = _tokens(t).select("doc_id", "sent", "idx", "token")
+    marks = text.capitalised(toks).select("doc_id", "sent", F.col("first").alias("idx"))
+    return features.token_gram_counts(toks, marks)
 
 
 @query("select label, i as place, round(avg(x), 5) as mean from (select label, unnest(range(len(embedding))) as i, unnest(embedding) as x from embeddings) group by 1, 2")
@@ -90,13 +88,13 @@ def vec_averages(t):
     return rounded(rows.select("label", F.posexplode("vector").alias("place", "mean")).withColumn("place", F.col("place").cast("long")), 5)
 
 
-@query(f"with v as (select lower(token) as word, [cast(length(token) as double), 1.0] as vector from ({TOK}) group by 1, length(token)), p as (select doc_id, sent, first_a, first_b from ({PAIRS}) where distance <= 3) select p.doc_id, p.sent, first_a, first_b, case when t.idx < first_a then 'fore' when t.idx > first_b then 'after' else 'between' end as region, round(avg(length(t.token)), 6) as size from p join ({TOK}) t on p.doc_id = t.doc_id and p.sent = t.sent and t.idx not in (first_a, first_b) group by all")
+@query(f"with t as (select doc_id, sent, idx, length(token) as size, sum(length(token)) over (partition by doc_id, sent order by idx) as upto, sum(length(token)) over (partition by doc_id, sent) as total, count(*) over (partition by doc_id, sent) as n from ({TOK})), p as (select a.doc_id, a.sent, a.idx as a, b.idx as b, a.n, [a.upto - a.size, b.upto - b.size - a.upto, a.total - b.upto] as sums from ({PAIRS}) p join t a on p.doc_id = a.doc_id and p.sent = a.sent and a.idx = first_a join t b on p.doc_id = b.doc_id and p.sent = b.sent and b.idx = first_b), r as (select doc_id, sent, unnest(['fore', 'between', 'after']) as region, unnest(sums) as s, unnest([a, b - a - 1, n - 1 - b]) as n from p) select doc_id, sent, region, count(*) as pairs, round(sum(s / n), 3) as size from r where n > 0 group by 1, 2, 3")
 def vec_regions(t):
     toks = _tokens(t).select("doc_id", "sent", "idx", "token")
     words = toks.select(F.lower("token").alias("word")).distinct().withColumn("vector", F.array(F.length("word").cast("double"), F.lit(1.0)))
-    near = text.pairs(text.capitalised(toks)).where("distance <= 3")
-    rows = features.pair_vectors(toks, near, words)
-    return rounded(rows.select(*KEY, "first_a", "first_b", "region", F.get("vector", F.lit(0)).alias("size")))
+    rows = features.pair_vectors(toks, text.pairs(text.capitalised(toks)), words)
+    rows = rows.groupBy(*KEY, "region").agg(F.count("*").alias("pairs"), F.sum(F.get("vector", F.lit(0))).alias("size"))
+    return rounded(rows, 3)
 
 
 @query("with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 5) as similarity from u a join u b on b.vec_id = a.vec_id + 1")
@@ -121,16 +119,18 @@ def example_matrix(t):
     return features.matrix_cells(toks, _chain(toks)).select(*KEY, "i", "j", F.array_join("features", " ").alias("cell"))
 
 
-_ROLES = "select l_orderkey as doc_id, case l_returnflag when 'R' then 'Theme' when 'A' then 'Cause' else 'Site' end as role, l_linenumber as arg from lineitem where l_linenumber <= 4"
+_ROLES = "select distinct l_orderkey as doc_id, case l_returnflag when 'R' then 'Theme' when 'A' then 'Cause' else 'Site' end as role, l_linenumber as arg from lineitem"
 
 
-@query(f"with r as (select doc_id, count(distinct arg) filter (where role = 'Theme') as th, count(distinct arg) filter (where role = 'Cause') as ca from ({_ROLES}) group by 1) select doc_id, th * (1 + ca) as n from r where th > 0")
+@query(f"with r as ({_ROLES}), th as (select doc_id, arg from r where role = 'Theme'), ca as (select doc_id, arg from r where role = 'Cause'), g as (select doc_id, case when doc_id % 2 = 1 and c is not null then 'Cause:' || c || ',' else '' end || 'Theme:' || t as arguments from (select doc_id, min(arg) as t from th group by 1) left join (select doc_id, min(arg) as c from ca group by 1) using (doc_id)), m as (select doc_id, 'Theme:' || arg as arguments from th union all select th.doc_id, 'Cause:' || ca.arg || ',Theme:' || th.arg from th join ca using (doc_id)) select m.doc_id, m.arguments, case when g.doc_id is null then 'neg' else 'Reg' end as class from m left join g using (doc_id, arguments)")
 def example_unmerging(t):
     role = F.when(F.col("l_returnflag") == "R", "Theme").when(F.col("l_returnflag") == "A", "Cause").otherwise("Site")
-    rows = t("lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("doc_id"), F.lit("t").alias("trigger"), F.lit("Reg").alias("type"), role.alias("role"), F.col("l_linenumber").cast("string").alias("arg"))
-    gold = rows.where("false").select("doc_id", "trigger", F.array("arg").alias("arguments"))
-    made = structure.unmerging_examples(rows, gold, lambda kind: {"Theme": (1, 1), "Cause": (0, 1)})
-    return made.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("t").alias("trigger"), F.lit("Reg").alias("type"), role.alias("role"), F.col("l_linenumber").cast("string").alias("arg"))
+    first = lambda kind: F.min(F.when(F.col("role") == kind, F.concat_ws(":", "role", "arg")))
+    gold = rows.groupBy("doc_id", "trigger").agg(first("Theme").alias("th"), first("Cause").alias("ca")).where("th is not null")
+    chosen = F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 1, F.col("ca")), F.col("th")))
+    made = structure.unmerging_examples(rows, gold.select("doc_id", "trigger", chosen.alias("arguments")), lambda kind: {"Theme": (1, 1), "Cause": (0, 1)})
+    return made.select("doc_id", F.array_join("arguments", ",").alias("arguments"), "class")
 
 
 @query("select o_orderkey as event, x.a || ',' || y.b as arguments from orders join (select n_nationkey as k, unnest([n_nationkey, n_nationkey + 100]) as a from nation) x on x.k = o_custkey % 25 join (select n_nationkey as k, n_nationkey as b from nation) y on y.k = o_orderkey % 25 where o_custkey % 25 <> o_orderkey % 25")

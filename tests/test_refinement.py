@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import refinement
+from pyspark.sql import functions as F
+
+from tessera.operators import features, refinement
 
 NODES = "doc_id long, id long, label string"
 ARGS = "doc_id long, id long, role string, arg long"
@@ -87,3 +89,35 @@ def test_no_events(spark):
     assert refinement.keepers(nodes, args, ["doc_id"]).count() == 0
     events = spark.createDataFrame([], "doc_id long, id long, type string, span string")
     assert refinement.digests(events, args, events, ["doc_id"]).count() == 0
+
+
+def test_gram_counts_are_those_of_all_pairs(spark):
+    rng = random.Random(2)
+    sents = [(d, rng.choices(["a", "b", "_", "c"], k=rng.randint(1, 14))) for d in range(30)]
+    marks = {d: sorted(rng.sample(range(len(w)), rng.randint(0, len(w)))) for d, w in sents}
+    toks = spark.createDataFrame([(d, 0, i, x) for d, w in sents for i, x in enumerate(w)], "doc_id long, sent long, idx int, token string")
+    at = spark.createDataFrame([(d, 0, i) for d, m in marks.items() for i in m], "doc_id long, sent long, idx int")
+    rows = spark.createDataFrame([(w, a, b) for d, w in sents for a in marks[d] for b in marks[d] if a < b], "tokens array<string>, a int, b int")
+    each = rows.select(F.explode(features.token_grams("tokens", F.col("a"), F.col("b"))).alias("f"))
+    found = {r.feature: r.n for r in features.token_gram_counts(toks, at).collect()}
+    assert found == Counter(r.f for r in each.collect())
+
+
+def test_region_means_of_pairs(spark):
+    rng = random.Random(7)
+    words = {w: [rng.random(), rng.random(), 1.0] for w in "abc"}
+    sents = {d: rng.choices("abcx", k=rng.randint(1, 9)) for d in range(12)}
+    pairs = [(d, 0, *rng.choices(range(len(w)), k=2)) for d, w in sents.items() for _ in range(3)]
+    toks = spark.createDataFrame([(d, 0, i, x.upper()) for d, w in sents.items() for i, x in enumerate(w)], "doc_id long, sent long, idx int, token string")
+    vectors = spark.createDataFrame(list(words.items()), "word string, vector array<double>")
+    asked = spark.createDataFrame(pairs, "doc_id long, sent long, first_a int, first_b int")
+    want = Counter()
+    for d, _, a, b in pairs:
+        lo, hi = min(a, b), max(a, b)
+        for region, part in (("fore", sents[d][:lo]), ("between", sents[d][lo + 1 : hi]), ("after", sents[d][hi + 1 :])):
+            known = [words[w] for w in part if w in words]
+            if known:
+                want[d, a, b, region, tuple(round(sum(x) / len(known), 9) for x in zip(*known, strict=True))] += 1
+    found = features.pair_vectors(toks, asked, vectors).collect()
+    assert Counter((r.doc_id, r.first_a, r.first_b, r.region, tuple(round(x, 9) for x in r.vector)) for r in found) == want
+    assert features.pair_vectors(toks, asked, vectors.where("false")).count() == 0
