@@ -109,16 +109,18 @@ def _within(frame: pd.DataFrame, block: str | None) -> float:
     return excess(frame) - (sum(excess(part) for _, part in frame.groupby(block)) if block else 0.0)
 
 
-def kendall(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFrame:
     """(tau, n): tau-b, from the table of counts of the two columns' values.
 
     Both columns are cut into blocks at quantiles. Pairs in different blocks of
     both are counted from the small table of block sizes, pairs in one block of x
     inside that block, and the rest inside the blocks of y; each by merging, so
-    no pairs of rows or values are made.
+    no pairs of rows or values are made. There are 64 blocks, and 1024 at most,
+    so many that one has some 100,000 cells of the table.
     """
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cells = cells.agg(F.count("*").cast("double").alias("n"))
+    cells = settled(cells.agg(F.count("*").cast("double").alias("n")))
+    blocks = blocks or min(1024, max(64, cells.count() // 100_000))
     for c in ("x", "y"):
         edges = sorted(set(cells.approxQuantile(c, [i / blocks for i in range(1, blocks)], 0.2 / blocks)))
         value = F.col(c)

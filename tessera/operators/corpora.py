@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import ranked
+
 SENT = ("sent_id",)
 
 
@@ -98,14 +100,10 @@ def retyped(df: DataFrame, rules: Mapping[str, Mapping[str, object]]) -> DataFra
 
 def catenated(parts: Sequence[DataFrame], doc: str = "doc_id", origin: str = "part") -> DataFrame:
     """Corpora one after the other; documents are numbered anew as ``origin.dN``, by part and then by old id."""
-    rows = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
-    docs = rows.select("_part", doc).distinct()
-    docs = docs.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(doc)) - 1)
-    sizes = docs.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.join(F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))), "_part")
-    new = docs.select("_part", doc, F.concat(F.lit(f"{origin}.d"), (F.col("_start") + F.col("_n")).cast("string")).alias("_new"))
-    return rows.join(new, ["_part", doc]).withColumn(doc, F.col("_new")).drop("_part", "_new")
+    rows = reduce(DataFrame.unionByName, [p.withColumn("_corpus", F.lit(i)) for i, p in enumerate(parts)])
+    docs = ranked(rows.select("_corpus", doc).distinct(), ["_corpus", doc], "_n")
+    new = docs.select("_corpus", doc, F.concat(F.lit(f"{origin}.d"), F.col("_n").cast("string")).alias("_new"))
+    return rows.join(new, ["_corpus", doc]).withColumn(doc, F.col("_new")).drop("_corpus", "_new")
 
 
 def merged_sets(parts: Mapping[str, DataFrame], allow_none: bool = False) -> DataFrame:

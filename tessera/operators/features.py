@@ -115,6 +115,28 @@ def order_features(tokens: str, tags: str, names: str, reach: int = 3, tag: str
     return F.transform(arr, lambda _, i: F.filter(F.concat(*[near(i, k) for k in shifts]), lambda x: x.isNotNull()))
 
 
+def neighbour_counts(rows: DataFrame, tokens: str, reach: int = 3, first: bool = False, tags: str | None = None, names: str | None = None, tag: str = "") -> DataFrame:
+    """(feature, n): how many tokens have each name of ``linear_in_row``, or with ``first`` of ``order_features``.
+
+    A token is a neighbour at distance k of one token if there is one k places
+    before it, whatever that is. So tokens are counted by text and by how many
+    places there are on both sides, up to ``reach``; names are made of the counts.
+    """
+    last = F.size(tokens) - 1
+    each = rows.select(last.alias("last"), F.posexplode(F.arrays_zip(*[F.col(c).alias(a) for c, a in ((tokens, "t"), (tags, "p"), (names, "g")) if c])).alias("i", "x"))
+    given = F.col("x.g") if names else F.lit(False)
+    text = F.when(given, F.lit("NAMED_ENT")).otherwise(F.col("x.t"))
+    each = each.where(F.lit(True) if first else F.col("i") > 0)
+    counts = each.groupBy(
+        text.alias("t"), (F.col("x.p") if tags else F.lit(None).cast("string")).alias("p"), given.alias("g"), F.least("i", F.lit(reach)).alias("before"), F.least(F.col("last") - F.col("i"), F.lit(reach)).alias("after")
+    ).agg(F.count("*").alias("n"))
+    shifts = F.filter(F.sequence(-F.col("after"), F.col("before")), lambda k: k != 0)
+    at = counts.where("before + after > 0").select("t", "p", "g", "n", F.explode(shifts).alias("k"))
+    head = F.concat(F.lit(f"{tag}linear_"), F.when(F.col("k") > 0, "+").otherwise(""), F.col("k").cast("string"), F.lit("_"))
+    parts = F.array(F.concat(head, F.lit("txt_"), "t"), F.concat(head, F.lit("POS_"), "p"), F.when(F.col("g"), F.concat(head, F.lit("given"))))
+    return at.select(F.explode(F.array_compact(parts)).alias("feature"), "n").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
 def token_grams(tokens: str, first: Column, last: Column, most: int = 3, tag: str = "") -> Column:
     """Names of the runs of up to ``most`` tokens that end at each place of a range and don't begin before it, each once."""
     arr = F.col(tokens)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a range that is sorted in one task.
+RANGE_ROWS = 1_000_000
+
+
 def fraction(key: str, seed: int = 0) -> Column:
     """A number in [0, 1) from an integer key and a seed."""
     return F.pmod(F.pmod(F.col(key), F.lit(1_000_003)) * 2654435761 + seed * 97, F.lit(1000)) / 1000.0
@@ -89,11 +93,12 @@ def stratified(df: DataFrame, key: str, stratum: str, cutoffs: list[tuple[str, f
     """Column ``set``: the shares of every stratum's rows as near the cutoffs' as whole rows allow.
 
     Rows are placed inside their stratum by a hash of the key; the place of a
-    row among its stratum's, centred, falls below a cutoff. A large stratum is
-    cut into 64 hash ranges first, so that no task sorts all of it.
+    row among its stratum's, centred, falls below a cutoff. A stratum is cut into
+    hash ranges of at most some ``RANGE_ROWS`` rows, so that no task sorts all of it.
     """
     hashed = F.pmod(F.col(key) * 7919, F.lit(1_000_003)) * 1_000_000_007 + F.col(key)
-    rows = df.withColumn("_h", hashed).withColumn("_b", F.floor(F.pmod(F.col(key) * 7919, F.lit(1_000_003)) / 1_000_003 * 64))
+    ranges = max(64, df.count() // RANGE_ROWS)
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.floor(F.pmod(F.col(key) * 7919, F.lit(1_000_003)) / 1_000_003 * ranges))
     sizes = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_m"))
     by = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_start", F.coalesce(F.sum("_m").over(by), F.lit(0))).withColumn("_n", F.sum("_m").over(Window.partitionBy(stratum))).drop("_m")

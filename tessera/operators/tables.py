@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lineage import settled
 
-#: Buckets of a distributed running sum.
-BUCKETS = 256
 
 
 def match_all(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -66,20 +64,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def running(df: DataFrame, by: str, weight: str, out: str) -> DataFrame:
-    """``out``: sum of ``weight`` over the rows with a smaller ``by``; ``by`` must be unique and numeric.
+    """``out``: sum of ``weight`` over the rows with a smaller ``by``; ``by`` must be unique.
 
-    Rows are cut into buckets at approximate quantiles, the buckets' sums are
-    accumulated, and only a bucket is ever sorted in one task.
+    Rows are cut into as many ranges as the session has shuffle partitions, which
+    are sorted apart; only the ranges' sums meet in one task.
     """
-    edges = sorted(set(df.approxQuantile(by, [i / BUCKETS for i in range(1, BUCKETS)], 1 / BUCKETS)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(by))) if edges else F.lit(0)
-    rows = df.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_bucket").agg(F.sum(weight).alias("_bucket_sum"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_bucket", F.coalesce(F.sum("_bucket_sum").over(before), F.lit(0)).alias("_bucket_start"))
-    inside = Window.partitionBy("_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return rows.join(F.broadcast(sums), "_bucket").withColumn(out, F.col(out) + F.col("_bucket_start")).drop("_bucket", "_bucket_start")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = settled(df.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()))  # ranges must not move between uses
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_part").agg(F.sum(weight).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return rows.join(F.broadcast(sums), "_part").withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")
 
 
 def ranked(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:

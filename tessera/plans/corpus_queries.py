@@ -36,9 +36,10 @@ def example_triggers(t):
 @query(f"with t as ({TOK}), l as (select idx, token, unnest([-3, -2, -1, 1, 2, 3]) as k, unnest([lag(token, 3) over w, lag(token, 2) over w, lag(token, 1) over w, lead(token, 1) over w, lead(token, 2) over w, lead(token, 3) over w]) as near from t window w as (partition by doc_id, sent order by idx)) select case when k > 0 then 'linear_+' else 'linear_' end || k || '_txt_' || near as feature, count(*) as n from l where near is not null and idx + k > 0 group by 1 union all select case when idx > 0 and regexp_matches(token, '^\\p{{Lu}}') then 'upper_case_start' end as feature, count(*) from t group by 1 having feature is not null union all select 'upper_case_middle', count(*) from t where regexp_matches(token, '^.+\\p{{Lu}}') having count(*) > 0 union all select 'has_digits', count(*) from t where regexp_matches(token, '\\p{{Nd}}') having count(*) > 0")
 def feature_linear(t):
     rows = text.token_arrays(text.sentences(t("documents")))
-    flags = F.flatten(F.transform("tokens", features.flags))
-    rows = rows.select(F.explode(F.concat(features.linear_in_row("tokens"), flags)).alias("feature"))
-    return rows.where("feature like 'linear%' or feature in ('upper_case_start', 'upper_case_middle', 'has_digits')").groupBy("feature").agg(F.count("*").alias("n"))
+    # the flags of a token depend on its text and on whether it opens the sentence
+    words = rows.select(F.posexplode("tokens").alias("i", "t")).groupBy("t", F.least("i", F.lit(1)).alias("i")).agg(F.count("*").alias("n"))
+    flags = words.select(F.explode(features.flags(F.col("t"), F.col("i"))).alias("feature"), "n").where("feature in ('upper_case_start', 'upper_case_middle', 'has_digits')")
+    return features.neighbour_counts(rows, "tokens").unionByName(flags.groupBy("feature").agg(F.sum("n").alias("n")))
 
 
 @query(f"with t as (select token from ({TOK})), g as (select token, unnest(list_distinct(list_transform(range(1, length(token)), lambda i: 'dt_' || lower(substr(token, i, 2))))) as feature from t where length(token) >= 2 union all select token, unnest(list_distinct(list_transform(range(1, length(token) - 1), lambda i: 'tt_' || lower(substr(token, i, 3))))) from t where length(token) >= 3) select feature, count(*) as n from g group by 1")

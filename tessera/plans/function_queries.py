@@ -70,9 +70,7 @@ def text_predicates(t):
 def feature_order(t):
     rows = text.token_arrays(text.sentences(t("documents")))
     caps = F.transform("tokens", lambda x, i: (i > 0) & x.rlike("^[A-Z]"))  # names are the runs of these
-    rows = text.held(rows.withColumns({"tags": F.transform("tokens", lambda _: F.lit("X")), "given": caps}))
-    found = rows.select(F.explode(F.flatten(features.order_features("tokens", "tags", "given", 2))).alias("feature"))
-    return found.where("feature not like '%!_POS!_%' escape '!'").groupBy("feature").agg(F.count("*").alias("n"))
+    return features.neighbour_counts(text.held(rows.withColumn("given", caps)), "tokens", 2, first=True, names="given")
 
 
 @query(f"with t as (select t.*, case when c.first is null then 0 else 1 end as mark from ({TOK}) t left join ({CAPS}) c on t.doc_id = c.doc_id and t.sent = c.sent and t.idx = c.first), u as (select *, sum(mark) over w as upto, sum(mark) over (partition by doc_id, sent) - sum(mark) over w + mark as ends, lag(token) over w as t1, lag(token, 2) over w as t2 from t window w as (partition by doc_id, sent order by idx)), s as (select *, lag(upto) over w as u1, lag(upto, 2) over w as u2 from u window w as (partition by doc_id, sent order by idx)), g as (select doc_id, sent, idx, ends, token as name, upto as begins, mark as same from s union all select doc_id, sent, idx, ends, t1 || '_' || token, u1, 0 from s where u1 is not null union all select doc_id, sent, idx, ends, t2 || '_' || t1 || '_' || token, u2, 0 from s where u2 is not null), n as (select name, (begins - coalesce(lag(begins) over (partition by doc_id, sent, name order by idx), 0)) * ends - same as n from g) select 'lin__text_' || name as feature, cast(sum(n) as bigint) as n from n where n > 0 group by 1")

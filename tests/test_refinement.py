@@ -121,3 +121,13 @@ def test_region_means_of_pairs(spark):
     found = features.pair_vectors(toks, asked, vectors).collect()
     assert Counter((r.doc_id, r.first_a, r.first_b, r.region, tuple(round(x, 9) for x in r.vector)) for r in found) == want
     assert features.pair_vectors(toks, asked, vectors.where("false")).count() == 0
+
+
+def test_neighbour_counts_are_those_of_every_token(spark):
+    rng = random.Random(12)
+    rows = [([rng.choice("abcd") for _ in range(k)], [rng.random() < 0.3 for _ in range(k)], ["x"] * k) for k in (0, 1, 2, 3, 5, 9, 14)]
+    df = spark.createDataFrame(rows, "tokens array<string>, given array<boolean>, tags array<string>")
+    every = lambda c: Counter(r.f for r in df.select(F.explode(c).alias("f")).collect())
+    counted = lambda *a, **k: {r.feature: r.n for r in features.neighbour_counts(df, "tokens", *a, **k).collect()}
+    assert counted(3) == every(features.linear_in_row("tokens", 3))
+    assert counted(2, first=True, tags="tags", names="given") == every(F.flatten(features.order_features("tokens", "tags", "given", 2)))
