@@ -8,6 +8,7 @@ session names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -70,9 +71,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete results of ``durable`` that no later step reads: what was made of them is written itself."""
+    """Delete results of ``durable`` that no later step reads: what was made of them is written itself.
+
+    Spark deletes the shuffle files and broadcasts of the jobs before once the
+    driver has collected their handles. In a long chain of steps that comes late,
+    with a full heap, so it is asked for here.
+    """
     for df in tables:
         _delete(df.sparkSession, df.written_at)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
