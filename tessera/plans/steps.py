@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import alignment
-from tessera.operators import corpora, features, sets, structure, tables, text
+from tessera.operators import corpora, dictionary, features, graphs, sets, structure, tables, text
 from tessera.sources import corpus, formats, parses
 
 Step = Callable[..., DataFrame]
 
 STEPS: dict[str, Step] = {
     "SPLIT_SENTENCES": text.sentences,
+    "SPLIT_BY_RULE": text.split_sentences,
     "TOKENIZE": text.tokens,
     "FIND_NAMES": text.capitalised,
     "MAKE_PAIRS": text.pairs,
@@ -30,13 +31,19 @@ STEPS: dict[str, Step] = {
     "REMOVE_ANALYSES": lambda df: df.withColumn("sentence", F.transform("sentence", lambda s: s.dropFields("analyses"))),
     "REMOVE_HEADS": lambda df, column="head": corpora.without_attributes(df, column),
     "REMOVE_DOCUMENT_TEXTS": lambda df: corpora.without_attributes(df, "text"),
-    "MERGE_SETS": lambda df, others: corpora.merged_sets({"": df, **others}),
+    "MERGE_SETS": lambda df, others, name, allow_none=False: corpora.merged_sets({name: df, **others}, allow_none),
     "CATENATE": lambda df, others: corpora.catenated([df, *others]),
     "IMPORT_PARSE": parses.imported,
     "FIND_HEADS": alignment.heads,
     "ANALYZE_STRUCTURE": sets.schema_ranges,
     "VALIDATE": lambda df, **rules: structure.validate(df, **rules)[0],
     "REMOVE_UNCONNECTED": corpora.unconnected_removed,
+    "MERGE_ENTITIES": lambda df, relations: structure.deduplicated(df, relations)[0],
+    "MERGE_EVENTS": lambda df, group: df.join(graphs.unique_events(df, group).where("event = keeper").select(group, "event"), [group, "event"], "left_semi"),
+    "MERGE_DEPENDENCIES": corpora.unique_dependencies,
+    "EXTEND_TRIGGERS": corpora.extended,
+    "GROW_EVENTS": structure.grown_events,
+    "FIND_TERMS": dictionary.matches,
     "EXPORT": parses.conll_lines,
     "EXPORT_STFORMAT": formats.standoff_lines,
     "EXPORT_JSON": formats.json_lines,

@@ -42,3 +42,14 @@ def test_steps(spark):
     assert gone == 1
     with pytest.raises(KeyError):
         steps.run(docs, ["NOTHING"])
+
+
+def test_steps_that_merge(spark):
+    own = spark.createDataFrame([(1, "train"), (2, None)], "id long, set string")
+    other = spark.createDataFrame([(3, None)], "id long, set string")
+    merged = steps.run(own, ["MERGE_SETS"], {"MERGE_SETS": {"name": "train", "others": {"devel": other}, "allow_none": True}})
+    assert {(r.id, r.set) for r in merged.collect()} == {(1, "train"), (2, "train"), (3, "devel")}
+    events = spark.createDataFrame([(0, 1, "A", []), (0, 2, "A", []), (0, 3, "B", [1]), (0, 4, "B", [2])], "g int, event long, kind string, arguments array<long>")
+    assert {r.event for r in steps.run(events, ["MERGE_EVENTS"], {"MERGE_EVENTS": {"group": "g"}}).collect()} == {1, 3}
+    docs = spark.createDataFrame([(1, "One here. Two there.")], "doc_id long, text string")
+    assert [r.text for r in steps.run(docs, ["SPLIT_BY_RULE"]).orderBy("sent").collect()] == ["One here.", "Two there."]
