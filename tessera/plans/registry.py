@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import intervals, statistics
-from tessera.operators import evaluation, graphs, sets, tables, text, vectors
+from tessera.operators import evaluation, graphs, partials, sets, tables, text, vectors
 from tessera.plans import annotation_queries, corpus_queries, format_queries, function_queries, statistics_queries
 from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
 from tessera.plans.register import QUERIES, SQL, query, rounded
@@ -88,8 +88,9 @@ def stat_describe(t):
 @query("select p_brand, round(exp(avg(ln(p_retailprice))), 6) as geometric, round(count(*) / sum(1 / p_retailprice), 6) as harmonic, round(100 * stddev_pop(p_retailprice) / avg(p_retailprice), 6) as variation, round(median(p_retailprice), 6) as median from part group by p_brand")
 def stat_means(t):
     x = "p_retailprice"
-    out = [statistics.geometric_mean(x).alias("geometric"), statistics.harmonic_mean(x).alias("harmonic"), statistics.variation(x).alias("variation"), F.median(x).alias("median")]
-    return rounded(t("part").groupBy("p_brand").agg(*out))
+    out = [statistics.geometric_mean(x).alias("geometric"), statistics.harmonic_mean(x).alias("harmonic"), statistics.variation(x).alias("variation")]
+    means = t("part").groupBy("p_brand").agg(*out)
+    return rounded(means.join(partials.quantiles(t("part"), ["p_brand"], x, {"median": 0.5}), "p_brand"))
 
 
 @query("select l_quantity as value, count(*) as n from lineitem group by 1")
