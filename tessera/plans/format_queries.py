@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import shared_folder
+from tessera.operators.lineage import settled, shared_folder
 from tessera.plans.annotation_queries import KEY, _chain, _entities, _links, _tokens
 from tessera.plans.fragments import CAPS, PAIRS, SENT, TOK
 from tessera.plans.register import query
-from tessera.sources import archives, corpus, exports, formats, parses
+from tessera.sources import archives, conversion, corpus, exports, formats, parses
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -164,6 +164,35 @@ def source_standoff(t):
     return rows.groupBy("id", "type", b.alias("b"), e.alias("e")).agg(F.count("*").alias("n"))
 
 
+# events of up to three share a trigger; they nest in those of a quarter of their number
+@query("with e as (select o_custkey as doc, o_orderkey as id, o_orderstatus as type, o_orderkey % 50 as place from orders), d as (select e.doc, e.type, e.place, count(*) as events, count(i.id) as nested, count(*) filter (where e.id % 5 = 0) as negated from e left join e i on i.id = e.id // 4 and i.doc = e.doc and e.id >= 4 group by 1, 2, 3) select doc, type, place, events, 1 as triggers, events + nested as arguments, nested, negated from d")
+def source_conversion(t):
+    o = t("orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("type"), (F.col("o_orderkey") % 50).alias("place"))
+    inner = o.select("doc", F.col("id").alias("up"))
+    o = o.withColumn("up", F.when(F.col("id") >= 4, F.expr("id div 4"))).join(inner.withColumn("has", F.lit(True)), ["doc", "up"], "left")
+    name = lambda letter, *c: F.concat(F.lit(letter), *[F.col(x).cast("string") for x in c])
+    span = F.array(F.struct(F.col("place").cast("int").alias("b"), (F.col("place") + 1).cast("int").alias("e")))
+    ref = lambda role, target: F.struct(F.lit(role).alias("role"), target.alias("target"))
+    args = F.array_compact(F.array(ref("Cause", F.lit("T0")), F.when(F.col("has"), ref("Theme", name("E", "up")))))
+    nothing = {"spans": dict(o.select(span.alias("s")).dtypes)["s"], "text": "string", "trigger": "string", "arguments": conversion.ARGUMENTS}
+
+    def rows(df, kind, ident, kind_of, **cells):
+        return df.select("doc", ident.alias("id"), F.lit(kind).alias("kind"), kind_of.alias("type"), *[cells.get(c, F.lit(None)).cast(k).alias(c) for c, k in nothing.items()])
+
+    lines = rows(o.select("doc", "type", "place").distinct(), "T", name("T", "type", "place"), F.col("type"), spans=span, text=F.lit("x"))
+    lines = lines.unionByName(rows(o.select("doc").distinct(), "T", F.lit("T0"), F.lit("Name"), spans=F.array(F.struct(F.lit(900).alias("b"), F.lit(901).alias("e"))), text=F.lit("n")))
+    lines = lines.unionByName(rows(o, "E", name("E", "id"), F.col("type"), trigger=name("T", "type", "place"), arguments=args))
+    lines = lines.unionByName(rows(o.where("id % 5 = 0"), "M", name("M", "id"), F.lit("Negation"), arguments=F.array(ref("", name("E", "id")))))
+    back = settled(conversion.standoff(*conversion.flat(settled(lines), ["doc"]), ["doc"]))
+    bound = back.where("kind = 'T' and type <> 'Name'").select("doc", F.col("id").alias("trigger"), F.col("spans")[0]["b"].cast("long").alias("place"))
+    marks = back.where("kind = 'M'").select("doc", F.col("arguments")[0]["target"].alias("id"), F.lit(1).alias("mark"))
+    events = back.where("kind = 'E'").join(bound, ["doc", "trigger"]).join(marks, ["doc", "id"], "left")
+    nested = F.size(F.filter("arguments", lambda a: a["target"].startswith("E")))
+    return events.groupBy("doc", "type", "place").agg(
+        F.count("*").alias("events"), F.count_distinct("trigger").cast("int").alias("triggers"), F.sum(F.size("arguments")).alias("arguments"), F.sum(nested).alias("nested"), F.count("mark").alias("negated")
+    )
+
+
 @query("select l_orderkey, l_linenumber, cast(l_suppkey % 3 + 1 as int) as class, round(l_discount, 4) as value, count(*) as n from lineitem group by all")
 def source_examples(t):
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
