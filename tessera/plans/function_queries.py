@@ -103,13 +103,13 @@ def vec_averages(t):
     return rounded(rows.select("label", F.posexplode("vector").alias("place", "mean")).withColumn("place", F.col("place").cast("long")), 5)
 
 
-@query(f"with t as (select doc_id, sent, idx, length(token) as size, sum(length(token)) over (partition by doc_id, sent order by idx) as upto, sum(length(token)) over (partition by doc_id, sent) as total, count(*) over (partition by doc_id, sent) as n from ({TOK})), p as (select a.doc_id, a.sent, a.idx as a, b.idx as b, a.n, [a.upto - a.size, b.upto - b.size - a.upto, a.total - b.upto] as sums from ({PAIRS}) p join t a on p.doc_id = a.doc_id and p.sent = a.sent and a.idx = first_a join t b on p.doc_id = b.doc_id and p.sent = b.sent and b.idx = first_b), r as (select doc_id, sent, unnest(['fore', 'between', 'after']) as region, unnest(sums) as s, unnest([a, b - a - 1, n - 1 - b]) as n from p) select doc_id, sent, region, count(*) as pairs, round(sum(s / n), 3) as size from r where n > 0 group by 1, 2, 3")
+@query(f"with t as (select doc_id, sent, idx, length(token) as size, sum(length(token)) over (partition by doc_id, sent order by idx) as upto, sum(length(token)) over (partition by doc_id, sent) as total, count(*) over (partition by doc_id, sent) as n from ({TOK})), p as (select a.doc_id, a.sent, a.idx as a, b.idx as b, a.n, [a.upto - a.size, b.upto - b.size - a.upto, a.total - b.upto] as sums from ({PAIRS}) p join t a on p.doc_id = a.doc_id and p.sent = a.sent and a.idx = first_a join t b on p.doc_id = b.doc_id and p.sent = b.sent and b.idx = first_b), r as (select doc_id, sent, unnest(['fore', 'between', 'after']) as region, unnest(sums) as s, unnest([a, b - a - 1, n - 1 - b]) as n from p) select doc_id, sent, region, count(*) as pairs, round(sum(s / n), 6) as size from r where n > 0 group by 1, 2, 3")
 def vec_regions(t):
     toks = _tokens(t).select("doc_id", "sent", "idx", "token")
     words = toks.select(F.lower("token").alias("word")).distinct().withColumn("vector", F.array(F.length("word").cast("double"), F.lit(1.0)))
     rows = features.pair_vectors(toks, text.pairs(text.capitalised(toks)), words)
     rows = rows.groupBy(*KEY, "region").agg(F.count("*").alias("pairs"), F.sum(F.get("vector", F.lit(0))).alias("size"))
-    return rounded(rows, 3)
+    return rounded(rows)
 
 
 @query("with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 5) as similarity from u a join u b on b.vec_id = a.vec_id + 1")
