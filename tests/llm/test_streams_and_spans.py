@@ -65,6 +65,8 @@ def plain_events(rows, batches=12, idle=3):
 
 def stream_events(spark, rows, **how):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # further columns, whatever their names, are not read
+    table = table.selectExpr("*", "7 as batch", "'x' as conv", "turn as first", "text as payload", "true as tick")
     found = turn_reassembly.reassemble(turn_reassembly.arrivals(table), **how).collect()
     return Counter((r.event, r.unreleased if r.event == "close" else r.payload, r.conv, r.turn, r.batch, r.n_missing, r.n_breaks) for r in found)
 
