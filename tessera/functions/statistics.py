@@ -92,7 +92,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """1 - 6 sum(d^2) / (n (n^2 - 1)) of average ranks, without a correction for ties."""
     both = ranked(ranked(df.select(x, y), x, "_rx"), y, "_ry")
     n, d = F.count("*"), F.sum(F.pow(F.col("_rx") - F.col("_ry"), 2))
-    return both.agg((1 - 6 * d / (n * (n * n - 1))).alias("rho"), n.alias("n"))
+    size = n.cast("double")  # the cube of two million rows is no long
+    return both.agg((1 - 6 * d / (size * (size * size - 1))).alias("rho"), n.alias("n"))
 
 
 def _two(df: DataFrame, group: str, x: str, a: object, b: object) -> DataFrame:
