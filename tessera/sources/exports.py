@@ -48,11 +48,29 @@ def numbered_lines(interactions: DataFrame, number: str = "number") -> DataFrame
     return interactions.select(F.concat_ws("\t", F.col(number).cast("string"), way).alias("value"))
 
 
+def _dot_label(c: Column) -> Column:
+    return F.concat(F.lit(' [label="'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"];'))
+
+
+def _dot_node(idx: Column, token: Column) -> Column:
+    return F.concat(F.lit("  n"), idx.cast("string"), _dot_label(token))
+
+
+def _dot_edge(gov: Column, dep: Column, kind: Column) -> Column:
+    return F.concat(F.lit("  n"), gov.cast("string"), F.lit(" -> n"), dep.cast("string"), _dot_label(kind))
+
+
+def graph_in_row(tokens: str, deps: Column) -> Column:
+    """``graph_text`` of a sentence with its tokens and its dependencies (gov, dep, type), by dependent and governor, as arrays."""
+    nodes = F.transform(tokens, lambda w, i: _dot_node(i, w))
+    edges = F.transform(deps, lambda d: _dot_edge(d["gov"], d["dep"], d["type"]))
+    return F.array_join(F.concat(F.array(F.lit("digraph {")), nodes, edges, F.array(F.lit("}"))), "\n")
+
+
 def graph_text(tokens: DataFrame, deps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value): a directed graph of each sentence in the DOT language."""
-    mark = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    node = F.concat(F.lit("  n"), F.col("idx").cast("string"), F.lit(" [label="), mark(F.col("token")), F.lit("];"))
-    edge = F.concat(F.lit("  n"), F.col("gov").cast("string"), F.lit(" -> n"), F.col("dep").cast("string"), F.lit(" [label="), mark(F.col("type")), F.lit("];"))
+    node = _dot_node(F.col("idx"), F.col("token"))
+    edge = _dot_edge(F.col("gov"), F.col("dep"), F.col("type"))
     nodes = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", node.alias("l")))).alias("n"))
     edges = deps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dep", "gov", edge.alias("l")))).alias("e"))
     lines = lambda c: F.coalesce(F.transform(c, lambda x: x["l"]), F.array().cast("array<string>"))

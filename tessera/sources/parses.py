@@ -115,22 +115,49 @@ def dependency_lines(tokens: DataFrame, deps: DataFrame, keys: list[str]) -> Dat
     return _sentence_lines(rows.withColumn("place", F.struct("dep", "gov", "type")), keys, "place", F.concat("type", F.lit("("), "_gov", F.lit(", "), "_dep", F.lit(")")), "\n")
 
 
+def dependencies_in_row(tokens: str, deps: Column) -> Column:
+    """``dependency_lines`` of a sentence with its tokens and its dependencies (gov, dep, type), in order, as arrays."""
+    word = lambda i: F.concat(export_text(F.get(tokens, i)), F.lit("-"), (i + 1).cast("string"))
+    lines = F.transform(deps, lambda d: F.concat(d["type"], F.lit("("), word(d["gov"]), F.lit(", "), word(d["dep"]), F.lit(")")))
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+
 def conll_lines(tokens: DataFrame, deps: DataFrame, keys: list[str], dialect: str = "conllu") -> DataFrame:
     """(keys, value): a sentence's block in a dialect; the least governor is the head, others go to DEPS where the dialect has it."""
     heads = deps.groupBy(*keys, F.col("dep").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("gov", "type"))).alias("h"))
     rows = tokens.join(heads, [*keys, "idx"], "left")
-    more = F.array_join(F.transform(F.filter("h", lambda _, i: i > 0), lambda x: F.concat((x["gov"] + 1).cast("string"), F.lit(":"), x["type"])), "|")
-    first = F.get("h", F.lit(0))
-    have = {"ID": (F.col("idx") + 1).cast("string"), "FORM": F.col("token"), "HEAD": (first["gov"] + 1).cast("string"), "DEPREL": first["type"], "DEPS": F.nullif(more, F.lit(""))}
-    if "pos" in tokens.columns:
-        have[next(c for c in DIALECTS[dialect] if c in TAGS)] = F.col("pos")
-    line = F.concat_ws("\t", *[F.coalesce(have.get(c, F.lit(None)).cast("string"), F.lit("_")) for c in DIALECTS[dialect]])
+    line = _conll_line(F.col("idx"), F.col("token"), F.col("h"), F.col("pos") if "pos" in tokens.columns else None, dialect)
     return _sentence_lines(rows, keys, "idx", line, "\n")
 
 
+def _conll_line(idx: Column, token: Column, heads: Column, pos: Column | None, dialect: str) -> Column:
+    more = F.array_join(F.transform(F.filter(heads, lambda _, i: i > 0), lambda x: F.concat((x["gov"] + 1).cast("string"), F.lit(":"), x["type"])), "|")
+    first = F.get(heads, F.lit(0))
+    have = {"ID": (idx + 1).cast("string"), "FORM": token, "HEAD": (first["gov"] + 1).cast("string"), "DEPREL": first["type"], "DEPS": F.nullif(more, F.lit(""))}
+    if pos is not None:
+        have[next(c for c in DIALECTS[dialect] if c in TAGS)] = pos
+    return F.concat_ws("\t", *[F.coalesce(have.get(c, F.lit(None)).cast("string"), F.lit("_")) for c in DIALECTS[dialect]])
+
+
+def conll_in_row(words: Column, dialect: str = "conllu") -> Column:
+    """``conll_lines`` of a sentence whose ``words`` are an array of (idx, token, pos, heads), heads an array of (gov, type), the least first."""
+    lines = F.transform(words, lambda w: _conll_line(w["idx"], w["token"], w["heads"], w["pos"], dialect))
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+
 def epe_lines(tokens: DataFrame, deps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value): a JSON graph a sentence; ``tokens`` has token, pos, begin and end."""
     edges = deps.groupBy(*keys, F.col("gov").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("type").alias("label"), F.col("dep").alias("target")))).alias("edges"))
-    node = F.struct(F.col("idx").alias("id"), F.col("token").alias("form"), F.col("begin").alias("start"), "end", F.create_map(F.lit("pos"), "pos").alias("properties"), "edges")
+    node = _epe_node(*map(F.col, ("idx", "token", "begin", "end", "pos", "edges")))
     rows = tokens.join(edges, [*keys, "idx"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", node.alias("n"))), lambda a, b: a["idx"] - b["idx"]).alias("r"))
     return rows.select(*keys, F.to_json(F.struct(F.transform("r", lambda x: x["n"]).alias("nodes"))).alias("value"))
+
+
+def _epe_node(idx: Column, token: Column, begin: Column, end: Column, pos: Column, edges: Column) -> Column:
+    return F.struct(idx.alias("id"), token.alias("form"), begin.alias("start"), end.alias("end"), F.create_map(F.lit("pos"), pos).alias("properties"), edges.alias("edges"))
+
+
+def epe_in_row(words: Column) -> Column:
+    """``epe_lines`` of a sentence whose ``words`` are an array of (idx, token, begin, end, pos, edges), edges an array of (label, target)."""
+    nodes = F.transform(words, lambda w: _epe_node(*[w[c] for c in ("idx", "token", "begin", "end", "pos", "edges")]))
+    return F.to_json(F.struct(nodes.alias("nodes")))
