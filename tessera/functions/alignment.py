@@ -82,16 +82,16 @@ def offsets(text: str, tokens: str) -> Column:
 NEVER_HEAD = ["\\", "/", "-"]
 
 
-def head_scores(tokens: Sequence[str], deps: Sequence[tuple[int, int, str]], rounds: int = 21) -> list[int]:
+def head_scores(tokens: Sequence[str], deps: Sequence[tuple[int, int, str]], rounds: int = 21, never: Sequence[str] = NEVER_HEAD) -> list[int]:
     """A score a token, higher nearer the root: every governor ends above its dependents.
 
-    Tokens in any dependency start at 1, others at 0, split marks at -1; cycles
+    Tokens in any dependency start at 1, others at 0, those of ``never`` at -1; cycles
     are cut off after ``rounds``. Dependencies count in the given order.
     """
     score = [0] * len(tokens)
     for g, d, _ in deps:
         score[g] = score[d] = 1
-    score = [-1 if t in NEVER_HEAD else s for t, s in zip(tokens, score, strict=True)]
+    score = [-1 if t in never else s for t, s in zip(tokens, score, strict=True)]
     for _ in range(rounds):
         changed = False
         for g, d, _kind in deps:
@@ -102,16 +102,22 @@ def head_scores(tokens: Sequence[str], deps: Sequence[tuple[int, int, str]], rou
     return score
 
 
-def heads(entities: DataFrame, toks: DataFrame, deps: DataFrame) -> DataFrame:
+def heads(entities: DataFrame, toks: DataFrame, deps: DataFrame, never: Sequence[str] = NEVER_HEAD) -> DataFrame:
     """(doc_id, sent, first, last, head): the token of an entity with the highest head score, the last of equals."""
     words = toks.groupBy("doc_id", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]).alias("_words"))
     links = deps.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("gov", "dep", "type"))).alias("_deps"))
+    names = entities.groupBy("doc_id", "sent").agg(F.collect_list(F.struct("first", "last")).alias("names"))
+    return heads_in_row(words.join(links, ["doc_id", "sent"], "left").join(names, ["doc_id", "sent"]), "_words", F.col("_deps"), never)
 
-    def run(ws: pd.Series, ds: pd.Series) -> pd.Series:
-        return pd.Series([head_scores(list(w), [] if d is None else [(x["gov"], x["dep"], x["type"]) for x in d]) for w, d in zip(ws, ds, strict=True)])
 
-    scored = words.join(links, ["doc_id", "sent"], "left").select("doc_id", "sent", F.pandas_udf(run, "array<int>")("_words", "_deps").alias("_scores"))
-    rows = entities.join(scored, ["doc_id", "sent"])
+def heads_in_row(sents: DataFrame, tokens: str, deps: Column, never: Sequence[str] = NEVER_HEAD) -> DataFrame:
+    """``heads`` of sentences with their tokens, names (first, last) and dependencies (gov, dep, type) as arrays."""
+
+    def run(ws: pd.Series, gs: pd.Series, ds: pd.Series) -> pd.Series:
+        return pd.Series([head_scores(list(w), [] if d is None else [(x, y, "") for x, y in zip(g.tolist(), d.tolist(), strict=True)], never=never) for w, g, d in zip(ws, gs, ds, strict=True)])
+
+    scores = F.pandas_udf(run, "array<int>")(F.col(tokens), deps["gov"], deps["dep"])
+    rows = sents.select("doc_id", "sent", "names", scores.alias("_scores")).select("doc_id", "sent", "_scores", F.explode("names").alias("n")).select("doc_id", "sent", "_scores", "n.first", "n.last")
     best = F.array_max(F.transform(F.sequence("first", "last"), lambda i: F.struct(F.get("_scores", i).alias("s"), i.alias("i"))))
     return rows.select("doc_id", "sent", "first", "last", best["i"].alias("head"))
 
