@@ -61,6 +61,36 @@ class Graph:
         for lo in range(0, len(sources), step):
             yield sources[lo : lo + step], *self.search(sources[lo : lo + step])
 
+    def each_search(self, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``searches`` from all nodes of many graphs side by side: (source, node, depth, ties) of every connected pair source < node.
+
+        The graphs have ``size`` nodes each, one after the other. A source has
+        cells for the nodes of its own graph alone, and the sources of a block
+        ``CELLS`` of them, or one source; all graphs of a block are searched at once.
+        """
+        first, width = np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)
+        ends, lo = np.cumsum(width), 0
+        while lo < self.n:
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")), lo + 1)
+            sources = np.arange(lo, hi)
+            base = np.cumsum(width[lo:hi]) - width[lo:hi] - first[lo:hi]
+            depth, ties = np.full(int(width[lo:hi].sum()), -1, np.int32), np.zeros(int(width[lo:hi].sum()))
+            row, at, count, level = np.arange(hi - lo), sources, np.ones(hi - lo), 0
+            while len(at):
+                depth[base[row] + at], ties[base[row] + at] = level, count
+                found, of = self.neighbours(at)
+                cell = base[row[of]] + found
+                new = np.flatnonzero(depth[cell] < 0)
+                new = new[np.argsort(cell[new], kind="stable")]
+                opens = np.flatnonzero(np.diff(cell[new], prepend=-1))
+                weight = count[of[new]]
+                row, at, count, level = row[of[new[opens]]], found[new[opens]], np.add.reduceat(weight, opens) if len(opens) else weight, level + 1
+            row = np.repeat(np.arange(hi - lo), width[lo:hi])
+            node = np.arange(len(depth)) - base[row]
+            some = np.flatnonzero((depth > 0) & (node > sources[row]))
+            yield sources[row[some]], node[some], depth[some], ties[some]
+            lo = hi
+
     def first_paths(self, depth: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first shortest path from each of ``start`` to the source of its ``row`` of depths, by its places: its nodes, and where each begins.
 
