@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +29,18 @@ def pair_lines(entities: DataFrame, interactions: DataFrame, key: str = "sent_id
     return rows.select(F.concat_ws("|", key, "e1", "e2", F.when(F.col("type").isNull(), "0").otherwise("1"), F.coalesce("type", F.lit("null"))).alias("value"))
 
 
+def pair_lines_in_row(sents: DataFrame, key: Column, names: str, linked: Callable[[Column, Column], Column]) -> DataFrame:
+    """``pair_lines`` of sentences with their names (first, last) in order as an array: no join, and no sentence's pairs are held.
+
+    ``linked`` gives the type that links two names, or null.
+    """
+    rows = sents.select(key.alias("k"), names, F.posexplode(names).alias("i", "a"))
+    rest = F.slice(names, F.col("i") + 2, F.size(names))
+    rows = rows.select("k", "a", F.explode(rest).alias("b")).withColumn("type", linked(F.col("a"), F.col("b")))
+    flag = F.when(F.col("type").isNull(), "0").otherwise("1")
+    return rows.select(F.concat_ws("|", "k", "a.first", "b.first", flag, F.coalesce("type", F.lit("null"))).alias("value"))
+
+
 def entity_lines(entities: DataFrame, key: str = "sent_id") -> DataFrame:
     """(value): ``sentence|b-e;b-e|text|type`` with inclusive ends."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["b"].cast("string"), F.lit("-"), (s["e"] - 1).cast("string"))), ";")
