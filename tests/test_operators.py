@@ -1,5 +1,7 @@
 """Operators without SQL, against known answers."""
 
+import random
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs, sets, tables
@@ -92,3 +94,23 @@ def test_nearest_of_every_fiftieth_row(spark, sf, monkeypatch):
     for q, found in got.items():
         best = np.sort(np.delete(e @ e[ids.index(q)], ids.index(q)))[::-1][:4]
         assert np.allclose(sorted(found, reverse=True), best, atol=2e-6)
+
+
+def test_nearest_tells_equal_vectors_by_number(spark, monkeypatch):
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    rng = random.Random(5)
+    some = [[float(rng.randint(-3, 3)) / 7 for _ in range(9)] for _ in range(12)]
+    rows = [(i, some[rng.randrange(12)]) for i in range(90)] + [(90, [0.0] * 9), (91, None), (92, [1.0, 2.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = base.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    unit = vectors.unit
+    plain = base.select("vec_id", unit("embedding").alias("e")).join(asked.select("query_id", unit("q").alias("q")), F.col("vec_id") != F.col("query_id"))
+    plain = plain.select("query_id", "vec_id", vectors.dot("q", "e").alias("similarity"))
+    for k in (3, 91):
+        found = vectors.nearest(base, asked, k)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "zip_with" not in plan
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.withColumn("_r", place).where(F.col("_r") <= k).drop("_r").collect()), key=str)
