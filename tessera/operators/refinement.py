@@ -8,11 +8,16 @@ that times the depth. Loops end when a round finds nothing, or raise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import settled, unsettled
 
+#: Rounds whose results are separate tables until they are put together.
+LAYERS = 32
+
 
 def keepers(nodes: DataFrame, arguments: DataFrame, group: list[str], rounds: int = 1000) -> DataFrame:
     """(group, id, keeper): nodes with equal ``label`` and arguments merged into the first, until nothing changes.
@@ -64,26 +69,31 @@ def digests(events: DataFrame, arguments: DataFrame, entities: DataFrame, group:
     last = entities.select(*group, F.col("id").alias("arg"), one("entity").alias("h"))
     if core:
         last = last.unionByName(events.select(*group, F.col("id").alias("arg"), one("event").alias("h")))
-    args = settled(arguments.select(*key, "role", "arg"))
-    sizes = args.groupBy(*key).agg(F.count("*").alias("size"))
-    open_ = settled(events.select(*key, "type", "span").join(sizes, key, "left").withColumn("size", F.coalesce("size", F.lit(0))))
-    last = settled(last)
-    met = arrived = found = None
-    tree = lambda parts: F.sha2(F.concat_ws("\u0001", F.lit("event"), "type", "span", F.array_join(parts, "\u0002")), 256)
+    part = F.concat_ws("\u0001", "role", "h")
+    bag = lambda df: df.groupBy(*key).agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    tree = lambda parts: F.sha2(F.concat_ws("\u0001", F.lit("event"), "type", "span", F.array_join(F.array_sort(parts), "\u0002")), 256)
+    args = arguments.select(*key, "role", "arg").join(last, [*group, "arg"], "left")
+    # a row an event: the parts that are known from the outset, and how many it waits for
+    known = args.groupBy(*key).agg(F.count("*").alias("size"), F.collect_list(F.when(F.col("h").isNotNull(), part)).alias("parts"))
+    rows = events.select(*key, "type", "span").join(known, key, "left")
+    rows = rows.select(*key, "type", "span", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("parts", F.array().cast("array<string>")).alias("own"))
+    rows = settled(rows)
+    ready = settled(rows.where(F.size("own") == F.col("size")).select(*key, "type", tree(F.col("own")).alias("digest")))
+    if core or ready.isEmpty():
+        return ready
+    # both are dealt by what a round asks of them, so that it shuffles only what is new in it
+    waiting = settled(rows.where(F.size("own") < F.col("size")).repartition(*key))
+    inner = settled(args.where("h is null").select(*key, "role", "arg").repartition(*group, "arg"))
+    found, partial = [ready], None
     for _ in range(rounds):
-        new = args.join(last, [*group, "arg"]).select(*key, F.concat_ws("\u0001", "role", "h").alias("part"))
-        arrived = settled(new if met is None else met.unionByName(new))
-        bags = arrived.groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-        bags = open_.join(bags, key, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
-        ready = settled(bags.where(F.size("parts") == F.col("size")).select(*key, "type", tree(F.col("parts")).alias("digest")))
+        new = inner.join(ready.select(*group, F.col("id").alias("arg"), F.col("digest").alias("h")), [*group, "arg"]).select(*key, F.array(part).alias("parts"))
+        met = waiting.join(bag(new if partial is None else partial.unionByName(new)), key)
+        met = settled(met.withColumn("_all", F.concat("own", "parts")))
+        ready = settled(met.where(F.size("_all") == F.col("size")).select(*key, "type", tree(F.col("_all")).alias("digest")))
+        partial = met.where(F.size("_all") < F.col("size")).select(*key, "parts")
         if ready.isEmpty():
-            return ready if found is None else found
-        found = ready if found is None else settled(found.unionByName(ready))
-        met = arrived.join(ready.select(*key), key, "left_anti")
-        open_ = settled(open_.join(ready.select(*key), key, "left_anti"))
-        last = ready.select(*group, F.col("id").alias("arg"), F.col("digest").alias("h"))
-        if core:
-            return found
+            return reduce(DataFrame.unionByName, found)
+        found = [*found, ready] if len(found) < LAYERS else [settled(reduce(DataFrame.unionByName, [*found, ready]))]
     raise unsettled("nesting of events", rounds)
 
 

@@ -167,3 +167,13 @@ def test_region_counts_look_at_each_name_once(spark):
     assert got["fore", "c_d"] == 3 and got["between", "c_d"] == 2 and got["after", "h_i"] == 3 and got["fore", "h_i"] == 2
     assert got["fore", "a"] == 3 and ("between", "a_c") not in got and got["fore", "a_c"] == 1
     assert got["between", "y"] == 1 and ("after", "y") in got and ("fore", "x_y") not in got
+
+
+def test_deep_trees_are_put_together_in_layers(spark, monkeypatch):
+    monkeypatch.setattr(refinement, "LAYERS", 2)
+    events = spark.createDataFrame([(0, i, "A", "s") for i in range(12)], "doc_id long, id long, type string, span string")
+    # two chains of equal trees; an event of two arguments waits for the deeper one
+    links = [(0, i, "x", i - 2) for i in range(2, 12)] + [(0, 10, "y", 0), (0, 11, "y", 1)]
+    args = spark.createDataFrame(links, ARGS)
+    found = {r.id: r.digest for r in refinement.digests(events, args, events.where("false"), ["doc_id"]).collect()}
+    assert len(found) == 12 and len(set(found.values())) == 6 and all(found[i] == found[i + 1] for i in range(0, 12, 2))
