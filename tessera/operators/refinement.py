@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import settled, unsettled
@@ -25,10 +25,47 @@ def keepers(nodes: DataFrame, arguments: DataFrame, group: list[str], rounds: in
     ``nodes`` has (group, id, label), ``arguments`` (group, id, role, arg). An
     argument that is a merged node counts as its keeper; arguments are a bag of
     (role, arg). Nodes of a cycle are equal only if their arguments are already.
-    The classes are refined from below: a class is a label and the arguments'
-    keepers, found anew for the nodes above those that were merged last.
+    The classes are found from below, each node in the round after its last
+    argument's, for equal nodes have equal depths; nodes that lead into a cycle
+    are left for the end and refined until nothing changes.
     """
     key = [*group, "id"]
+    own = nodes.select(*key, "label")
+    some = arguments.select(*key, "role", "arg")
+    inner = nodes.select(*group, F.col("id").alias("arg"), F.lit(True).alias("_node")).distinct()
+    args = some.join(inner, [*group, "arg"], "left")
+    known = args.groupBy(*key).agg(F.count("*").alias("size"), F.collect_list(F.when(F.col("_node").isNull(), F.struct("role", F.col("arg").alias("to")))).alias("parts"))
+    none = F.array().cast(dict(known.dtypes)["parts"])
+    rows = own.join(known, key, "left").select(*key, "label", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("parts", none).alias("own"))
+    rows = settled(rows.repartition(*key))
+    inner = settled(args.where("_node").select(*key, "role", "arg").repartition(*group, "arg"))
+    bag = lambda df: df.groupBy(*key).agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    # equal nodes of one depth, the first of them each one's keeper
+    first = lambda df: df.select(*key, F.min("id").over(Window.partitionBy(*group, "label", F.array_sort("_all"))).alias("keeper"))
+    ready = settled(first(rows.where(F.size("own") == F.col("size")).withColumn("_all", F.col("own"))))
+    found, partial = [ready], None
+    for _ in range(rounds):
+        new = inner.join(ready.select(*group, F.col("id").alias("arg"), F.col("keeper").alias("to")), [*group, "arg"]).select(*key, F.array(F.struct("role", "to")).alias("parts"))
+        met = settled(rows.join(bag(new if partial is None else partial.unionByName(new)), key).withColumn("_all", F.concat("own", "parts")))
+        ready = settled(first(met.where(F.size("_all") == F.col("size"))))
+        partial = met.where(F.size("_all") < F.col("size")).select(*key, "parts")
+        if ready.isEmpty():
+            break
+        found = [*found, ready] if len(found) < LAYERS else [settled(reduce(DataFrame.unionByName, [*found, ready]))]
+    else:
+        raise unsettled("merging of equal nodes", rounds)
+    done = settled(reduce(DataFrame.unionByName, found))
+    rest = settled(own.join(done.select(*key), key, "left_anti"))
+    if rest.isEmpty():
+        return done
+    keeper = done.where("id <> keeper").select(*group, F.col("id").alias("arg"), "keeper")
+    left = some.join(rest.select(*key), key, "left_semi").join(keeper, [*group, "arg"], "left")
+    return done.unionByName(_refined(rest, left.select(*key, "role", F.coalesce("keeper", "arg").alias("arg")), group, rounds))
+
+
+def _refined(nodes: DataFrame, arguments: DataFrame, group: list[str], rounds: int) -> DataFrame:
+    """``keepers`` round by round: classes are a label and the arguments' keepers, found anew until none merge."""
+    key = [*group, "id"]
     args = settled(arguments.select(*key, "role", "arg"))
     own = settled(nodes.select(*key, "label"))
     now = args.withColumn("to", F.col("arg"))

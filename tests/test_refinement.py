@@ -177,3 +177,12 @@ def test_deep_trees_are_put_together_in_layers(spark, monkeypatch):
     args = spark.createDataFrame(links, ARGS)
     found = {r.id: r.digest for r in refinement.digests(events, args, events.where("false"), ["doc_id"]).collect()}
     assert len(found) == 12 and len(set(found.values())) == 6 and all(found[i] == found[i + 1] for i in range(0, 12, 2))
+
+
+def test_nodes_above_a_cycle_are_refined_after_the_others(spark, monkeypatch):
+    monkeypatch.setattr(refinement, "LAYERS", 2)
+    labels = {i: "n" for i in range(16)}
+    args = {i: [("x", i - 2)] for i in range(2, 10)} | {10: [("x", 11)], 11: [("x", 10)]} | {i: [("x", 10), ("y", i % 2)] for i in range(12, 14)} | {i: [("x", i - 2)] for i in range(14, 16)}
+    want = {(0, i): k for i, k in plain_keepers(labels, args).items()}
+    found = refinement.keepers(*tables(spark, {0: (labels, args)}), ["doc_id"]).collect()
+    assert {(r.doc_id, r.id): r.keeper for r in found} == want and want[0, 15] == 14
