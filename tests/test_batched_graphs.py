@@ -47,3 +47,57 @@ def test_path_totals_are_those_of_the_path_rows(spark, monkeypatch):
     rows = paths.path_rows(toks, deps).groupBy("doc_id", "sent")
     want = rows.agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.max("length").alias("longest"), F.sum("ties").alias("ties"))
     assert sorted(map(tuple, paths.path_totals(toks, deps).collect())) == sorted(map(tuple, want.collect()))
+
+
+def _mixed_graphs(rng, sizes):
+    """Edges of graphs side by side: trees with grandparents, chains, random ones, and parts of them."""
+    first, edges = np.cumsum(sizes) - sizes, [np.zeros((0, 2), np.int64)]
+    for i, (lo, n) in enumerate(zip(first, sizes, strict=True)):
+        if n > 1:
+            some = [
+                np.array([(k, (k + 1) // 2 - 1) for k in range(1, n)] + [(k, (k + 1) // 4 - 1) for k in range(3, n)]),
+                np.array([(k, k - 1) for k in range(1, n)]),
+                rng.integers(0, n, (n, 2)),
+                np.array([(k, int(rng.integers(max(0, k - 6), k))) for k in range(1, n)] + [(0, int(rng.integers(0, n)))]),
+            ][i % 4]
+            edges.append(lo + (some if rng.random() < 0.7 else some[rng.random(len(some)) < 0.8]))
+    return np.concatenate(edges)
+
+
+def test_totals_of_graphs_taken_apart_are_those_of_a_search(monkeypatch):
+    rng = np.random.default_rng(5)
+    for small, cells, known in ((0, 1 << 22, 0), (0, 70, 2), (24, 1 << 22, 100)):
+        monkeypatch.setattr(search, "SMALL", small)
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "KNOWN", known)
+        sizes = rng.integers(0, 45, 24)
+        edges = _mixed_graphs(rng, sizes)
+        whole, owner = search.Graph(int(sizes.sum()), edges[:, 0], edges[:, 1]), np.repeat(np.arange(24), sizes)
+        depth, ties = whole.search(np.arange(whole.n))
+        want = np.zeros((4, 24), np.int64)
+        for a, b in zip(*np.nonzero(np.triu(depth > 0)), strict=True):
+            one = want[:, owner[a]]
+            one += [1, depth[a, b], 0, int(ties[a, b])]
+            one[2] = max(one[2], depth[a, b])
+        kept = {}
+        assert (whole.totals(sizes, kept) == want).all()
+        assert (whole.totals(sizes, kept) == want).all()
+        assert len(kept) <= known
+
+
+def test_a_tree_needs_no_search(monkeypatch):
+    monkeypatch.setattr(search.Graph, "search", None)
+    size = np.array([3000, 3000])
+    edges = np.concatenate([np.array([(k, (k + 1) // 2 - 1) for k in range(1, 3000)]) + lo for lo in (0, 3000)])
+    sums = search.Graph(6000, edges[:, 0], edges[:, 1]).totals(size)
+    assert sums[0].tolist() == [3000 * 2999 // 2] * 2 and sums[3].tolist() == sums[0].tolist() and sums[2].max() == 21
+
+
+def test_path_totals_in_rows_shuffle_no_token(spark):
+    sents = spark.createDataFrame([(1, 0, ["a", "b", "c"]), (1, 1, ["a"]), (2, 0, ["x"] * 30)], "doc_id long, sent int, tokens array<string>")
+    deps = F.transform(F.slice("tokens", 2, F.size("tokens")), lambda _, i: F.struct(i.alias("gov"), (i + 1).alias("dep"), F.when(i % 2 == 0, "even").otherwise("odd").alias("type")))
+    got = paths.path_totals_in_row(sents, deps)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, 4, 2, 3), (2, 0, 435, 4495, 29, 435)]
+    even = paths.path_totals_in_row(sents, deps, lambda kind: kind == "even")
+    assert sorted(map(tuple, even.collect())) == [(1, 0, 1, 1, 1, 1), (2, 0, 15, 15, 1, 15)]
