@@ -31,7 +31,8 @@ class Graph:
         start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
         if not directed:
             start, end = np.concatenate([start, end]), np.concatenate([end, start])
-        key = np.unique((start * n + end)[start != end])
+        key = np.sort((start * n + end)[start != end])
+        key = key[np.diff(key, prepend=-1) != 0]
         self.n, self.near = n, key % n
         self.first = np.searchsorted(key, np.arange(n + 1) * n)
 
@@ -249,20 +250,57 @@ class Graph:
 
         Of an undirected graph; every start must reach its source.
         """
-        left = depth[row, start].astype(np.int64)
+        return self._first_paths(depth.ravel(), np.asarray(row, np.int64) * self.n, np.asarray(start, np.int64))
+
+    def _first_paths(self, depth: np.ndarray, base: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``first_paths``; the depth of a node is that in its place behind ``base``."""
+        left = depth[base + start].astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(left + 1)])
         nodes = np.empty(offsets[-1], np.int64)
         open_, at, step = np.arange(len(start)), np.array(start, np.int64), 0
         nodes[offsets[:-1]] = at
         while len(open_ := open_[left[open_] > step]):
             found, of = self.neighbours(at[open_])
-            nearer = depth[row[open_][of], found] == (left[open_] - step - 1)[of]
+            nearer = depth[base[open_][of] + found] == (left[open_] - step - 1)[of]
             found, of = found[nearer], of[nearer]
             at[open_] = found[np.flatnonzero(np.diff(of, prepend=-1))]
             step += 1
             nodes[offsets[open_] + step] = at[open_]
         return nodes, offsets
 
+    def asked_paths(self, size: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For graphs side by side of ``size`` nodes each: which of the stated pairs are connected, the nodes of their ``first_paths``, and where each begins.
+
+        In blocks of bounded size, sorted by ``end``. A search from an end stops
+        when it has met all its starts; nodes are connected with themselves by no path.
+        """
+        first, width = np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)
+        sources, row = np.unique(end, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        cuts, ends, lo = np.searchsorted(row[order], np.arange(len(sources) + 1)), np.cumsum(width[sources]), 0
+        while lo < len(sources):
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")), lo + 1)
+            mine, some = order[cuts[lo] : cuts[hi]], sources[lo:hi]
+            base = np.cumsum(width[some]) - width[some] - first[some]
+            depth = np.full(int(width[some].sum()), -1, np.int32)
+            cell, of_row = base[row[mine] - lo] + start[mine], row[mine] - lo
+            at_row, at, level = np.arange(hi - lo), some, 0
+            while len(at):
+                depth[base[at_row] + at] = level
+                asking = np.zeros(hi - lo, bool)
+                asking[of_row[depth[cell] < 0]] = True
+                fine = asking[at_row]
+                at_row, at, level = at_row[fine], at[fine], level + 1
+                found, of = self.neighbours(at)
+                key = base[at_row[of]] + found
+                new = np.flatnonzero(depth[key] < 0)
+                new = new[np.unique(key[new], return_index=True)[1]]
+                at_row, at = at_row[of[new]], found[new]
+            near = depth[cell] > 0
+            mine = mine[near]
+            yield mine, *self._first_paths(depth, base[of_row[near]], start[mine])
+            lo = hi
+
     def tied_paths(self, depth: np.ndarray, start: int) -> Iterator[list[int]]:
         """All shortest paths from ``start`` to the source of this row of depths, in the order of their places, one at a time."""
         stack = [[start]] if depth[start] >= 0 else []
