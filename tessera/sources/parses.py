@@ -6,6 +6,8 @@ whole; JSON graphs and token lines have a sentence a line and are split anywhere
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,23 +32,40 @@ def dialect_of(path: str) -> str:
     return end
 
 
-def read_columns(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:
-    """(file, sent, idx, columns): a row a word, its columns as a map without ``_``; comment lines are left out."""
-    names = DIALECTS[dialect or dialect_of(path)]
+def _split_lines(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, Column]:
+    """(file, sent, idx, p): a row a word with its columns as an array, and these with a check of their number; comment lines are left out."""
     text = F.regexp_replace("value", r"\s+$", "")
     blocks = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(text, r"\n[ \t]*\n")).alias("sent", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
-    rows = blocks.select("file", "sent", F.posexplode(lines).alias("idx", "line")).withColumn("p", F.split("line", "\t"))
-    every = F.map_from_arrays(F.array(*map(F.lit, names)), F.when(F.size("p") == len(names), F.col("p")).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), "line"))))
-    return rows.select("file", "sent", "idx", F.map_filter(every, lambda _, v: v != "_").alias("columns"))
+    rows = blocks.select("file", "sent", F.posexplode(F.transform(lines, lambda x: F.split(x, "\t"))).alias("idx", "p"))
+    return rows, F.when(F.size("p") == len(names), F.col("p")).otherwise(F.raise_error(F.concat(F.lit("wrong number of columns: "), F.array_join("p", "\t"))))
+
+
+def _columns(names: list[str], parts: Column) -> Column:
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), parts), lambda _, v: v != "_").alias("columns")
+
+
+def read_columns(spark: SparkSession, path: str, dialect: str | None = None) -> DataFrame:
+    """(file, sent, idx, columns): a row a word, its columns as a map without ``_``; comment lines are left out."""
+    names = DIALECTS[dialect or dialect_of(path)]
+    rows, parts = _split_lines(spark, path, names)
+    return rows.select("file", "sent", "idx", _columns(names, parts))
 
 
 def read_conll(spark: SparkSession, path: str, dialect: str | None = None, unescape: bool = False) -> DataFrame:
-    """(file, sent, idx, id, token, pos, head, relation, deps, columns): the tag is the first that a word has."""
-    c = F.col("columns")
-    form = c["FORM"]
-    rows = read_columns(spark, path, dialect)
-    return rows.select("file", "sent", "idx", c["ID"].alias("id"), (unescaped(form) if unescape else form).alias("token"), F.coalesce(*[c[t] for t in TAGS]).alias("pos"), c["HEAD"].alias("head"), c["DEPREL"].alias("relation"), c["DEPS"].alias("deps"), "columns")
+    """(file, sent, idx, id, token, pos, head, relation, deps, columns): the tag is the first that a word has.
+
+    Cells are taken by their place; the map is made only where it is asked for.
+    """
+    names = DIALECTS[dialect or dialect_of(path)]
+    rows, parts = _split_lines(spark, path, names)
+    c = {n: F.nullif(F.get(parts, F.lit(i)), F.lit("_")) for i, n in enumerate(names)}
+    none = F.lit(None).cast("string")
+    form, tags = c["FORM"], [c[t] for t in TAGS if t in c]
+    return rows.select(
+        "file", "sent", "idx", c.get("ID", none).alias("id"), (unescaped(form) if unescape else form).alias("token"), F.coalesce(*tags).alias("pos"),
+        c.get("HEAD", none).alias("head"), c.get("DEPREL", none).alias("relation"), c.get("DEPS", none).alias("deps"), _columns(names, parts),
+    )
 
 
 def conll_dependencies(words: DataFrame) -> DataFrame:
@@ -57,21 +76,29 @@ def conll_dependencies(words: DataFrame) -> DataFrame:
     return first.unionByName(more.select("file", "sent", F.get(p, F.lit(1)).alias("type"), F.get(p, F.lit(0)).alias("gov"), "dep", F.lit(True).alias("secondary")))
 
 
-EPE = "nodes array<struct<id:int,form:string,start:int,end:int,properties:map<string,string>,edges:array<struct<label:string,target:int>>>>"
+# The members of a node.
+EPE = {"id": "int", "form": "string", "start": "int", "end": "int", "properties": "map<string,string>", "edges": "array<struct<label:string,target:int>>"}
 
 
 def read_epe(spark: SparkSession, path: str, tags: tuple[str, ...] = ("pos", "xpos", "upos")) -> tuple[DataFrame, DataFrame]:
     """Tokens (file, line, id, idx, token, pos, begin, end) and dependencies (file, line, type, gov, dep) of a JSON graph a line.
 
     Nodes without a span of the text are left out, as are edges to a node that isn't there.
+    The tag is the first of ``tags`` that a node has; without any, no properties are read.
     """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.md5("value").alias("line"), F.from_json("value", EPE).alias("g"))
-    bound = F.filter("g.nodes", lambda n: F.coalesce((n["start"] >= 0) & (n["end"] > n["start"]), F.lit(False)))
-    rows = rows.select("file", "line", bound.alias("nodes"))
-    toks = rows.select("file", "line", F.posexplode("nodes").alias("idx", "n"))
-    tokens = toks.select("file", "line", F.col("n.id").alias("id"), "idx", F.col("n.form").alias("token"), F.coalesce(*[F.col("n.properties")[t] for t in tags]).alias("pos"), F.col("n.start").alias("begin"), F.col("n.end").alias("end"))
+    lines = spark.read.text(path)
+
+    def nodes(*members: str) -> DataFrame:
+        schema = f"nodes array<struct<{','.join(f'{m}:{EPE[m]}' for m in ('id', 'start', 'end', *members))}>>"
+        rows = lines.select(F.col("_metadata.file_path").alias("file"), F.md5("value").alias("line"), F.from_json("value", schema).alias("g"))
+        bound = F.filter("g.nodes", lambda n: F.coalesce((n["start"] >= 0) & (n["end"] > n["start"]), F.lit(False)))
+        return rows.select("file", "line", bound.alias("nodes"))
+
+    toks = nodes("form", *(("properties",) if tags else ())).select("file", "line", F.posexplode("nodes").alias("idx", "n"))
+    pos = F.coalesce(*[F.col("n.properties")[t] for t in tags]) if tags else F.lit(None).cast("string")
+    tokens = toks.select("file", "line", F.col("n.id").alias("id"), "idx", F.col("n.form").alias("token"), pos.alias("pos"), F.col("n.start").alias("begin"), F.col("n.end").alias("end"))
     known = F.transform("nodes", lambda n: n["id"])
-    edges = rows.select("file", "line", known.alias("known"), F.explode("nodes").alias("n")).select("file", "line", "known", F.col("n.id").alias("gov"), F.explode("n.edges").alias("e"))
+    edges = nodes("edges").select("file", "line", known.alias("known"), F.explode("nodes").alias("n")).select("file", "line", "known", F.col("n.id").alias("gov"), F.explode("n.edges").alias("e"))
     edges = edges.where(F.array_contains("known", F.col("e.target")) & (F.col("e.label") != "edge_list_sum"))
     return tokens, edges.select("file", "line", F.col("e.label").alias("type"), "gov", F.col("e.target").alias("dep"))
 
@@ -136,7 +163,9 @@ def _conll_line(idx: Column, token: Column, heads: Column, pos: Column | None, d
     have = {"ID": (idx + 1).cast("string"), "FORM": token, "HEAD": (first["gov"] + 1).cast("string"), "DEPREL": first["type"], "DEPS": F.nullif(more, F.lit(""))}
     if pos is not None:
         have[next(c for c in DIALECTS[dialect] if c in TAGS)] = pos
-    return F.concat_ws("\t", *[F.coalesce(have.get(c, F.lit(None)).cast("string"), F.lit("_")) for c in DIALECTS[dialect]])
+    filled = [(bool(some), list(names)) for some, names in groupby(DIALECTS[dialect], have.__contains__)]
+    cells = [[F.coalesce(have[n].cast("string"), F.lit("_")) for n in names] if some else [F.lit("\t".join("_" * len(names)))] for some, names in filled]
+    return F.concat_ws("\t", *[x for some in cells for x in some])
 
 
 def conll_in_row(words: Column, dialect: str = "conllu") -> Column:
